@@ -15,7 +15,6 @@ from pairwise.operators.timeline import in_chunks, long_keys, running
 
 PLAYER = ["tour", "player_id"]
 LATER = ["tourney_id", "match_num"]
-EPOCH = F.lit("1970-01-01").cast("date")
 
 FORM = [f"form_win_pct_{n}" for n in S.FORM_WINDOWS] + ["form_decayed", "form_quality"]
 FATIGUE = [f"{what}_{d}d" for what in ("minutes", "matches", "sets") for d in S.WORK_DAYS] + [
@@ -28,7 +27,7 @@ FEATURES = FORM + FATIGUE + CLUTCH + ["bp_faced_sample"] + SURFACE + RECORD + HE
 
 
 def day_number(date: Column) -> Column:
-    return F.datediff(date, EPOCH)
+    return F.unix_date(date)
 
 
 def appearances(matches: DataFrame, ratings: DataFrame | None = None) -> DataFrame:

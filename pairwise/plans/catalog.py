@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwise import settings as S
-from pairwise.operators import clean, history
+from pairwise.operators import clean, history, ratings
 from pairwise.session import via_table
 from pairwise.sources import contests
 
@@ -134,3 +134,34 @@ def career_streaks(spark, folder):
 @query
 def h2h(spark, folder):
     return _history(spark, folder, history.HEAD_TO_HEAD)
+
+
+# ---------------------------------------------------------------- ratings
+def _by_side(df: DataFrame, names: list[str]) -> DataFrame:
+    """w_/l_ columns as one row per side."""
+    sides = F.array(*[
+        F.struct(F.lit(s).alias("side"), *[F.col(f"{s}_{n}").alias(n) for n in names])
+        for s in ("w", "l")
+    ])
+    return df.select("match_id", F.inline(sides))
+
+
+@query
+def elo_history(spark, folder):
+    names = ratings.PRE_MATCH
+    rated = ratings.rate(stored_matches(spark, folder))
+    sides = _by_side(ratings.pre_match(rated), names)
+    return sides.select("match_id", "side", *[r6(n) for n in names])
+
+
+@query
+def elo_leaderboard(spark, folder):
+    """Top 30 of each tour by the clay blend: at least 15 matches, active in a year."""
+    stored = stored_matches(spark, folder)
+    snap = ratings.snapshot(ratings.final_state(ratings.rate(stored)))
+    end = stored.agg(F.max("match_date").alias("end"))
+    ranked = ratings.top_by(
+        ratings.eligible(snap.join(F.broadcast(end)), F.col("end"), 15, 365), "elo_clay", 30)
+    return ranked.select(
+        "tour", "player_id", "matches", "last_date", F.col("place").cast("bigint").alias("place"),
+        *[r6(n) for n in ("elo", "elo_points", "elo_games", "peak_elo", "elo_clay")])

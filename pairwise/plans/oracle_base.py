@@ -129,3 +129,92 @@ earlier AS (
 
 def with_(body: str, base: str = MATCHES) -> str:
     return "WITH " + base.strip() + body
+
+
+# Every store's matches in order, replayed one match per pool and step.
+RATED = MATCHES + """,
+store_rows AS (
+  SELECT tour || '|overall|' AS pool, match_id, match_date, tourney_id, match_num, winner_id AS a, loser_id AS b,
+    NOT walkover AS upd, TRUE AS stamp, 1.0::DOUBLE AS actual, base * mov AS weight, 1.0::DOUBLE AS factor
+  FROM weighted
+  UNION ALL SELECT tour || '|surface|' || surface, match_id, match_date, tourney_id, match_num, winner_id, loser_id,
+    NOT walkover, FALSE, 1.0, base * mov, 1.15 FROM weighted
+  UNION ALL SELECT tour || '|points|', match_id, match_date, tourney_id, match_num, winner_id, loser_id,
+    NOT walkover AND has_serve_stats, FALSE, stretch(pts), base, 1.0 FROM weighted
+  UNION ALL SELECT tour || '|games|', match_id, match_date, tourney_id, match_num, winner_id, loser_id,
+    NOT walkover AND winner_games_won + loser_games_won > 0, FALSE, stretch(gms), base, 1.0 FROM weighted),
+seq AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pool ORDER BY match_date, tourney_id, match_num) AS i
+        FROM store_rows),
+run(pool, id, step, rating, n, peak, last_day) USING KEY (pool, id) AS (
+  SELECT DISTINCT pool, 'clock', 0::BIGINT, 0.0::DOUBLE, 0::BIGINT, 0.0::DOUBLE, NULL::DATE FROM seq
+  UNION
+  SELECT pool, r.id, r.step, r.rating, r.n, r.peak, r.last_day FROM (
+    SELECT pool, unnest([
+      {'id': 'clock', 'step': i, 'rating': 0.0::DOUBLE, 'n': 0::BIGINT, 'peak': 0.0::DOUBLE, 'last_day': NULL::DATE},
+      {'id': match_id || '/w', 'step': i, 'rating': ra, 'n': na, 'peak': pa, 'last_day': match_date},
+      {'id': match_id || '/l', 'step': i, 'rating': rb, 'n': nb, 'peak': pb, 'last_day': match_date},
+      {'id': a::VARCHAR, 'step': i, 'rating': CASE WHEN upd THEN new_a ELSE ra END, 'n': na + upd::INT,
+       'peak': CASE WHEN upd THEN GREATEST(pa, new_a) ELSE pa END,
+       'last_day': CASE WHEN upd OR stamp THEN match_date ELSE la END},
+      {'id': b::VARCHAR, 'step': i, 'rating': CASE WHEN upd THEN new_b ELSE rb END, 'n': nb + upd::INT,
+       'peak': CASE WHEN upd THEN GREATEST(pb, new_b) ELSE pb END,
+       'last_day': CASE WHEN upd OR stamp THEN match_date ELSE lb END}]) AS r
+    FROM (
+      SELECT *, xa + 250 * factor * weight / POW(na + 5, 0.4::DOUBLE) * gain AS new_a,
+                xb - 250 * factor * weight / POW(nb + 5, 0.4::DOUBLE) * gain AS new_b
+      FROM (
+        SELECT *, actual - 1 / (1 + POW(10.0::DOUBLE, (xb - xa) / 400)) AS gain FROM (
+          SELECT *, idle(ra, date_diff('day', la, match_date)) AS xa,
+                    idle(rb, date_diff('day', lb, match_date)) AS xb FROM (
+            SELECT s.*, COALESCE(p.rating, 1500) AS ra, COALESCE(q.rating, 1500) AS rb,
+                   COALESCE(p.n, 0) AS na, COALESCE(q.n, 0) AS nb,
+                   COALESCE(p.peak, 1500) AS pa, COALESCE(q.peak, 1500) AS pb,
+                   p.last_day AS la, q.last_day AS lb
+            FROM (SELECT pool, step FROM run WHERE id = 'clock') c
+            JOIN seq s ON s.pool = c.pool AND s.i = c.step + 1
+            LEFT JOIN recurring.run p ON p.pool = s.pool AND p.id = s.a::VARCHAR
+            LEFT JOIN recurring.run q ON q.pool = s.pool AND q.id = s.b::VARCHAR)))))),
+ratings AS (
+  SELECT split_part(id, '/', 1) AS match_id, split_part(id, '/', 2) AS side,
+    MAX(CASE WHEN kind = 'overall' THEN rating END) AS elo,
+    MAX(CASE WHEN kind = 'surface' THEN rating END) AS elo_surface,
+    MAX(CASE WHEN kind = 'points' THEN rating END) AS elo_points,
+    MAX(CASE WHEN kind = 'games' THEN rating END) AS elo_games,
+    MAX(CASE WHEN kind = 'overall' THEN peak END) AS elo_peak,
+    MAX(CASE WHEN kind = 'overall' THEN n END) AS elo_matches,
+    MAX(CASE WHEN kind = 'surface' THEN n END) AS elo_surface_matches,
+    MAX(CASE WHEN kind = 'surface' THEN store END) AS surface
+  FROM (SELECT *, split_part(pool, '|', 2) AS kind, split_part(pool, '|', 3) AS store FROM run)
+  WHERE id LIKE '%/_' GROUP BY 1, 2),
+states AS (
+  SELECT split_part(pool, '|', 1) AS tour, split_part(pool, '|', 2) AS kind, split_part(pool, '|', 3) AS store,
+    id::BIGINT AS player_id, rating, n, peak, last_day
+  FROM run WHERE id NOT LIKE '%/_' AND id <> 'clock')
+"""
+_WEIGHTED = """,
+weighted AS (
+  SELECT *, level_weight * CASE WHEN walkover THEN 0 WHEN retirement THEN 0.55::DOUBLE ELSE 1 END AS base,
+    0.75::DOUBLE + 0.6::DOUBLE * LEAST(1, 2 * ABS(CASE WHEN dominance = 0 THEN 0.5::DOUBLE ELSE dominance END - 0.5::DOUBLE)) AS mov,
+    (winner_spw + winner_rpw) / (winner_svpt + loser_svpt) AS pts,
+    winner_games_won::DOUBLE / NULLIF(winner_games_won + loser_games_won, 0) AS gms
+  FROM matches),"""
+RATED = RATED.replace(",\nstore_rows", _WEIGHTED + "\nstore_rows", 1)
+for _x in ("pts", "gms"):
+    RATED = RATED.replace(
+        f"stretch({_x})",
+        f"LEAST(0.98::DOUBLE, GREATEST(0.02::DOUBLE, 0.5::DOUBLE + ({_x} - 0.5::DOUBLE) * 2.6::DOUBLE))")
+for _r in ("a", "b"):
+    RATED = RATED.replace(
+        f"idle(r{_r}, date_diff('day', l{_r}, match_date))",
+        f"CASE WHEN date_diff('day', l{_r}, match_date) > 90 THEN r{_r} + (1500 - r{_r}) * LEAST(0.45::DOUBLE, "
+        f"0.28::DOUBLE * ((date_diff('day', l{_r}, match_date) - 90) / 365.25::DOUBLE)) ELSE r{_r} END")
+
+# Without the rows kept per match, for queries that only need the final ratings.
+FINAL = "\n".join(line for line in RATED.splitlines() if "match_id || '/" not in line)
+
+BLEND = """(CASE {surface} WHEN 'Hard' THEN 0.55::DOUBLE WHEN 'Clay' THEN 0.68 WHEN 'Grass' THEN 0.7 ELSE 0.6 END
+   * {n} / ({n} + 12.0::DOUBLE))"""
+
+
+def recursive(body: str, base: str = RATED) -> str:
+    return "WITH RECURSIVE " + base.strip() + body

@@ -105,3 +105,33 @@ SQL["h2h"] = _history("""
   (COUNT(*) FILTER (e.live = 1 AND e.opponent_id = against AND e.surface = here))::DOUBLE AS h2h_surface_matches,
   ROUND((COUNT(*) FILTER (e.live = 1 AND e.opponent_id = against AND e.surface = here AND e.won = 1) + 3.0::DOUBLE)
     / (COUNT(*) FILTER (e.live = 1 AND e.opponent_id = against AND e.surface = here) + 6), 6) AS h2h_surface_win_pct""")
+
+
+# ---------------------------------------------------------------- ratings
+def _blend(surface: str, n: str, on: str, overall: str) -> str:
+    w = B.BLEND.format(surface=surface, n=n)
+    return f"{w} * {on} + (1 - {w}) * {overall}"
+
+
+SQL["elo_history"] = B.recursive(f"""
+SELECT match_id, side, ROUND(elo, 6) AS elo, ROUND(elo_surface, 6) AS elo_surface,
+  ROUND(elo_points, 6) AS elo_points, ROUND(elo_games, 6) AS elo_games, ROUND(elo_peak, 6) AS elo_peak,
+  elo_matches::DOUBLE AS elo_matches, elo_surface_matches::DOUBLE AS elo_surface_matches,
+  ROUND({_blend("surface", "elo_surface_matches", "elo_surface", "elo")}, 6) AS elo_blend
+FROM ratings""")
+
+SQL["elo_leaderboard"] = B.recursive(f"""
+SELECT tour, player_id, elo, elo_points, elo_games, matches, peak_elo, last_date, elo_clay, place FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY tour ORDER BY raw_clay DESC, player_id) AS place FROM (
+    SELECT o.tour, o.player_id, ROUND(o.rating, 6) AS elo, ROUND(COALESCE(p.rating, 1500), 6) AS elo_points,
+      ROUND(COALESCE(g.rating, 1500), 6) AS elo_games, o.n::BIGINT AS matches, ROUND(o.peak, 6) AS peak_elo,
+      o.last_day AS last_date,
+      {_blend("'Clay'", "COALESCE(s.n, 0)", "COALESCE(s.rating, 1500)", "o.rating")} AS raw_clay,
+      ROUND(raw_clay, 6) AS elo_clay
+    FROM states o
+    LEFT JOIN states p ON p.tour = o.tour AND p.player_id = o.player_id AND p.kind = 'points'
+    LEFT JOIN states g ON g.tour = o.tour AND g.player_id = o.player_id AND g.kind = 'games'
+    LEFT JOIN states s ON s.tour = o.tour AND s.player_id = o.player_id AND s.kind = 'surface' AND s.store = 'Clay'
+    WHERE o.kind = 'overall' AND o.n >= 15
+      AND o.last_day >= (SELECT MAX(match_date) FROM matches) - INTERVAL 365 DAY))
+WHERE place <= 30""", B.FINAL)
