@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwise import settings as S
-from pairwise.operators import clean, history, ratings
+from pairwise.functions import market, pointmodel
+from pairwise.functions.numeric import clip
+from pairwise.operators import clean, features, history, metrics, ratings
 from pairwise.session import via_table
 from pairwise.sources import contests
 
@@ -165,3 +167,171 @@ def elo_leaderboard(spark, folder):
     return ranked.select(
         "tour", "player_id", "matches", "last_date", F.col("place").cast("bigint").alias("place"),
         *[r6(n) for n in ("elo", "elo_points", "elo_games", "peak_elo", "elo_clay")])
+
+
+# ---------------------------------------------------------------- prices and metrics
+def _forecasts(spark, folder) -> DataFrame:
+    """Contests seen from one side: label, a forecast from ranking, and prices."""
+    df = contests.contests(spark, folder)
+    first = features.first_is_winner(F.col("match_id"))
+    gap = F.log1p(F.col("loser_rank")) - F.log1p(F.col("winner_rank"))
+    points = (F.coalesce("winner_rank_points", F.lit(0.0))
+              - F.coalesce("loser_rank_points", F.lit(0.0))) / 20
+    return df.select(
+        "match_id", "tour", "surface", "match_date", first.cast("int").alias("label"),
+        F.when(first, gap).otherwise(-gap).alias("d_log_rank"),
+        F.when(first, points).otherwise(-points).alias("d_elo_blend"),
+        F.when(first, F.col("odds_winner")).otherwise(F.col("odds_loser")).alias("odds_a"),
+        F.when(first, F.col("odds_loser")).otherwise(F.col("odds_winner")).alias("odds_b"),
+    ).withColumns(
+        metrics.reference_columns(F.col("d_log_rank"), F.col("d_elo_blend"))
+    ).withColumn("prediction", F.round("ref_favourite", 4))
+
+
+@query
+def devig(spark, folder):
+    df = _forecasts(spark, folder)
+    a, b = F.col("odds_a"), F.col("odds_b")
+    return df.select(
+        "match_id", F.round(market.overround(a, b), 6).alias("overround"),
+        *[F.round(market.implied_probability(a, b, m), 6).alias(m) for m in market.METHODS])
+
+
+@query
+def betting(spark, folder):
+    df = _forecasts(spark, folder)
+    out = None
+    for stake, scale in (("kelly", 0.25), ("flat", None)):
+        part = metrics.betting_return(
+            df, ["tour"], "label", "prediction", "odds_a", "odds_b", 0.04, scale
+        ).withColumn("stake", F.lit(stake))
+        out = part if out is None else out.unionByName(part)
+    return out.select("tour", "stake", "bets", r6("staked", 4), r6("profit", 4), r6("roi"))
+
+
+@query
+def price_signals(spark, folder):
+    p, a, b = F.col("prediction"), F.col("odds_a"), F.col("odds_b")
+    fair = market.implied_probability(a, b)
+    return _forecasts(spark, folder).select(
+        "match_id", F.round(market.expected_value(p, a), 6).alias("value"),
+        F.round(market.kelly(p, a), 6).alias("kelly"),
+        F.round(market.closing_line_value(p, fair), 6).alias("clv"))
+
+
+@query
+def reference_models(spark, folder):
+    df = _forecasts(spark, folder)
+    out = None
+    for name in ("ref_coin", "ref_favourite", "ref_elo"):
+        part = df.groupBy("tour").agg(*metrics.score_columns(F.col("label"), F.col(name)))
+        part = part.withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.select("tour", "model", "n", *[
+        r6(c) for c in ("log_loss", "brier", "accuracy", "mean_prediction", "base_rate")])
+
+
+@query
+def calibration(spark, folder):
+    bins = metrics.calibration_bins(_forecasts(spark, folder), ["tour"], "label", "prediction", 10)
+    return bins.select("tour", F.col("bin").cast("bigint").alias("bin"), "n",
+                       r6("predicted"), r6("observed"))
+
+
+@query
+def calibration_error(spark, folder):
+    return metrics.calibration_error(
+        _forecasts(spark, folder), ["tour"], "label", "prediction").select("tour", r6("ece"))
+
+
+@query
+def calibration_slope(spark, folder):
+    return metrics.calibration_slope(
+        _forecasts(spark, folder), ["tour"], "label", "prediction"
+    ).select("tour", r6("calibration_slope", 5))
+
+
+@query
+def grouped_metrics(spark, folder):
+    df = metrics.pooled_summary(via_table(_forecasts(spark, folder), "forecasts"))
+    return df.select("group", "n", *[r6(c) for c in (
+        "log_loss", "brier", "accuracy", "ece", "mean_prediction", "base_rate",
+        "ref_coin_log_loss", "ref_favourite_log_loss", "ref_elo_log_loss", "skill_vs_elo")])
+
+
+@query
+def encompassing(spark, folder):
+    df = via_table(_forecasts(spark, folder), "forecasts").withColumn(
+        "fair", market.implied_probability(F.col("odds_a"), F.col("odds_b")))
+    return metrics.encompassing(df, "label", "ref_elo", "fair").select(
+        "n", "model_adds_information", *[r6(c, 5) for c in (
+            "market_coefficient", "model_coefficient", "intercept", "collinearity",
+            "p_value")], r6("lr_statistic", 4))
+
+
+@query
+def model_against_market(spark, folder):
+    df = via_table(_forecasts(spark, folder), "forecasts")
+    return metrics.against_market(df, "label", "prediction", "odds_a", "odds_b").select(
+        "n", "bets", "beats_market", *[r6(c) for c in (
+            "model_log_loss", "market_log_loss", "model_brier", "market_brier",
+            "mean_overround", "mean_abs_clv", "roi")], r6("staked", 4), r6("profit", 4))
+
+
+# ---------------------------------------------------------------- point model
+def _rates(spark, folder) -> DataFrame:
+    df = clean.derive_serve(contests.contests(spark, folder))
+    return df.select(
+        "match_id", "tour", "surface", "best_of", "winner_id", "loser_id",
+        clip(F.col("winner_spw_pct"), 0.3, 0.9).alias("p"),
+        clip(F.col("loser_spw_pct"), 0.3, 0.9).alias("q"))
+
+
+@query
+def hold_prob(spark, folder):
+    df = _rates(spark, folder)
+    return df.select("match_id", F.round(pointmodel.hold(F.col("p")), 6).alias("hold_a"),
+                     F.round(pointmodel.hold(F.col("q")), 6).alias("hold_b"))
+
+
+@query
+def tiebreak_set_match(spark, folder):
+    df = pointmodel.with_point_model(_rates(spark, folder), "p", "q", "best_of")
+    return df.select("match_id", *[
+        r6(f"pm_{c}") for c in ("tiebreak_a", "set", "long_set", "match")])
+
+
+@query
+def score_dist(spark, folder):
+    """Set scores, as modelled and scaled to a fixed 0.6 for the first side."""
+    df = pointmodel.with_point_model(_rates(spark, folder), "p", "q")
+    s, n = F.col("pm_set"), F.col("best_of")
+    both = F.arrays_zip(
+        pointmodel.score_rows(s, n).alias("raw"),
+        pointmodel.score_rows(s, n, F.lit(0.6)).alias("scaled"))
+    rows = df.select("match_id", F.explode(both).alias("row"))
+    return rows.select(
+        "match_id", F.col("row.raw.outcome").alias("outcome"),
+        F.round("row.raw.chance", 6).alias("chance"), F.round("row.scaled.chance", 6).alias("scaled"))
+
+
+@query
+def matchup_matrix(spark, folder):
+    """Every pair that has met, on every surface, from their average serve rates."""
+    df = _rates(spark, folder)
+    sides = df.select("tour", F.inline(F.array(
+        F.struct(F.col("winner_id").alias("player"), F.col("p").alias("rate")),
+        F.struct(F.col("loser_id").alias("player"), F.col("q").alias("rate")))))
+    rates = sides.groupBy("tour", "player").agg(F.round(F.avg("rate"), 4).alias("rate"))
+    pairs = df.select(
+        "tour", F.least("winner_id", "loser_id").alias("a"),
+        F.greatest("winner_id", "loser_id").alias("b")).distinct()
+    for side, rate in (("a", "p"), ("b", "q")):
+        pairs = pairs.join(
+            rates.select("tour", F.col("player").alias(side), F.col("rate").alias(rate)),
+            ["tour", side])
+    model = pointmodel.with_point_model(pairs, "p", "q")
+    s = F.col("pm_set")
+    return model.select("tour", "a", "b", r6("pm_hold_a"), r6("pm_hold_b"), *[
+        F.round(pointmodel.match_probability(s, F.lit(n)), 6).alias(f"best_of_{n}")
+        for n in (3, 5)])

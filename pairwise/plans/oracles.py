@@ -135,3 +135,207 @@ SELECT tour, player_id, elo, elo_points, elo_games, matches, peak_elo, last_date
     WHERE o.kind = 'overall' AND o.n >= 15
       AND o.last_day >= (SELECT MAX(match_date) FROM matches) - INTERVAL 365 DAY))
 WHERE place <= 30""", B.FINAL)
+
+
+# ---------------------------------------------------------------- prices and metrics
+FORECASTS = B.CONTESTS + """,
+coin AS (SELECT *, ('0x' || right(md5(match_id), 1))::INT % 2 = 0 AS first FROM contests),
+gaps AS (SELECT *, CASE WHEN first THEN 1 ELSE 0 END AS label, CASE WHEN first THEN 1 ELSE -1 END AS sgn,
+  CASE WHEN first THEN odds_winner ELSE odds_loser END AS a, CASE WHEN first THEN odds_loser ELSE odds_winner END AS b FROM coin),
+refs AS (SELECT *, 0.5::DOUBLE AS ref_coin,
+  1 / (1 + EXP(-0.62::DOUBLE * COALESCE(sgn * (LN(1 + loser_rank) - LN(1 + winner_rank)), 0))) AS ref_favourite,
+  1 / (1 + POW(10.0::DOUBLE, -(sgn * (COALESCE(winner_rank_points, 0) - COALESCE(loser_rank_points, 0)) / 20) / 400)) AS ref_elo
+  FROM gaps),
+fc AS (SELECT *, ROUND(ref_favourite, 4) AS prediction, 1 / a AS x, 1 / b AS y FROM refs),
+priced AS (SELECT *, x + y AS total,
+  CASE WHEN a > 1 AND b > 1 THEN LEAST(1 - 1e-6, GREATEST(1e-6, x - (x + y - 1) / 2)) END AS additive,
+  CASE WHEN a > 1 AND b > 1 THEN CASE WHEN x + y >= 1 THEN x - (x + y - 1) / 2 ELSE x / SQRT(x + y) END END AS fair FROM fc)
+"""
+_LOSS = "-(label * LN({p}) + (1 - label) * LN(1 - {p}))"
+_LOGIT = "LN({p} / (1 - {p}))"
+
+# The insider share by halving, and the power exponent by halving.
+SQL["devig"] = "WITH RECURSIVE " + FORECASTS.strip() + """,
+halved(match_id, x, y, step, zl, zh, kl, kh) AS (
+  SELECT match_id, x, y, 0, 0.0::DOUBLE, 0.9999::DOUBLE, 1.0::DOUBLE, 6.0::DOUBLE FROM fc WHERE a > 1 AND b > 1
+  UNION ALL
+  SELECT match_id, x, y, step + 1,
+    CASE WHEN insider > 1 THEN z ELSE zl END, CASE WHEN insider > 1 THEN zh ELSE z END,
+    CASE WHEN step >= 60 THEN kl WHEN POW(x, k) + POW(y, k) > 1 THEN k ELSE kl END,
+    CASE WHEN step >= 60 THEN kh WHEN POW(x, k) + POW(y, k) > 1 THEN kh ELSE k END
+  FROM (SELECT *, (SQRT(z * z + 4 * (1 - z) * x * x / (x + y)) - z) / (2 * (1 - z))
+             + (SQRT(z * z + 4 * (1 - z) * y * y / (x + y)) - z) / (2 * (1 - z)) AS insider
+        FROM (SELECT *, (zl + zh) / 2 AS z, (kl + kh) / 2 AS k FROM halved WHERE step < 80))),
+solved AS (SELECT *, (zl + zh) / 2 AS z, (kl + kh) / 2 AS k FROM halved WHERE step = 80)
+SELECT match_id, ROUND(x + y, 6) AS overround, ROUND(CASE WHEN a > 1 AND b > 1 THEN x / (x + y) END, 6) AS multiplicative,
+  ROUND(additive, 6) AS additive, ROUND(LEAST(1 - 1e-6, GREATEST(1e-6, POW(p.x, k))), 6) AS power,
+  ROUND(LEAST(1 - 1e-6, GREATEST(1e-6, (SQRT(z * z + 4 * (1 - z) * p.x * p.x / (p.x + p.y)) - z) / (2 * (1 - z)))), 6) AS shin
+FROM priced p LEFT JOIN (SELECT match_id, z, k FROM solved) USING (match_id)"""
+
+_KELLY = "LEAST(1, GREATEST(0, ({p} * ({o} - 1) - (1 - {p})) / ({o} - 1)))"
+_KA, _KB = _KELLY.format(p="prediction", o="a"), _KELLY.format(p="(1 - prediction)", o="b")
+_BETS = """
+side AS (SELECT *, CASE WHEN prediction * a - 1 > {edge} THEN 1 WHEN (1 - prediction) * b - 1 > {edge} THEN 2 ELSE 0 END AS back
+         FROM priced WHERE a > 1 AND b > 1),
+staked AS (SELECT *, {stake} AS amount FROM side),
+paid AS (SELECT *, CASE back WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN label = 1 THEN amount * (a - 1) ELSE -amount END
+           ELSE CASE WHEN label = 0 THEN amount * (b - 1) ELSE -amount END END AS won FROM staked)"""
+_QUARTER = f"CASE back WHEN 1 THEN 0.25::DOUBLE * {_KA} WHEN 2 THEN 0.25::DOUBLE * {_KB} ELSE 0 END"
+
+
+def _return(name: str, stake: str) -> str:
+    return B.with_("," + _BETS.format(edge="0.04::DOUBLE", stake=stake) + f"""
+SELECT tour, '{name}' AS stake, COUNT(*) FILTER (amount > 0) AS bets, ROUND(SUM(amount), 4) AS staked,
+  ROUND(SUM(won), 4) AS profit, ROUND(SUM(won) / SUM(amount), 6) AS roi FROM paid GROUP BY tour""", FORECASTS)
+
+
+SQL["betting"] = (
+    f"({_return('kelly', _QUARTER)}) UNION ALL "
+    f"({_return('flat', 'CASE WHEN back > 0 THEN 1.0::DOUBLE ELSE 0 END')})")
+
+SQL["price_signals"] = B.with_(f"""
+SELECT match_id, ROUND(prediction * a - 1, 6) AS value,
+  ROUND(CASE WHEN a > 1 THEN {_KA} ELSE 0 END, 6) AS kelly,
+  ROUND({_LOGIT.format(p="prediction")} - {_LOGIT.format(p="fair")}, 6) AS clv FROM priced""", FORECASTS)
+
+
+def _scores(p: str) -> str:
+    return f"""ROUND(AVG({_LOSS.format(p=p)}), 6) AS log_loss,
+  ROUND(AVG(({p} - label) * ({p} - label)), 6) AS brier,
+  ROUND(AVG(CASE WHEN ({p} > 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+  ROUND(AVG({p}), 6) AS mean_prediction, ROUND(AVG(label), 6) AS base_rate"""
+
+
+SQL["reference_models"] = " UNION ALL ".join(
+    "(" + B.with_(f"SELECT tour, '{p}' AS model, COUNT(*) AS n, {_scores(p)} FROM fc GROUP BY tour", FORECASTS) + ")"
+    for p in ("ref_coin", "ref_favourite", "ref_elo"))
+
+
+def _bins(source: str, group: str, count: int) -> str:
+    return f""",
+edges AS (SELECT {group}, unnest(quantile_cont(prediction, [i / {count}.0::DOUBLE FOR i IN range(1, {count})])) AS edge
+          FROM {source} GROUP BY {group}),
+placed AS (SELECT {group}, label, prediction,
+  (SELECT COUNT(*) FROM edges e WHERE e.{group} = s.{group} AND e.edge < s.prediction) AS bin FROM {source} s),
+binned AS (SELECT {group}, bin, COUNT(*) AS n, AVG(prediction) AS predicted, AVG(label) AS observed
+           FROM placed GROUP BY {group}, bin)"""
+
+
+SQL["calibration"] = B.with_(_bins("fc", "tour", 10) + """
+SELECT tour, bin, n, ROUND(predicted, 6) AS predicted, ROUND(observed, 6) AS observed FROM binned""", FORECASTS)
+_ECE = "SUM(n * ABS(predicted - observed)) / SUM(n)"
+SQL["calibration_error"] = B.with_(
+    _bins("fc", "tour", 12) + f"SELECT tour, ROUND({_ECE}, 6) AS ece FROM binned GROUP BY tour", FORECASTS)
+
+SQL["grouped_metrics"] = B.with_("""
+, spread AS (SELECT label, prediction, ref_coin, ref_favourite, ref_elo,
+    unnest(['all', tour, 'surface:' || surface]) AS grp FROM fc)""" + _bins("spread", "grp", 12) + f""",
+ece AS (SELECT grp, {_ECE} AS e FROM binned GROUP BY grp),
+scored AS (SELECT grp, COUNT(*) AS n, {_scores("prediction")},
+  AVG({_LOSS.format(p="prediction")}) AS m, AVG({_LOSS.format(p="ref_coin")}) AS r0,
+  AVG({_LOSS.format(p="ref_favourite")}) AS r1, AVG({_LOSS.format(p="ref_elo")}) AS r2 FROM spread GROUP BY grp)
+SELECT grp AS "group", n, log_loss, brier, accuracy, mean_prediction, base_rate, ROUND(e, 6) AS ece,
+  ROUND(r0, 6) AS ref_coin_log_loss, ROUND(r1, 6) AS ref_favourite_log_loss, ROUND(r2, 6) AS ref_elo_log_loss,
+  ROUND((r2 - m) / r2, 6) AS skill_vs_elo
+FROM scored JOIN ece USING (grp) WHERE n >= 100""", FORECASTS)
+
+
+def _newton(source: str, group: str) -> str:
+    """Logistic fit of y on x1 and x2 by twelve Newton steps (x2 may be constant zero)."""
+    return f""",
+newton(grp, step, b0, b1) AS (
+  SELECT DISTINCT {group}, 0, 0.0::DOUBLE, 1.0::DOUBLE FROM {source}
+  UNION ALL
+  SELECT grp, step + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (SELECT grp, step, b0, b1, SUM(y1 - mu) AS g0, SUM((y1 - mu) * x1) - 1e-6 * b1 AS g1, SUM(mu * (1 - mu)) AS h00,
+          SUM(mu * (1 - mu) * x1) AS h01, SUM(mu * (1 - mu) * x1 * x1) + 1e-6 AS h11
+        FROM (SELECT n.*, s.y1, s.x1, 1 / (1 + EXP(-(n.b0 + n.b1 * s.x1))) AS mu
+              FROM newton n JOIN {source} s ON s.{group} = n.grp WHERE step < 12) GROUP BY grp, step, b0, b1))"""
+
+
+SQL["calibration_slope"] = "WITH RECURSIVE " + FORECASTS.strip() + f""",
+pts AS (SELECT tour, label AS y1, {_LOGIT.format(p="prediction")} AS x1 FROM fc)""" + _newton("pts", "tour") + """
+SELECT grp AS tour, ROUND(b1, 5) AS calibration_slope FROM newton WHERE step = 12"""
+
+SQL["model_against_market"] = B.with_("," + _BETS.format(edge="0.03::DOUBLE", stake=_QUARTER) + f"""
+SELECT COUNT(*) AS n, COUNT(*) FILTER (amount > 0) AS bets,
+  AVG({_LOSS.format(p="prediction")}) < AVG({_LOSS.format(p="fair")}) AS beats_market,
+  ROUND(AVG({_LOSS.format(p="prediction")}), 6) AS model_log_loss, ROUND(AVG({_LOSS.format(p="fair")}), 6) AS market_log_loss,
+  ROUND(AVG((prediction - label) ** 2), 6) AS model_brier, ROUND(AVG((fair - label) ** 2), 6) AS market_brier,
+  ROUND(AVG(total), 6) AS mean_overround,
+  ROUND(AVG(ABS({_LOGIT.format(p="prediction")} - {_LOGIT.format(p="fair")})), 6) AS mean_abs_clv,
+  ROUND(SUM(won) / SUM(amount), 6) AS roi, ROUND(SUM(amount), 4) AS staked, ROUND(SUM(won), 4) AS profit
+FROM paid""", FORECASTS)
+
+# ---------------------------------------------------------------- point model
+RATES = B.MATCHES + """,
+rates AS (SELECT match_id, tour, best_of, winner_id, loser_id,
+  LEAST(0.9, GREATEST(0.3, winner_spw / winner_svpt)) AS p, LEAST(0.9, GREATEST(0.3, loser_spw / loser_svpt)) AS q
+  FROM matches)
+"""
+_HOLD = "(POW({p}, 4) * (1 + 4 * (1 - {p}) + 10 * POW(1 - {p}, 2)) + 20 * POW({p} * (1 - {p}), 3) * {p} * {p} / ({p} * {p} + (1 - {p}) * (1 - {p})))"
+SQL["hold_prob"] = B.with_(f"""
+SELECT match_id, ROUND({_HOLD.format(p="p")}, 6) AS hold_a, ROUND({_HOLD.format(p="q")}, 6) AS hold_b FROM rates""", RATES)
+
+
+def _sets(source: str, key: str) -> str:
+    """Set and tiebreak chances by walking point by point and game by game."""
+    return f""",
+walks AS (SELECT {key} AS k, p, q, {_HOLD.format(p="p")} AS h, {_HOLD.format(p="q")} AS g FROM {source}),
+tb_in AS (SELECT k, 'a' AS who, p AS mine, 1 - q AS theirs FROM walks UNION ALL SELECT k, 'b', q, 1 - p FROM walks),
+tb(k, who, mine, theirs, n, i, j, mass) AS (
+  SELECT k, who, mine, theirs, 0, 0, 0, 1.0::DOUBLE FROM tb_in
+  UNION ALL
+  SELECT k, who, mine, theirs, n + 1, i2, j2, SUM(m2) FROM (
+    SELECT k, who, mine, theirs, n, i + w AS i2, j + 1 - w AS j2,
+      mass * CASE WHEN w = 1 THEN chance ELSE 1 - chance END AS m2
+    FROM (SELECT *, CASE WHEN ((n + 1) // 2) % 2 = 0 THEN mine ELSE theirs END AS chance FROM tb
+          WHERE i < 7 AND j < 7 AND n < 12), (VALUES (0), (1)) v(w))
+  GROUP BY k, who, mine, theirs, n, i2, j2),
+tbw AS (SELECT k, who, SUM(CASE WHEN i = 7 THEN mass WHEN i = 6 AND j = 6
+    THEN mass * mine * theirs / (mine * theirs + (1 - mine) * (1 - theirs)) ELSE 0 END) AS win FROM tb GROUP BY k, who),
+gm(k, h, g, first, n, i, j, mass) AS (
+  SELECT k, h, g, f, 0, 0, 0, 1.0::DOUBLE FROM walks, (VALUES (0), (1)) s(f)
+  UNION ALL
+  SELECT k, h, g, first, n + 1, i2, j2, SUM(m2) FROM (
+    SELECT k, h, g, first, n, i + w AS i2, j + 1 - w AS j2,
+      mass * CASE WHEN w = 1 THEN chance ELSE 1 - chance END AS m2
+    FROM (SELECT *, CASE WHEN (n % 2 = 0) = (first = 1) THEN h ELSE 1 - g END AS chance FROM gm
+          WHERE NOT (i >= 6 AND i - j >= 2) AND NOT (j >= 6 AND j - i >= 2) AND n < 12), (VALUES (0), (1)) v(w))
+  GROUP BY k, h, g, first, n, i2, j2),
+sets AS (SELECT gm.k, ANY_VALUE(a.win) AS tba,
+  SUM(CASE WHEN i >= 6 AND i - j >= 2 THEN mass WHEN i = 6 AND j = 6
+      THEN mass * CASE WHEN first = 1 THEN a.win ELSE 1 - b.win END ELSE 0 END) / 2 AS s,
+  SUM(CASE WHEN i >= 6 AND i - j >= 2 THEN mass WHEN i = 6 AND j = 6
+      THEN mass * h * (1 - g) / (h * (1 - g) + (1 - h) * g) ELSE 0 END) / 2 AS ls
+  FROM gm JOIN tbw a ON a.k = gm.k AND a.who = 'a' JOIN tbw b ON b.k = gm.k AND b.who = 'b' GROUP BY gm.k)"""
+
+
+_BO3 = "(s * s * (3 - 2 * s))"
+_BO5 = "(s * s * s * (1 + 3 * (1 - s) + 6 * (1 - s) * (1 - s)))"
+SQL["tiebreak_set_match"] = "WITH RECURSIVE " + RATES.strip() + _sets("rates", "match_id") + f"""
+SELECT match_id, ROUND(tba, 6) AS pm_tiebreak_a, ROUND(s, 6) AS pm_set, ROUND(ls, 6) AS pm_long_set,
+  ROUND(CASE best_of WHEN 3 THEN {_BO3} ELSE {_BO5} END, 6) AS pm_match
+FROM sets JOIN rates ON k = match_id"""
+
+SQL["score_dist"] = "WITH RECURSIVE " + RATES.strip() + _sets("rates", "match_id") + f""",
+dist AS (
+  SELECT match_id, best_of, s, CASE WHEN best_of = 3 THEN {_BO3} ELSE {_BO5} END AS m, unnest(
+    CASE WHEN best_of = 3 THEN [{{'o': '2-0', 'w': 1, 'c': s * s}}, {{'o': '2-1', 'w': 1, 'c': 2 * s * s * (1 - s)}},
+      {{'o': '1-2', 'w': 0, 'c': 2 * s * POW(1 - s, 2)}}, {{'o': '0-2', 'w': 0, 'c': POW(1 - s, 2)}}]
+    ELSE [{{'o': '3-0', 'w': 1, 'c': POW(s, 3)}}, {{'o': '3-1', 'w': 1, 'c': 3 * POW(s, 3) * (1 - s)}},
+      {{'o': '3-2', 'w': 1, 'c': 6 * POW(s, 3) * POW(1 - s, 2)}}, {{'o': '2-3', 'w': 0, 'c': 6 * POW(s, 2) * POW(1 - s, 3)}},
+      {{'o': '1-3', 'w': 0, 'c': 3 * s * POW(1 - s, 3)}}, {{'o': '0-3', 'w': 0, 'c': POW(1 - s, 3)}}] END) AS d
+  FROM sets JOIN rates ON k = match_id)
+SELECT match_id, d.o AS outcome, ROUND(d.c, 6) AS chance,
+  ROUND(CASE WHEN d.w = 1 THEN d.c / m * 0.6::DOUBLE ELSE d.c / (1 - m) * 0.4::DOUBLE END, 6) AS scaled FROM dist"""
+
+SQL["matchup_matrix"] = "WITH RECURSIVE " + RATES.strip() + """,
+avg_rates AS (SELECT tour, player, ROUND(AVG(rate), 4) AS rate FROM (
+  SELECT tour, winner_id AS player, p AS rate FROM rates UNION ALL SELECT tour, loser_id, q FROM rates) GROUP BY ALL),
+pairs AS (SELECT m.tour, a, b, x.rate AS p, y.rate AS q, m.tour || '/' || a || '/' || b AS id
+  FROM (SELECT DISTINCT tour, LEAST(winner_id, loser_id) AS a, GREATEST(winner_id, loser_id) AS b FROM rates) m
+  JOIN avg_rates x ON x.tour = m.tour AND x.player = a JOIN avg_rates y ON y.tour = m.tour AND y.player = b)
+""" + _sets("pairs", "id") + f"""
+SELECT tour, a, b, ROUND({_HOLD.format(p="p")}, 6) AS pm_hold_a, ROUND({_HOLD.format(p="q")}, 6) AS pm_hold_b,
+  ROUND({_BO3}, 6) AS best_of_3, ROUND({_BO5}, 6) AS best_of_5 FROM pairs JOIN sets ON k = id"""
