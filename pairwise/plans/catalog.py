@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairwise import settings as S
 from pairwise.functions import market, pointmodel
 from pairwise.functions.numeric import clip
-from pairwise.operators import clean, features, history, metrics, ratings
+from pairwise.operators import clean, features, history, metrics, ratings, skill
 from pairwise.session import via_table
 from pairwise.sources import contests
 
@@ -335,3 +335,47 @@ def matchup_matrix(spark, folder):
     return model.select("tour", "a", "b", r6("pm_hold_a"), r6("pm_hold_b"), *[
         F.round(pointmodel.match_probability(s, F.lit(n)), 6).alias(f"best_of_{n}")
         for n in (3, 5)])
+
+
+# ---------------------------------------------------------------- opponent-adjusted skill
+@query
+def skill_observations(spark, folder):
+    """Observations per tour and refit after repeating them for each refit window."""
+    stored = stored_matches(spark, folder)
+    start, last = skill.calendar(stored)
+    rows = skill.at_cuts(skill.cells(skill.observations(stored), start), last)
+    return rows.groupBy("tour", "cut").agg(
+        F.round(F.sum("w"), 4).alias("weight"), F.round(F.sum("wy"), 4).alias("response"),
+        F.sum("svpt").alias("points"), F.sum("spw").alias("won"))
+
+
+def _latest_cells(spark, folder) -> DataFrame:
+    stored = stored_matches(spark, folder)
+    start, last = skill.calendar(stored)
+    rows = skill.at_cuts(skill.cells(skill.observations(stored), start), last)
+    return rows.filter(F.col("cut") == last)
+
+
+@query
+def skill_fit_sweeps(spark, folder):
+    """Three sweeps of the distributed solver at the last refit."""
+    fit = skill.fit_by_sweeps(_latest_cells(spark, folder), sweeps=3)
+    return fit.select(
+        "tour", "kind", "player_id", "surface", r6("serve"), r6("ret"))
+
+
+@query
+def raw_rates(spark, folder):
+    """Unadjusted rates and coverage of each player at the last refit."""
+    fits = skill.fit_rolling(stored_matches(spark, folder)).filter("kind = 'player'")
+    last = fits.groupBy("tour", "player_id").agg(F.max("cut").alias("cut"))
+    latest = fits.join(last, ["tour", "player_id", "cut"])
+    return latest.select("tour", "player_id", "cut", r6("raw_spw"), r6("raw_rpw"),
+                         r6("serve_points", 4), r6("return_points", 4))
+
+
+@query
+def skill_rolling(spark, folder):
+    stored = stored_matches(spark, folder)
+    df = skill.rolling_features(stored, via_table(skill.fit_rolling(stored), "fits"))
+    return df.select("match_id", *[r6(c, 5) for c in df.columns if c != "match_id"])

@@ -339,3 +339,59 @@ pairs AS (SELECT m.tour, a, b, x.rate AS p, y.rate AS q, m.tour || '/' || a || '
 """ + _sets("pairs", "id") + f"""
 SELECT tour, a, b, ROUND({_HOLD.format(p="p")}, 6) AS pm_hold_a, ROUND({_HOLD.format(p="q")}, 6) AS pm_hold_b,
   ROUND({_BO3}, 6) AS best_of_3, ROUND({_BO5}, 6) AS best_of_5 FROM pairs JOIN sets ON k = id"""
+
+
+# ---------------------------------------------------------------- opponent-adjusted skill
+OBSERVED = B.MATCHES + """,
+span AS (SELECT MIN(match_date) AS first_day, date_diff('day', MIN(match_date), MAX(match_date)) // 28 AS last_cut FROM matches),
+obs AS (SELECT *, spw / svpt AS rate, LEAST(0.98::DOUBLE, GREATEST(0.02::DOUBLE, spw / svpt)) AS cr,
+    LN(cr / (1 - cr)) AS y FROM (
+  SELECT match_id, tour, surface, match_date, winner_id AS server, loser_id AS returner, winner_svpt AS svpt, winner_spw AS spw
+  FROM matches WHERE has_serve_stats AND NOT walkover
+  UNION ALL SELECT match_id, tour, surface, match_date, loser_id, winner_id, loser_svpt, loser_spw
+  FROM matches WHERE has_serve_stats AND NOT walkover)),
+cuts AS (SELECT c AS cut, first_day + CAST(c * 28 AS INTEGER) AS as_of FROM span, range(0, last_cut + 1) t(c)),
+windowed AS (SELECT cut, o.*, svpt * POW(0.5::DOUBLE, date_diff('day', match_date, as_of) / 365.0::DOUBLE) AS w
+  FROM obs o JOIN cuts ON match_date < as_of AND match_date >= as_of - 1095)
+"""
+SQL["skill_observations"] = B.with_("""
+SELECT tour, cut, ROUND(SUM(w), 4) AS weight, ROUND(SUM(w * y), 4) AS response, SUM(svpt) AS points, SUM(spw) AS won
+FROM windowed GROUP BY tour, cut""", OBSERVED)
+
+SQL["raw_rates"] = B.with_("""
+, serving AS (SELECT tour, server AS player_id, cut, SUM(spw) / SUM(svpt) AS r, SUM(w) AS c FROM windowed GROUP BY ALL),
+returning_ AS (SELECT tour, returner AS player_id, cut, 1 - SUM(spw) / SUM(svpt) AS r, SUM(w) AS c FROM windowed GROUP BY ALL),
+both_ AS (SELECT tour, player_id, cut, s.r AS rs, q.r AS rr, s.c AS cs, q.c AS cr
+  FROM serving s FULL JOIN returning_ q USING (tour, player_id, cut))
+SELECT tour, player_id, cut, ROUND(rs, 6) AS raw_spw, ROUND(rr, 6) AS raw_rpw,
+  ROUND(COALESCE(cs, 0), 4) AS serve_points, ROUND(COALESCE(cr, 0), 4) AS return_points
+FROM both_ QUALIFY cut = MAX(cut) OVER (PARTITION BY tour, player_id)""", OBSERVED)
+
+
+def _sweeps(count: int) -> str:
+    """Unrolled sweeps: after each block its values join back to the observations."""
+    text = ", c0 AS MATERIALIZED (SELECT w.*, 0.0::DOUBLE AS m, 0.0::DOUBLE AS s, 0.0::DOUBLE AS so, 0.0::DOUBLE AS r, 0.0::DOUBLE AS ro FROM windowed w, span WHERE cut = last_cut)"
+    blocks = [("m", "tour, surface", "y - s - so + r + ro", 0), ("s", "tour, server", "y - m - so + r + ro", 200),
+              ("r", "tour, returner", "m + s + so - ro - y", 200),
+              ("so", "tour, server, surface", "y - m - s + r + ro", 550),
+              ("ro", "tour, returner, surface", "m + s + so - r - y", 550)]
+    n = 0
+    for _ in range(count):
+        for name, key, residual, penalty in blocks:
+            n += 1
+            text += (f",\nn{n} AS MATERIALIZED (SELECT {key}, SUM(w * ({residual})) / (SUM(w) + {penalty}) AS v FROM c{n - 1} GROUP BY {key}),"
+                     f"\nc{n} AS MATERIALIZED (SELECT c.* REPLACE (v AS {name}) FROM c{n - 1} c JOIN n{n} USING ({key}))")
+    return text + f", done AS (SELECT * FROM c{n})"
+
+
+SQL["skill_fit_sweeps"] = B.with_(_sweeps(3) + """
+SELECT tour, 'base' AS kind, NULL::BIGINT AS player_id, surface, ROUND(ANY_VALUE(m), 6) AS serve, NULL::DOUBLE AS ret FROM done GROUP BY tour, surface
+UNION ALL
+SELECT tour, 'player', COALESCE(server, returner), NULL, ROUND(COALESCE(sv, 0), 6), ROUND(COALESCE(rv, 0), 6)
+FROM (SELECT tour, server, ANY_VALUE(s) AS sv FROM done GROUP BY tour, server) a
+FULL JOIN (SELECT tour, returner, ANY_VALUE(r) AS rv FROM done GROUP BY tour, returner) b USING (tour) WHERE server = returner
+UNION ALL
+SELECT COALESCE(a.tour, b.tour), 'surface', COALESCE(server, returner), COALESCE(a.surface, b.surface), ROUND(sv, 6), ROUND(rv, 6)
+FROM (SELECT tour, server, surface, ANY_VALUE(so) AS sv FROM done GROUP BY ALL) a
+FULL JOIN (SELECT tour, returner, surface, ANY_VALUE(ro) AS rv FROM done GROUP BY ALL) b
+  ON a.tour = b.tour AND server = returner AND a.surface = b.surface""", OBSERVED)
