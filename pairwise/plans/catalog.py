@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pairwise import settings as S
 from pairwise.functions import market, pointmodel
 from pairwise.functions.numeric import clip
-from pairwise.operators import clean, features, history, metrics, ratings, skill
-from pairwise.session import via_table
-from pairwise.sources import contests
+from pairwise.operators import clean, features, history, metrics, names, ratings, skill
+from pairwise.operators import directory as players
+from pairwise.session import scratch_path, via_table
+from pairwise.sources import contests, odds, seasons
+from pairwise.sources.tables import load_table, read_table, save_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -102,10 +104,10 @@ def _points_rating(df: DataFrame) -> DataFrame:
     })
 
 
-def _history(spark, folder, names: list[str]) -> DataFrame:
+def _history(spark, folder, wanted: list[str]) -> DataFrame:
     stored = stored_matches(spark, folder)
-    features = history.history(history.appearances(_points_rating(stored)))
-    return features.select("match_id", "side", *[r6(n) for n in names])
+    rows = history.history(history.appearances(_points_rating(stored)))
+    return rows.select("match_id", "side", *[r6(n) for n in wanted])
 
 
 @query
@@ -139,10 +141,10 @@ def h2h(spark, folder):
 
 
 # ---------------------------------------------------------------- ratings
-def _by_side(df: DataFrame, names: list[str]) -> DataFrame:
+def _by_side(df: DataFrame, wanted: list[str]) -> DataFrame:
     """w_/l_ columns as one row per side."""
     sides = F.array(*[
-        F.struct(F.lit(s).alias("side"), *[F.col(f"{s}_{n}").alias(n) for n in names])
+        F.struct(F.lit(s).alias("side"), *[F.col(f"{s}_{n}").alias(n) for n in wanted])
         for s in ("w", "l")
     ])
     return df.select("match_id", F.inline(sides))
@@ -150,10 +152,9 @@ def _by_side(df: DataFrame, names: list[str]) -> DataFrame:
 
 @query
 def elo_history(spark, folder):
-    names = ratings.PRE_MATCH
     rated = ratings.rate(stored_matches(spark, folder))
-    sides = _by_side(ratings.pre_match(rated), names)
-    return sides.select("match_id", "side", *[r6(n) for n in names])
+    sides = _by_side(ratings.pre_match(rated), ratings.PRE_MATCH)
+    return sides.select("match_id", "side", *[r6(n) for n in ratings.PRE_MATCH])
 
 
 @query
@@ -379,3 +380,144 @@ def skill_rolling(spark, folder):
     stored = stored_matches(spark, folder)
     df = skill.rolling_features(stored, via_table(skill.fit_rolling(stored), "fits"))
     return df.select("match_id", *[r6(c, 5) for c in df.columns if c != "match_id"])
+
+
+# ---------------------------------------------------------------- directory and names
+@query
+def directory(spark, folder):
+    table = players.build(contests.contests(spark, folder))
+    date = F.lit("2001-12-31").cast("date")
+    age = players.age_on(F.col("last_age"), F.col("last_played"), date)
+    return table.select(
+        "tour", "player_id", "name", "hand", "height_cm", "ioc", "last_rank",
+        "last_rank_points", "last_played", "first_played", "matches", "wins", r6("win_pct"),
+        F.round(age, 6).alias("age"))
+
+
+@query
+def player_search(spark, folder):
+    table = players.build(contests.contests(spark, folder))
+    return players.search(table, "lier#00000000", min_matches=5, limit=40).select(
+        "tour", "player_id", "name", "matches", "last_played")
+
+
+def _mentions(spark, folder) -> DataFrame:
+    """Capitalised word groups anywhere in the documents, as names; the language is the pool."""
+    docs = read_table(spark, folder, "documents")
+    found = F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{L}+ \p{L}+ ?\p{L}*)"), 1)
+    rows = docs.select(F.col("lang").alias("tour"), F.explode(found).alias("name"))
+    number = F.conv(F.substring(F.md5("name"), 1, 8), 16, 10).cast("long")
+    return rows.withColumn("number", number)
+
+
+def _people(mentions: DataFrame) -> DataFrame:
+    return mentions.select(
+        "tour", F.col("number").alias("player_id"), "name",
+        F.when(F.col("number") % 7 != 0, (F.col("number") % 500).cast("double"))
+        .alias("last_rank")).distinct()
+
+
+def _published(mentions: DataFrame) -> DataFrame:
+    """The same people as a price source writes them: surname, then initials."""
+    words = F.split("name", " ")
+    initial = F.substring(F.get(words, F.lit(0)), 1, (F.col("number") % 2 + 1).cast("int"))
+    name = F.concat(
+        F.array_join(F.slice(words, F.lit(2), F.size(words)), " "), F.lit(" "), initial, F.lit("."))
+    rank = F.when(F.col("number") % 11 != 0, (F.col("number") % 500 + F.col("number") % 3)
+                  .cast("double"))
+    return mentions.select("tour", name.alias("name"), rank.alias("rank"))
+
+
+@query
+def name_keys(spark, folder):
+    mentions = _mentions(spark, folder)
+    given = names.with_keys(
+        mentions.select("name").distinct(), "name", names.GIVEN_FIRST
+    ).withColumn("name_order", F.lit("given_first"))
+    surname = names.with_keys(
+        _published(mentions).select("name").distinct(), "name", names.SURNAME_FIRST
+    ).withColumn("name_order", F.lit("surname_first"))
+    return given.unionByName(surname).select(
+        "name", "name_order", names.primary_key(F.col("keys")).alias("main_key"),
+        F.explode_outer("keys").alias("key")).filter("key IS NOT NULL")
+
+
+@query
+def name_resolution(spark, folder):
+    mentions = via_table(_mentions(spark, folder), "mentions")
+    return names.resolve(_published(mentions), _people(mentions))
+
+
+@query
+def name_report(spark, folder):
+    mentions = via_table(_mentions(spark, folder), "mentions")
+    published = _published(mentions)
+    resolved = via_table(names.resolve(published, _people(mentions)), "resolved")
+    return names.resolution_report(published, resolved)
+
+
+# ---------------------------------------------------------------- sources
+@query
+def season_files(spark, folder):
+    """Contests published as season CSV files, read back and normalised."""
+    root = scratch_path(spark, "seasons")
+    raw = seasons.to_raw_rows(contests.contests(spark, folder))
+    raw.write.option("header", True).option("emptyValue", "").csv(f"{root}/atp/atp_matches_all.csv")
+    table = save_table(
+        clean.normalise(
+            seasons.read_csv(spark, f"{root}/atp/atp_matches_*.csv"), F.lit("atp"),
+            "_file", "_start", "_row"),
+        f"{root}/matches", "tour")
+    return load_table(spark, table).select(
+        "match_id", "match_date", "surface", "level", "best_of", "winner_id", "loser_id",
+        "winner_spw", "loser_svpt", "has_serve_stats", "walkover", r6("dominance"),
+        "winner_hand", "winner_height_cm", "indoor",
+        F.col("altitude_m").cast("bigint").alias("altitude_m"))
+
+
+def _raw_prices(spark, folder) -> DataFrame:
+    df = contests.contests(spark, folder)
+    n = F.col("match_num")
+    w, l = F.col("odds_winner"), F.col("odds_loser")
+    return df.select(
+        "match_id", F.col("match_date").cast("string").alias("Date"),
+        F.concat(F.lit(" "), F.col("tourney_name")).alias("Tournament"),
+        F.when(n % 4 == 0, " Grand Slam").when(n % 4 == 1, "ATP500").when(
+            n % 4 == 2, "Masters Cup").otherwise("Unheard of").alias("Tier"),
+        F.when(n % 3 == 0, "Indoor").when(n % 3 == 1, " Outdoor").alias("Court"),
+        F.lower("surface").alias("Surface"),
+        F.when(n % 5 == 0, "Retired hurt").when(n % 5 == 1, "W/O").when(
+            n % 5 == 2, "Completed").alias("Comment"),
+        F.when(n % 2 == 0, w).alias("PSW"), F.when(n % 3 == 0, l).alias("PSL"),
+        F.when(n % 5 != 0, w).cast("string").alias("B365W"),
+        F.when(n % 7 == 0, F.lit("n/a")).otherwise((l * 300).cast("string")).alias("B365L"),
+        (w + 0.05).alias("AvgW"), F.when(n % 4 != 1, l + 0.05).alias("AvgL"))
+
+
+@query
+def odds_prices(spark, folder):
+    raw = _raw_prices(spark, folder)
+    clean_ = odds.normalise(raw, F.col("match_id"))
+    best = odds.best_price(clean_)
+    return best.select(
+        F.col("tour").alias("match_id"), "match_date", "tournament", "series", "level",
+        "indoor", "surface", "best_of", "retirement", "walkover", "odds_book",
+        r6("odds_winner"), r6("odds_loser"))
+
+
+@query
+def odds_by_book(spark, folder):
+    rows = odds.price_rows(odds.normalise(_raw_prices(spark, folder), F.lit("ATP")))
+    return rows.groupBy("tour", "book").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.avg("odds_w"), 6).alias("mean_w"),
+        F.round(F.avg("odds_l"), 6).alias("mean_l"))
+
+
+@query
+def odds_join(spark, folder):
+    """Contests joined to price rows of the same players dated a few days off."""
+    df = contests.contests(spark, folder)
+    prices = df.withColumn(
+        "match_date", F.date_add("match_date", (F.col("match_num") % 13 - 4).cast("int")))
+    return odds.join_matches(df, prices, 5).select(
+        "match_id", "price_date", r6("odds_winner"), r6("odds_loser"))

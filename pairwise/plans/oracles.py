@@ -395,3 +395,123 @@ SELECT COALESCE(a.tour, b.tour), 'surface', COALESCE(server, returner), COALESCE
 FROM (SELECT tour, server, surface, ANY_VALUE(so) AS sv FROM done GROUP BY ALL) a
 FULL JOIN (SELECT tour, returner, surface, ANY_VALUE(ro) AS rv FROM done GROUP BY ALL) b
   ON a.tour = b.tour AND server = returner AND a.surface = b.surface""", OBSERVED)
+
+
+# ---------------------------------------------------------------- directory and names
+DIRECTORY = B.CONTESTS + """,
+both_sides AS (
+  SELECT tour, match_date, tourney_id, match_num, 0 AS place, 1 AS won, winner_id AS player_id, winner_name AS name,
+    winner_hand AS hand, winner_height_cm AS height_cm, winner_ioc AS ioc, winner_age AS age, winner_rank AS rank, winner_rank_points AS rank_points FROM contests
+  UNION ALL
+  SELECT tour, match_date, tourney_id, match_num, 1, 0, loser_id, loser_name, loser_hand, loser_height_cm, loser_ioc, loser_age,
+    loser_rank, loser_rank_points FROM contests),
+dir AS (SELECT tour, player_id,
+    """ + ",\n    ".join(
+    f"(list({c} ORDER BY match_date DESC, place DESC, tourney_id DESC, match_num DESC) FILTER ({c} IS NOT NULL))[1] AS {n}"
+    for c, n in (("name", "name"), ("hand", "hand"), ("height_cm", "height_cm"), ("ioc", "ioc"), ("age", "last_age"),
+                 ("rank", "last_rank"), ("rank_points", "last_rank_points"))) + """,
+    MAX(match_date) AS last_played, MIN(match_date) AS first_played, COUNT(*) AS matches, SUM(won)::BIGINT AS wins
+  FROM both_sides GROUP BY tour, player_id)
+"""
+SQL["directory"] = B.with_("""
+SELECT tour, player_id, name, hand, height_cm, ioc, last_rank, last_rank_points, last_played, first_played, matches, wins,
+  ROUND(wins / matches, 6) AS win_pct,
+  ROUND(last_age + GREATEST(0, date_diff('day', last_played, DATE '2001-12-31') / 365.25::DOUBLE), 6) AS age
+FROM dir""", DIRECTORY)
+SQL["player_search"] = B.with_("""
+SELECT tour, player_id, name, matches, last_played FROM dir WHERE matches >= 5 AND name ILIKE '%lier#00000000%'
+ORDER BY last_played DESC, matches DESC, tour, player_id LIMIT 40""", DIRECTORY)
+
+_PARTICLES = "['de','del','della','der','den','di','da','dos','das','du','van','von','vander','ter','te','la','le','el','al','bin','ibn','mc','mac','st','san','santa','do','af','auf','ten','op','in']"
+MENTIONS = r"""
+found AS (SELECT lang AS tour, unnest(regexp_extract_all(text, '(\p{Lu}\p{L}+ \p{L}+ ?\p{L}*)', 1)) AS name FROM documents),
+mentions AS MATERIALIZED (SELECT *, ('0x' || substr(md5(name), 1, 8))::BIGINT AS number FROM found),
+published AS MATERIALIZED (SELECT tour, array_to_string(w[2:], ' ') || ' ' || substr(w[1], 1, (number % 2 + 1)::INT) || '.' AS name,
+  CASE WHEN number % 11 <> 0 THEN (number % 500 + number % 3)::DOUBLE END AS rank
+  FROM (SELECT *, string_split(name, ' ') AS w FROM mentions)),
+people AS (SELECT DISTINCT tour, number AS player_id, name, CASE WHEN number % 7 <> 0 THEN (number % 500)::DOUBLE END AS last_rank FROM mentions),
+asked AS (SELECT DISTINCT name, 'given_first' AS name_order FROM mentions UNION ALL SELECT DISTINCT name, 'surname_first' FROM published),
+worded AS (SELECT name, name_order, list_filter(string_split(trim(regexp_replace(replace(lower(strip_accents(name)), '''', ''), '[^a-z0-9]+', ' ', 'g')), ' '),
+    lambda t: t <> '' AND t NOT IN ('jr','ii','iii','iv','sr')) AS t FROM asked),
+marked AS MATERIALIZED (SELECT *, list_transform(t, lambda x: regexp_full_match(x, '[a-z]') OR (regexp_full_match(x, '[a-z]{2}') AND NOT list_contains(PARTICLES, x))) AS ini FROM worded),
+placed AS (SELECT *, COALESCE(list_position(ini[2:], TRUE), 0) AS spot FROM marked WHERE len(t) > 1),
+parts AS (SELECT name, name_order,
+  CASE WHEN name_order = 'given_first' OR (spot = 0 AND ini[1]) THEN t[2:] WHEN spot > 0 THEN t[1:spot] ELSE t[1:len(t) - 1] END AS sur,
+  CASE WHEN name_order = 'given_first' OR (spot = 0 AND ini[1]) THEN t[1] WHEN spot > 0 THEN t[spot + 1] ELSE t[len(t)] END AS given FROM placed),
+readings AS (SELECT DISTINCT name, name_order, given, unnest(list_filter([array_to_string(sur, ''), sur[len(sur)],
+    CASE WHEN len(sur) > 2 THEN sur[len(sur) - 1] || sur[len(sur)] END,
+    array_to_string(list_filter(sur, lambda x: NOT list_contains(PARTICLES, x)), '')], lambda r: r IS NOT NULL AND r <> '')) AS r FROM parts),
+keyed AS MATERIALIZED (
+  SELECT name, name_order, r || '|' || substr(given, 1, 1) AS key, 1 AS size FROM readings
+  UNION SELECT name, name_order, r || '|' || substr(given, 1, 2), 2 FROM readings WHERE length(given) >= 2
+  UNION SELECT name, name_order, t[1] || '|', 0 FROM worded WHERE len(t) = 1)
+""".replace("PARTICLES", _PARTICLES)
+SQL["name_keys"] = B.with_("""
+SELECT name, name_order, key, FIRST_VALUE(key) OVER (PARTITION BY name, name_order ORDER BY length(split_part(key, '|', 1)) DESC, key) AS main_key
+FROM (SELECT DISTINCT name, name_order, key FROM keyed)""", MENTIONS)
+
+RESOLVED = MENTIONS + """,
+cand AS MATERIALIZED (
+  SELECT DISTINCT p.tour, p.name, p.rank, q.size, d.player_id, d.last_rank
+  FROM (SELECT DISTINCT tour, name, rank FROM published) p
+  JOIN keyed q ON q.name = p.name AND q.name_order = 'surname_first'
+  JOIN keyed g ON g.key = q.key AND g.name_order = 'given_first'
+  JOIN people d ON d.name = g.name AND d.tour = p.tour),
+uniq AS (SELECT DISTINCT tour, name, rank, player_id, ABS(last_rank - rank) AS gap FROM cand),
+ordered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY tour, name, rank ORDER BY gap, player_id) AS nth FROM uniq WHERE gap IS NOT NULL),
+tie AS (SELECT tour, name, rank, MAX(player_id) FILTER (nth = 1) AS closest, MAX(gap) FILTER (nth = 1) AS g1, MAX(gap) FILTER (nth = 2) AS g2
+        FROM ordered WHERE nth <= 2 GROUP BY ALL),
+summed AS (SELECT tour, name, rank, COUNT(DISTINCT player_id) AS n, MAX(player_id) AS one,
+  COUNT(DISTINCT player_id) FILTER (size = 2) AS n2, MAX(player_id) FILTER (size = 2) AS one2 FROM cand GROUP BY ALL),
+resolved AS (
+  SELECT p.tour, p.name, p.rank, CASE WHEN n2 = 1 THEN one2 WHEN n = 1 THEN one
+      WHEN closest IS NOT NULL AND (g2 IS NULL OR (g1 <= 10 AND g2 > 3 * g1)) THEN closest END AS player_id,
+    n, (SELECT COUNT(*) FROM keyed k WHERE k.name = p.name AND k.name_order = 'surname_first') AS keys
+  FROM (SELECT DISTINCT tour, name, rank FROM published) p
+  LEFT JOIN summed s ON s.tour = p.tour AND s.name = p.name AND s.rank IS NOT DISTINCT FROM p.rank
+  LEFT JOIN tie t ON t.tour = p.tour AND t.name = p.name AND t.rank = p.rank),
+stated AS (SELECT tour, name, rank, player_id, CASE WHEN keys = 0 THEN 'blank' WHEN player_id IS NOT NULL THEN 'resolved'
+    WHEN n IS NULL THEN 'unresolved' ELSE 'ambiguous' END AS status FROM resolved)
+"""
+SQL["name_resolution"] = B.with_("SELECT tour, name, rank, player_id, status FROM stated", RESOLVED)
+SQL["name_report"] = B.with_("""
+SELECT status, COUNT(*) AS rows, COUNT(DISTINCT p.name) AS names FROM published p
+JOIN stated s ON s.tour = p.tour AND s.name = p.name AND s.rank IS NOT DISTINCT FROM p.rank GROUP BY status""", RESOLVED)
+
+# ---------------------------------------------------------------- sources
+SQL["season_files"] = B.with_("""
+SELECT 'atp-' || tourney_id || '-' || match_num AS match_id,
+  match_date + CAST(round_even(LEAST(14, GREATEST(0, (ord - 7) * (CASE WHEN draw_size >= 96 THEN 1.4::DOUBLE
+    WHEN draw_size >= 48 THEN 1.1::DOUBLE ELSE 0.9::DOUBLE END) + 1)), 0) AS INTEGER) AS match_date,
+  surface, level, best_of, winner_id, loser_id, winner_spw, loser_svpt, has_serve_stats, walkover, ROUND(dominance, 6) AS dominance,
+  winner_hand, winner_height_cm, indoor, altitude_m::BIGINT AS altitude_m
+FROM (SELECT *, CASE round WHEN 'RR' THEN 6 WHEN 'R128' THEN 7 WHEN 'R64' THEN 8 WHEN 'R32' THEN 9
+  WHEN 'R16' THEN 10 WHEN 'QF' THEN 11 WHEN 'SF' THEN 12 ELSE 13 END AS ord FROM matches)""")
+
+PRICES = B.CONTESTS + """,
+prices AS (SELECT *, match_num AS n,
+    CASE WHEN match_num % 2 = 0 AND odds_winner > 1 THEN odds_winner END AS psw, CASE WHEN match_num % 3 = 0 AND odds_loser > 1 THEN odds_loser END AS psl,
+    CASE WHEN match_num % 5 <> 0 AND odds_winner > 1 THEN odds_winner END AS bw,
+    CASE WHEN match_num % 7 <> 0 AND odds_loser * 300 < 1000 THEN odds_loser * 300 END AS bl,
+    odds_winner + 0.05::DOUBLE AS aw, CASE WHEN match_num % 4 <> 1 THEN odds_loser + 0.05::DOUBLE END AS al FROM contests)
+"""
+SQL["odds_prices"] = B.with_("""
+SELECT match_id, match_date, tourney_name AS tournament,
+  CASE n % 4 WHEN 0 THEN 'Grand Slam' WHEN 1 THEN 'ATP500' WHEN 2 THEN 'Masters Cup' ELSE 'Unheard of' END AS series,
+  CASE n % 4 WHEN 0 THEN 'G' WHEN 2 THEN 'F' ELSE 'A' END AS level,
+  CASE n % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS indoor, surface, 3 AS best_of,
+  n % 5 = 0 AS retirement, n % 5 = 1 AS walkover,
+  CASE WHEN psw IS NOT NULL AND psl IS NOT NULL THEN 'ps' WHEN al IS NOT NULL THEN 'avg' WHEN bw IS NOT NULL AND bl IS NOT NULL THEN 'b365' END AS odds_book,
+  ROUND(CASE odds_book WHEN 'ps' THEN psw WHEN 'avg' THEN aw WHEN 'b365' THEN bw END, 6) AS odds_winner,
+  ROUND(CASE odds_book WHEN 'ps' THEN psl WHEN 'avg' THEN al WHEN 'b365' THEN bl END, 6) AS odds_loser
+FROM prices""", PRICES).replace("SELECT match_id, match_date, tourney_name", "SELECT LOWER(match_id) AS match_id, match_date, tourney_name")
+SQL["odds_by_book"] = B.with_("""
+SELECT 'atp' AS tour, book, COUNT(*) AS rows, ROUND(AVG(w), 6) AS mean_w, ROUND(AVG(l), 6) AS mean_l
+FROM (SELECT 'ps' AS book, psw AS w, psl AS l FROM prices UNION ALL SELECT 'b365', bw, bl FROM prices UNION ALL SELECT 'avg', aw, al FROM prices)
+WHERE w IS NOT NULL OR l IS NOT NULL GROUP BY book""", PRICES)
+SQL["odds_join"] = B.with_("""
+SELECT match_id, price_date, ROUND(odds_winner, 6) AS odds_winner, ROUND(odds_loser, 6) AS odds_loser FROM (
+  SELECT c.match_id, p.match_date + CAST(p.match_num % 13 - 4 AS INTEGER) AS price_date, p.odds_winner, p.odds_loser,
+    ROW_NUMBER() OVER (PARTITION BY c.match_id ORDER BY ABS(date_diff('day', c.match_date, price_date)), price_date, p.odds_winner, p.odds_loser) AS nth
+  FROM contests c JOIN contests p USING (tour, winner_id, loser_id)
+  WHERE ABS(date_diff('day', c.match_date, price_date)) <= 5) WHERE nth = 1""", B.CONTESTS)
