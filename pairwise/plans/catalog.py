@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pairwise import settings as S
 from pairwise.functions import market, pointmodel
 from pairwise.functions.numeric import clip
-from pairwise.operators import clean, features, history, metrics, names, ratings, skill
+from pairwise.operators import clean, features, history, learners, metrics, names, ratings
+from pairwise.operators import skill, walkforward
 from pairwise.operators import directory as players
 from pairwise.session import scratch_path, via_table
 from pairwise.sources import contests, odds, seasons
@@ -521,3 +522,64 @@ def odds_join(spark, folder):
         "match_date", F.date_add("match_date", (F.col("match_num") % 13 - 4).cast("int")))
     return odds.join_matches(df, prices, 5).select(
         "match_id", "price_date", r6("odds_winner"), r6("odds_loser"))
+
+
+# ---------------------------------------------------------------- matrix and model
+def stored_features(spark, folder) -> DataFrame:
+    return via_table(features.build(stored_matches(spark, folder))[0], "features")
+
+
+@query
+def feature_matrix(spark, folder):
+    df = features.build(stored_matches(spark, folder))[0]
+    return df.select(*features.META, *[r6(c) for c in features.model_columns(df.columns)])
+
+
+@query
+def orientation_flip(spark, folder):
+    """Player 1 and 2 of every contest and some signed columns, from either view."""
+    df = contests.contests(spark, folder)
+    coin = features.first_is_winner(F.col("match_id"))
+    gap = F.log1p(F.col("loser_rank")) - F.log1p(F.col("winner_rank"))
+    df = df.select(
+        "match_id", coin.cast("int").cast("bigint").alias("label"),
+        F.when(coin, F.col("winner_id")).otherwise(F.col("loser_id")).alias("p1_id"),
+        F.when(coin, gap).otherwise(-gap).alias("d_log_rank"),
+        (F.col("winner_spw") / F.col("winner_svpt")).alias("markov_prob"),
+        F.col("best_of").cast("double").alias("best_of"))
+    view = features.flipped(["d_log_rank", "markov_prob", "best_of"])
+    return df.select("match_id", "label", "p1_id", r6("d_log_rank"), *[
+        F.round(c, 6).alias(f"{n}_flipped") for n, c in view.items()])
+
+
+@query
+def feature_envelope(spark, folder):
+    """Percentile bounds of some plain columns, over all contests."""
+    df = contests.contests(spark, folder).select(
+        F.col("winner_age").alias("mean_age"), "minutes",
+        (F.col("winner_rank") - F.col("loser_rank")).alias("d_rank"), F.lit(1.0).alias("flat"))
+    bounds = features.envelope(df, ["mean_age", "minutes", "d_rank", "flat"])
+    return bounds.select("feature", r6("low"), r6("high"))
+
+
+@query
+def train_predict(spark, folder):
+    matrix = stored_features(spark, folder)
+    model = learners.Ensemble().fit(matrix)
+    scored = model.predict(matrix, keep_base=True)
+    return scored.select("match_id", "label", "prediction", *[f"b_{n}" for n in learners.NAMES])
+
+
+@query
+def walk_forward(spark, folder):
+    return walkforward.by_season(via_table(
+        walkforward.walk_forward(stored_features(spark, folder)), "predictions"))
+
+
+@query
+def occlusion(spark, folder):
+    """Contribution of every group of evidence to every contest's forecast."""
+    matrix = stored_features(spark, folder)
+    model = learners.Ensemble().fit(matrix)
+    scored = model.predict(model.clamp(matrix))
+    return learners.occlusion(model, scored, "match_id", features.GROUPS)

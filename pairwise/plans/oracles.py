@@ -515,3 +515,19 @@ SELECT match_id, price_date, ROUND(odds_winner, 6) AS odds_winner, ROUND(odds_lo
     ROW_NUMBER() OVER (PARTITION BY c.match_id ORDER BY ABS(date_diff('day', c.match_date, price_date)), price_date, p.odds_winner, p.odds_loser) AS nth
   FROM contests c JOIN contests p USING (tour, winner_id, loser_id)
   WHERE ABS(date_diff('day', c.match_date, price_date)) <= 5) WHERE nth = 1""", B.CONTESTS)
+
+
+# ---------------------------------------------------------------- matrix
+SQL["orientation_flip"] = B.with_("""
+SELECT match_id, label, p1_id, ROUND(d, 6) AS d_log_rank, ROUND(-d, 6) AS d_log_rank_flipped,
+  ROUND(1 - winner_spw / winner_svpt, 6) AS markov_prob_flipped, best_of::DOUBLE AS best_of_flipped
+FROM (SELECT *, first::INT::BIGINT AS label, CASE WHEN first THEN winner_id ELSE loser_id END AS p1_id,
+   (CASE WHEN first THEN 1 ELSE -1 END) * (LN(1 + loser_rank) - LN(1 + winner_rank)) AS d FROM
+   (SELECT *, ('0x' || right(md5(match_id), 1))::INT % 2 = 0 AS first FROM contests))""", B.CONTESTS)
+SQL["feature_envelope"] = B.with_("""
+SELECT feature, ROUND(CASE WHEN feature LIKE 'd_%' THEN -GREATEST(ABS(q[1]), ABS(q[2])) ELSE q[1] END, 6) AS low,
+  ROUND(CASE WHEN feature LIKE 'd_%' THEN GREATEST(ABS(q[1]), ABS(q[2])) ELSE q[2] END, 6) AS high FROM (
+  SELECT feature, quantile_cont(v, [0.01, 0.99]) AS q FROM (
+    SELECT 'mean_age' AS feature, winner_age AS v FROM contests UNION ALL SELECT 'minutes', minutes FROM contests
+    UNION ALL SELECT 'd_rank', winner_rank - loser_rank FROM contests UNION ALL SELECT 'flat', 1.0 FROM contests)
+  GROUP BY feature) WHERE q[2] > q[1]""", B.CONTESTS)

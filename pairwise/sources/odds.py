@@ -118,7 +118,7 @@ def join_matches(matches: DataFrame, prices: DataFrame, days: int = 7) -> DataFr
     Days are bucketed, so a pair that met very often only meets its near rows.
     """
     size = days + 1
-    left = matches.withColumn("_b", F.floor(day_number(F.col("match_date")) / size))
+    left = matches.drop("odds_winner", "odds_loser").withColumn("_b", F.floor(day_number(F.col("match_date")) / size))
     right = prices.select(
         "tour", "winner_id", "loser_id", F.col("match_date").alias("price_date"),
         "odds_winner", "odds_loser",
