@@ -185,7 +185,28 @@ def _turns(rows: DataFrame) -> DataFrame:
     return rows.join(turns, POOL + ["match_id"])
 
 
-def rate_in_waves(rows: DataFrame) -> DataFrame:
+def _opening_state(rows: DataFrame, start: DataFrame | None) -> DataFrame:
+    """One state row per player of ``rows``; ``start`` continues earlier final rows."""
+    players = rows.select(*POOL, F.explode(F.array("a", "b")).alias("player")).distinct()
+    none = {"r": F.lit(None).cast("double"), "n": F.lit(None).cast("long"),
+            "k": F.lit(None).cast("double"), "d": F.lit(None).cast("int")}
+    if start is None:
+        joined = players.withColumns(none)
+    else:
+        joined = players.join(start.filter("match_id IS NULL").select(
+            *POOL, F.col("a").alias("player"), F.col("a_rating").alias("r"),
+            F.col("a_played").alias("n"), F.col("a_peak").alias("k"),
+            F.col("last_day").alias("d")), POOL + ["player"], "left")
+    fresh = F.lit(S.START_RATING)
+    return joined.select(
+        *POOL, "player", F.lit(0).cast("long").alias("turn"),
+        F.coalesce("r", fresh).alias("rating"), F.coalesce("n", F.lit(0)).cast("long").alias(
+            "played"),
+        F.coalesce("k", fresh).alias("peak"), F.col("d").alias("last_day"),
+        F.col("r").isNotNull().alias("known"))
+
+
+def rate_in_waves(rows: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """The same recurrence over any pool size, as joins of contests to a state table.
 
     Both players' turn numbers bound a contest's wave from below, so each wave reads only
@@ -199,12 +220,7 @@ def rate_in_waves(rows: DataFrame) -> DataFrame:
     todo = spark.read.parquet(f"{path}/todo")
     last_wave = todo.agg(F.max("wave")).first()[0]
 
-    keys = POOL + ["player"]
-    state = settle(
-        todo.select(*POOL, F.explode(F.array("a", "b")).alias("player")).distinct().select(
-            *keys, F.lit(0).cast("long").alias("turn"), F.lit(S.START_RATING).alias("rating"),
-            F.lit(0).cast("long").alias("played"), F.lit(S.START_RATING).alias("peak"),
-            F.lit(None).cast("int").alias("last_day"), F.lit(False).alias("known")))
+    state = settle(_opening_state(todo, start))
     waiting, wave = None, 0
     while True:
         due = todo.filter(F.col("wave") == wave).drop("wave")

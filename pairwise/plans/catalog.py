@@ -13,9 +13,11 @@ from pairwise.functions.numeric import clip
 from pairwise.operators import clean, features, history, learners, metrics, names, ratings
 from pairwise.operators import skill, walkforward
 from pairwise.operators import directory as players
+from pairwise.plans import serve
 from pairwise.session import scratch_path, via_table
 from pairwise.sources import contests, odds, seasons
 from pairwise.sources.tables import load_table, read_table, save_table
+from pairwise.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -583,3 +585,65 @@ def occlusion(spark, folder):
     model = learners.Ensemble().fit(matrix)
     scored = model.predict(model.clamp(matrix))
     return learners.occlusion(model, scored, "match_id", features.GROUPS)
+
+
+# ---------------------------------------------------------------- answers
+def _bundle(spark, folder, model: bool = False) -> serve.Bundle:
+    matrix, bundle = serve.prepare(stored_matches(spark, folder))
+    if model:
+        bundle.model = learners.Ensemble().fit(via_table(matrix, "features"))
+    return bundle
+
+
+@query
+def leaderboard(spark, folder):
+    """Top 30 per tour on clay with names and skill."""
+    df = serve.leaderboard(_bundle(spark, folder), "Clay")
+    return df.select("tour", "player_id", "name", "ioc", "place", *[r6(c) for c in (
+        "elo", "elo_clay", "peak_elo", "serve_skill", "return_skill")])
+
+
+@query
+def player_profiles(spark, folder):
+    return serve.profiles(_bundle(spark, folder))
+
+
+@query
+def head_to_head(spark, folder):
+    return serve.head_to_head(contests_scored(spark, folder), by_surface=True).select(
+        "tour", "surface", "p1", "p2", "p1_wins", "p2_wins", "total", r6("shrunk"))
+
+
+def contests_scored(spark, folder) -> DataFrame:
+    return clean.derive_score(contests.contests(spark, folder))
+
+
+@query
+def batch_predict(spark, folder):
+    """Every pair that has met, asked again on clay at the end of the data."""
+    bundle = _bundle(spark, folder, model=True)
+    pairs = bundle.matches.groupBy(
+        "tour", F.least("winner_id", "loser_id").alias("p1"),
+        F.greatest("winner_id", "loser_id").alias("p2")).agg(F.max("best_of").alias("best_of"))
+    requests = pairs.select(
+        F.concat_ws("/", F.lit("ask"), "tour", "p1", "p2").alias("request_id"), "tour", "p1",
+        "p2", F.lit("Clay").alias("surface"), "best_of", F.lit("M").alias("level"),
+        F.lit("SF").alias("round"), F.lit("Madrid Masters").alias("tourney_name"),
+        F.lit(64).alias("draw_size"))
+    return serve.predict(bundle, requests)
+
+
+@query
+def streaming_career(spark, folder):
+    """Counters kept by a stateful stream over the contests, three batches in date order."""
+    stored = stored_matches(spark, folder)
+    root = scratch_path(spark, "stream")
+    edges = [r for r in stored.select(F.percentile_approx(
+        F.unix_date("match_date"), [0.33, 0.66])).first()[0]]
+    day = F.unix_date("match_date")
+    for part in (day < edges[0], (day >= edges[0]) & (day < edges[1]), day >= edges[1]):
+        stored.filter(part).repartition(4).write.mode("append").parquet(f"{root}/matches")
+    stream = live.career_stream(live.open_matches(spark, f"{root}/matches", stored, 4))
+    table = live.run_to_table(stream, f"{root}/out", f"{root}/checkpoint")
+    return table.select("match_id", "side", "career_matches", "career_wins", "win_streak",
+                        "loss_streak", "late_rows")

@@ -531,3 +531,17 @@ SELECT feature, ROUND(CASE WHEN feature LIKE 'd_%' THEN -GREATEST(ABS(q[1]), ABS
     SELECT 'mean_age' AS feature, winner_age AS v FROM contests UNION ALL SELECT 'minutes', minutes FROM contests
     UNION ALL SELECT 'd_rank', winner_rank - loser_rank FROM contests UNION ALL SELECT 'flat', 1.0 FROM contests)
   GROUP BY feature) WHERE q[2] > q[1]""", B.CONTESTS)
+
+# ---------------------------------------------------------------- answers
+SQL["head_to_head"] = B.with_("""
+SELECT tour, surface, p1, p2, SUM(won)::BIGINT AS p1_wins, (COUNT(*) - SUM(won))::BIGINT AS p2_wins, COUNT(*) AS total,
+  ROUND((SUM(won) + 3) / (COUNT(*) + 6.0::DOUBLE), 6) AS shrunk
+FROM (SELECT tour, surface, winner_id AS p1, loser_id AS p2, 1 AS won FROM matches WHERE NOT walkover
+      UNION ALL SELECT tour, surface, loser_id, winner_id, 0 FROM matches WHERE NOT walkover)
+GROUP BY tour, surface, p1, p2""")
+SQL["streaming_career"] = _history("""
+  (COUNT(*) FILTER (live = 1))::DOUBLE AS career_matches,
+  (COUNT(*) FILTER (live = 1 AND won = 1))::DOUBLE AS career_wins,
+  COALESCE(MIN(back) FILTER (live = 1 AND won = 0) - 1, COUNT(*) FILTER (live = 1))::DOUBLE AS win_streak,
+  COALESCE(MIN(back) FILTER (live = 1 AND won = 1) - 1, COUNT(*) FILTER (live = 1))::DOUBLE AS loss_streak,
+  0::BIGINT AS late_rows""")
