@@ -132,7 +132,7 @@ def calibration_error(df: DataFrame, groups: list[str], y: str, p: str, bins: in
     return binned.groupBy(*groups).agg((F.sum(gap) / F.sum("n")).alias("ece"))
 
 
-def calibration_slope(df: DataFrame, groups: list[str], y: str, p: str, steps: int = 12):
+def calibration_slope(df: DataFrame, groups: list[str], y: str, p: str, steps: int = 8):
     """Slope of a one-variable logistic fit on the logit, by Newton steps.
 
     Each step is one aggregate for all groups; null for a group with a single outcome.
