@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pairwise.session import settle, via_table
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_A_BLOCK = 50_000
+ROWS_A_BLOCK = 4096
 
 
 def word_count(text: str = "text") -> Column:
