@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairwise.llm import mixing
+from pairwise.llm import mixing, neighbours, packing, secrets, warc
 from pairwise.sources.tables import read_table
 
 
@@ -15,8 +16,42 @@ def op2_fair_queue_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_one_bit_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op5_chunked_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(spark, read_table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+def op6_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, folder, "documents")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
+
+
+def op10_owned_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, folder, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] < 3)
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"),
+        count(3).alias("n_owned"), F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_one_bit_neighbours": op1_one_bit_neighbours,
     "op2_fair_queue_mix": op2_fair_queue_mix,
+    "op5_chunked_warc": op5_chunked_warc,
+    "op6_curve_packing": op6_curve_packing,
+    "op10_owned_secrets": op10_owned_secrets,
 }
 
 SQL: dict[str, str] = {}
