@@ -32,17 +32,22 @@ LENGTH = 4096
 END_ID = 2
 DIMS, BITS = 4, 10          # of the curve
 BUCKETS = 256               # of the hashed bag of words
-MOST_CACHED = 400_000       # words kept by a worker before it starts afresh
+MOST_CACHED = 1_000_000     # words kept by a worker before it starts afresh
+TOGETHER = 2000             # unknown words encoded in one call
+#: A word of plain small letters, or a run of marks: one word to the tokenizer, which ends it with
+#: an end-of-word token, so many can be encoded in one call and told apart again.
+PLAIN = re.compile(r"[a-zà-öø-ÿ]+|[.,;:!?#&$%*|]+")
+#: Where the tokenizer cuts as well: from a small letter to a mark and back.
+BORDER = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[.,;:!?#&$%*|])|(?<=[.,;:!?#&$%*|])(?=[a-zà-öø-ÿ])")
 SPACE = re.compile(r"[ \t\r\n]+")
-#: A word of plain letters and one run of marks: the two are encoded apart by the tokenizer as well.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#&$%*|]*)")
+ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class WordTokens:
     """Ids of whole texts, word by word.
 
-    The tokenizer never joins across white space, so the ids of a text are those of its words
-    one after the other, and a word met before need not be encoded again.
+    The tokenizer never joins across white space, nor letters and marks, so the ids of a text are
+    those of its words one after the other, and a word met before need not be encoded again.
     """
 
     def __init__(self, path: str):
@@ -50,40 +55,47 @@ class WordTokens:
 
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes()
-                for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[number for word, number in vocabulary.items() if word.endswith("</w>")]] = True
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        if ODD_SPACE.search(text):
+            return SPACE.split(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return SPACE.split(text)
+        # within Latin-1, small letters are the same to Python and to the tokenizer
+        return BORDER.sub(" ", text.lower()).split()
 
     def learn(self, words: set[str]) -> None:
+        plain = [w for w in words if PLAIN.fullmatch(w)]
+        for low in range(0, len(plain), TOGETHER):
+            part = plain[low:low + TOGETHER]
+            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                raise ValueError("a plain word is more than one word to the tokenizer")
+            blob, at = ids.tobytes(), 0
+            for word, stop in zip(part, stops.tolist(), strict=True):
+                self.known[word] = blob[4 * at:4 * stop]
+                at = stop
+        other = [w for w in words if not PLAIN.fullmatch(w)]
+        for word, coded in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(coded.ids, dtype="<u4").tobytes()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
         if len(self.known) > MOST_CACHED:
             self.known = {"": b""}
-        if len(self.parts) > MOST_CACHED:
-            self.parts = {"": b""}
-        new = [w for w in words if w not in self.known]
-        split, whole, missing = [], [], set()
-        for word in new:
-            plain = PLAIN.fullmatch(word)
-            if plain is None:
-                whole.append(word)
-                continue
-            pair = plain[1].lower(), plain[2]
-            split.append((word, pair))
-            missing.update(p for p in pair if p not in self.parts)
-        listed = list(missing)
-        self.parts.update(zip(listed, self._encode(listed), strict=True))
-        self.known.update(zip(whole, self._encode(whole), strict=True))
-        for word, (letters, marks) in split:
-            self.known[word] = self.parts[letters] + self.parts[marks]
-
-    def ids(self, text: str) -> bytes:
-        words = SPACE.split(text)
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            self.learn(set(words))
-            return b"".join([self.known[w] for w in words])
+        listed = [self.words(t) for t in texts]
+        unknown = set().union(*listed).difference(self.known)
+        if unknown:
+            self.learn(unknown)
+        known = self.known
+        return [b"".join([known[w] for w in own]) for own in listed]
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -147,7 +159,7 @@ def _tokenized(path: str):
         for batch in batches:
             for low in range(0, len(batch), 256):
                 part = batch.iloc[low:low + 256]
-                blobs = [words.ids(t) + end for t in part["text"]]
+                blobs = [own + end for own in words.ids(part["text"].tolist())]
                 arrays = [np.frombuffer(b, dtype="<u4") for b in blobs]
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].array, "curve": curve_keys(arrays),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwise.llm import mixing, neighbours, packing, secrets, warc
+from pairwise.llm import lines, mixing, near, neighbours, packing, passages, quality, secrets, vectors, warc
 from pairwise.sources.tables import read_table
 
 
@@ -21,6 +21,20 @@ def op1_one_bit_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op3_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    marked = lines.mark(read_table(spark, folder, "documents"))
+    gone = F.col("gone")
+    begun = F.filter(gone, lambda x: ~F.array_contains(gone, x - 1))
+    return marked.select(
+        F.col("row.doc_id").alias("doc_id"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.size(gone).cast("long").alias("n_removed"), F.size(begun).cast("long").alias("n_runs"),
+        F.sha2(F.coalesce(lines.remaining_text(), F.lit("")), 256).alias("kept_sha256"))
+
+
+def op4_prob_min_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(read_table(spark, folder, "documents"))
+
+
 def op5_chunked_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(spark, read_table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
@@ -33,6 +47,25 @@ def op6_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
+def op7_cross_polytope_links(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_equal(read_table(spark, folder, "embeddings"), threshold=0.93)
+
+
+def op8_prefix_free_parse(spark: SparkSession, folder: str) -> DataFrame:
+    cut = passages.remove_repeats(read_table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_subword_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    labels = read_table(spark, folder, "labels").where(~quality.held_out(F.col("doc_id")))
+    model = quality.fit(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    return docs.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), quality.score(model, F.col("text")).alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op10_owned_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(read_table(spark, folder, "documents"))
     base = F.filter("spans", lambda x: x["kind"] < 3)
@@ -49,9 +82,77 @@ def op10_owned_secrets(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit_neighbours": op1_one_bit_neighbours,
     "op2_fair_queue_mix": op2_fair_queue_mix,
+    "op3_line_runs": op3_line_runs,
+    "op4_prob_min_hash": op4_prob_min_hash,
     "op5_chunked_warc": op5_chunked_warc,
     "op6_curve_packing": op6_curve_packing,
+    "op7_cross_polytope_links": op7_cross_polytope_links,
+    "op8_prefix_free_parse": op8_prefix_free_parse,
+    "op9_subword_quality": op9_subword_quality,
     "op10_owned_secrets": op10_owned_secrets,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # windows of one, two and three non-blank lines; a short one counts when it has fifty words
+    "op3_line_runs": r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+raw AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM split),
+seq AS (
+  SELECT doc_id, pos, line, len(regexp_extract_all(line, '\S+')) AS words,
+         row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS no
+  FROM raw WHERE regexp_matches(line, '\S')),
+wins AS (
+  SELECT doc_id, no, pos, line AS l1, words AS w1, pos AS a1,
+         lead(line, 1) OVER d AS l2, lead(pos, 1) OVER d AS a2, words + lead(words, 1) OVER d AS w2,
+         lead(line, 2) OVER d AS l3, lead(pos, 2) OVER d AS a3
+  FROM seq WINDOW d AS (PARTITION BY doc_id ORDER BY no)),
+flags AS (
+  SELECT *, row_number() OVER (PARTITION BY l1 ORDER BY doc_id, no) > 1 AND w1 >= 50 AS c1,
+         l2 IS NOT NULL AND row_number() OVER (PARTITION BY l1, l2 ORDER BY doc_id, no) > 1 AND w2 >= 50 AS c2,
+         l3 IS NOT NULL AND row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, no) > 1 AS c3
+  FROM wins),
+gone AS (
+  SELECT doc_id, a1 AS pos FROM flags WHERE c1 OR c2 OR c3
+  UNION SELECT doc_id, a2 FROM flags WHERE c2 OR c3
+  UNION SELECT doc_id, a3 FROM flags WHERE c3),
+kept AS (
+  SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.pos) AS text
+  FROM raw r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.pos = g.pos WHERE g.pos IS NULL GROUP BY r.doc_id),
+counts AS (
+  SELECT doc_id, count(*) AS n_removed,
+         sum(CASE WHEN before IS NULL OR before <> pos - 1 THEN 1 ELSE 0 END) AS n_runs
+  FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY doc_id)
+SELECT s.doc_id, CAST(coalesce(len(s.ls), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n_runs, 0) AS BIGINT) AS n_runs,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN counts c ON s.doc_id = c.doc_id LEFT JOIN kept k ON s.doc_id = k.doc_id
+""",
+    # all pairs that share a shingle, the sum of the definition for each ratio of counts, and reachability
+    "op4_prob_min_hash": r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\x09-\x0D\x20]+') AS ws FROM documents WHERE text IS NOT NULL),
+spots AS (
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM tokens WHERE len(ws) > 0),
+shingled AS (
+  SELECT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS s, count(*) AS w FROM spots GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(w) AS total FROM shingled GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS da, b.doc_id AS db, CAST(a.w AS DOUBLE) AS x, CAST(b.w AS DOUBLE) AS y
+  FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id < b.doc_id),
+mass AS (SELECT da, db, sum(x) AS sx, sum(y) AS sy FROM shared GROUP BY da, db),
+classes AS (SELECT da, db, x, y, x / y AS r, count(*) AS n FROM shared GROUP BY da, db, x, y),
+inner_sums AS (
+  SELECT i.da, i.db, i.r, sum(greatest(j.x, i.r * j.y) * j.n) AS inside
+  FROM (SELECT DISTINCT da, db, r FROM classes) i JOIN classes j ON i.da = j.da AND i.db = j.db GROUP BY ALL),
+sims AS (
+  SELECT c.da, c.db, sum(c.n * c.x / (sa.total - m.sx + c.r * (sb.total - m.sy) + s.inside)) AS sim
+  FROM classes c JOIN inner_sums s ON c.da = s.da AND c.db = s.db AND c.r = s.r
+  JOIN mass m ON c.da = m.da AND c.db = m.db
+  JOIN sizes sa ON sa.doc_id = c.da JOIN sizes sb ON sb.doc_id = c.db GROUP BY c.da, c.db),
+links AS (SELECT da AS a, db AS b FROM sims WHERE sim >= 0.8 UNION SELECT db, da FROM sims WHERE sim >= 0.8),
+reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen)
+SELECT node AS doc_id, min(seen) AS class_id, node = min(seen) AS kept FROM reach GROUP BY node
+""",
+}
