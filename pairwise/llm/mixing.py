@@ -134,3 +134,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
                      .when((F.col("size") > 0) & (entry == last), F.lit(cut[2])).otherwise(0))
         taken = taken + words
     return queued.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def select_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 0.9) -> DataFrame:
+    """The documents that a mix without repeats takes, whole, with all their columns.
+
+    A document that the cut falls into is taken whole. Documents without words are left out. Rows
+    that share an id go together.
+    """
+    chosen = mix(docs, weights, share, max_passes=1).where("taken > 0").select("doc_id").distinct()
+    marked = docs.select(F.struct("*").alias("row")).alias("d").join(
+        chosen.alias("c"), F.col("d.row.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi")
+    return marked.select("row.*")
