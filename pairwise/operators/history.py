@@ -1,7 +1,8 @@
 """Strictly earlier history of both sides of each contest, as window expressions.
 
-Every match becomes two appearances. All windows are partitioned by (tour, player), so one
-shuffle serves them; the result returns to one row per match with a second one.
+Every match becomes two appearances. Totals are taken per player and day and accumulated over
+days; frames over recent rows run in chunks of a player's timeline. The result returns to one
+row per match.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwise import settings as S
-from pairwise.functions.numeric import flag, known, lookup
-from pairwise.operators.timeline import in_chunks, long_keys, running
+from pairwise.functions.numeric import flag, lookup
+from pairwise.operators.timeline import in_chunks, running
 
 PLAYER = ["tour", "player_id"]
 LATER = ["tourney_id", "match_num"]
+CHUNK = 4096
 
 FORM = [f"form_win_pct_{n}" for n in S.FORM_WINDOWS] + ["form_decayed", "form_quality"]
 FATIGUE = [f"{what}_{d}d" for what in ("minutes", "matches", "sets") for d in S.WORK_DAYS] + [
@@ -98,73 +100,48 @@ def _sums() -> dict[str, Column]:
     return sums
 
 
-def history(timeline: DataFrame, max_rows: int = S.MAX_TIMELINE_ROWS) -> DataFrame:
-    """All history features of every appearance (columns ``FEATURES``)."""
-    long = long_keys(timeline, PLAYER, max_rows)
+def history(timeline: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """All history features of every appearance (columns ``FEATURES``).
+
+    ``chunk`` is how many live rows of a player stand in one window for the frames over recent
+    rows; the result does not depend on it.
+    """
     df = running(
         timeline, PLAYER, "day", LATER, _sums(),
-        {"_last_day": F.when(F.col("seen") == 1, F.col("day"))}, long,
-    )
+        {"_last_day": F.when(F.col("seen") == 1, F.col("day"))})
     # Position of the latest win and loss; _n counts live rows before this one.
     df = running(
-        df.drop("_long"), PLAYER, "day", LATER, {"_ret": F.col("gave_up")},
+        df, PLAYER, "day", LATER, {"_ret": F.col("gave_up")},
         {"_last_win": F.when((F.col("live") == 1) & (F.col("won") == 1), F.col("_n") + 1),
-         "_last_loss": F.when((F.col("live") == 1) & (F.col("won") == 0), F.col("_n") + 1)},
-        long,
-    )
-    df = _surface_record(df, long)
-    df = _meetings(df, long, max_rows)
-    df = _retirements(df, long)
-    df = _recent(df, min(max_rows, 100_000))
+         "_last_loss": F.when((F.col("live") == 1) & (F.col("won") == 0), F.col("_n") + 1)})
+    won = F.col("live") * F.col("won")
+    for keys, count, wins in (
+        (PLAYER + ["surface"], "_sn", "_swins"),
+        (PLAYER + ["opponent_id"], "_hn", "_hwins"),
+        (PLAYER + ["opponent_id", "surface"], "_hsn", "_hswins"),
+    ):
+        df = running(df, keys, "day", LATER, {count: F.col("live"), wins: won})
+    df = _retirements(df)
+    df = _recent(df, chunk)
     return df.select(
         "match_id", "side", "tour", "player_id", "opponent_id", "match_date", "surface",
         *[value.alias(name) for name, value in _features().items()],
     )
 
 
-def _surface_record(df: DataFrame, long: DataFrame | None) -> DataFrame:
-    if long is not None:
-        long = df.join(long, PLAYER, "left_semi").select(*PLAYER, "surface").distinct()
-    return running(
-        df.drop("_long"), PLAYER + ["surface"], "day", LATER,
-        {"_sn": F.col("live"), "_swins": F.col("live") * F.col("won")}, None, long,
-    )
-
-
-def _meetings(df: DataFrame, long: DataFrame | None, max_rows: int) -> DataFrame:
-    pair = PLAYER + ["opponent_id"]
-    if long is not None:
-        long = long_keys(df.join(long, PLAYER, "left_semi"), pair, max_rows)
-    sums = {"_hn": F.col("live"), "_hwins": F.col("live") * F.col("won")}
-    df = running(df.drop("_long"), pair, "day", LATER, sums, None, long)
-    if long is not None:
-        long = df.join(long, pair, "left_semi").select(*pair, "surface").distinct()
-    sums = {"_hsn": F.col("live"), "_hswins": F.col("live") * F.col("won")}
-    return running(df.drop("_long"), pair + ["surface"], "day", LATER, sums, None, long)
-
-
-def _retirements(df: DataFrame, long: DataFrame | None) -> DataFrame:
+def _retirements(df: DataFrame) -> DataFrame:
     """Retirements in the last days: all before this row minus those before the cutoff."""
     early = Window.partitionBy(*PLAYER).orderBy("day").rangeBetween(
         Window.unboundedPreceding, -(S.RETIRE_DAYS + 1))
-    if long is None:
-        return df.drop("_long").withColumns({
-            "_ret_early": F.coalesce(F.sum("gave_up").over(early), F.lit(0)),
-            "_long": F.lit(False),
-        })
     daily = df.groupBy(*PLAYER, "day").agg(F.sum("gave_up").alias("_given"))
     daily = daily.select(
         *PLAYER, "day", F.coalesce(F.sum("_given").over(early), F.lit(0)).alias("_ret_early"))
-    marked = df.drop("_long").join(
-        long.withColumn("_long", F.lit(True)), PLAYER, "left"
-    ).withColumn("_long", known(F.col("_long")))
-    return marked.join(daily, PLAYER + ["day"])
+    return df.join(daily, PLAYER + ["day"])
 
 
 def _recent(df: DataFrame, chunk: int) -> DataFrame:
     """Frames over the last live rows: by position (_n) and by day."""
     live = F.col("live") == 1
-    chunk = max(chunk, S.RESULT_QUEUE)
     df = in_chunks(df, "_n", live, S.RESULT_QUEUE, chunk)
     part = Window.partitionBy(*PLAYER, "_chunk")
     by_position, by_day = part.orderBy("_n"), part.orderBy("day")

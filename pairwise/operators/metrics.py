@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairwise.functions import market
 from pairwise.functions.numeric import clip, known, logit
+from pairwise.operators.logistic import coefficients
 
 TINY = 1e-15
 EDGES = 64
@@ -209,35 +210,6 @@ def betting_return(
         "roi", F.when(F.col("staked") > 0, F.col("profit") / F.col("staked")))
 
 
-def newton_fit(rows: DataFrame, y: str, inputs: list[str], steps: int = 12, ridge: float = 1e-6):
-    """Logistic coefficients (intercept first); each step is one aggregate of sums."""
-    import numpy as np
-
-    names = ["_one"] + inputs
-    beta = np.zeros(len(names))
-    rows = rows.withColumn("_one", F.lit(1.0))
-    for _ in range(steps):
-        eta = sum((float(b) * F.col(n) for b, n in zip(beta[1:], names[1:])), F.lit(float(beta[0])))
-        mu = 1.0 / (1.0 + F.exp(-eta))
-        w, r = mu * (1.0 - mu), F.col(y) - mu
-        pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-        sums = rows.agg(
-            *[F.sum(r * F.col(n)).alias(f"g{i}") for i, n in enumerate(names)],
-            *[F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"h{i}_{j}") for i, j in pairs],
-        ).first()
-        penalty = np.array([0.0] + [ridge] * len(inputs))
-        gradient = np.array([sums[f"g{i}"] for i in range(len(names))]) - penalty * beta
-        hessian = np.diag(penalty)
-        for i, j in pairs:
-            hessian[i, j] = hessian[i, j] + sums[f"h{i}_{j}"]
-            hessian[j, i] = hessian[i, j]
-        step = np.linalg.solve(hessian, gradient)
-        beta = beta + step
-        if np.max(np.abs(step)) < 1e-10:
-            break
-    return beta
-
-
 def encompassing(df: DataFrame, y: str, model: str, market_p: str, min_rows: int = 200) -> DataFrame:
     """Does the model add to the market? One row with coefficients and the test."""
     import math
@@ -254,8 +226,9 @@ def encompassing(df: DataFrame, y: str, model: str, market_p: str, min_rows: int
               "model_adds_information boolean")
     if n < min_rows or kinds < 2:
         return spark.createDataFrame([(n, *[None] * 8)], schema)
-    alone = newton_fit(rows, "_y", ["_market"])
-    both = newton_fit(rows, "_y", ["_market", "_model"])
+    rows = rows.persist()
+    alone = coefficients(rows, F.col("_y"), [F.col("_market")], 1e6)
+    both = coefficients(rows, F.col("_y"), [F.col("_market"), F.col("_model")], 1e6)
 
     def loss(beta, names):
         eta = sum((float(b) * F.col(c) for b, c in zip(beta[1:], names)), F.lit(float(beta[0])))

@@ -1,10 +1,10 @@
 """Four chronological rating families per pool, read before each contest.
 
-The stores (overall, one per surface, points, games) never read each other, so a match
-becomes one row per store and each (tour, kind, store) is its own recurrence. A pool that
-fits one task is replayed there. A larger pool is advanced in waves: every wave takes all
-contests whose two players have finished their earlier ones, joins them to the state table
-and updates it, so no task ever holds the pool. Both give the same numbers.
+The stores (overall, one per surface, points, games) never read each other, so a match becomes
+one row per store and each (tour, kind, store) is its own recurrence. A rating depends on all
+earlier matches of the store through its opponents, so a store is followed in order: its rows
+come to one partition, sorted by Spark (which spills), and stream through a task that keeps four
+numbers for each player and never the rows. The stores run side by side.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from pairwise import settings as S
 from pairwise.functions.numeric import clip, known, lookup
 from pairwise.operators.history import day_number
-from pairwise.operators.timeline import long_keys, running
-from pairwise.session import scratch_path, settle
 
 POOL = ["tour", "kind", "store"]
 SEQUENCE = ["day", "tourney_id", "match_num"]
@@ -104,187 +102,94 @@ def store_rows(matches: DataFrame) -> DataFrame:
     ).select(*ROW)
 
 
-def rate(matches: DataFrame, max_pool_rows: int = S.MAX_POOL_ROWS) -> DataFrame:
+def rate(matches: DataFrame) -> DataFrame:
     """Ratings before every match per store, plus one final row per player and store
     (``match_id`` null, the player in ``a``, values after the last match)."""
-    rows = store_rows(matches)
-    large = long_keys(rows, POOL, max_pool_rows)
-    if large is None:
-        return rows.groupBy(*POOL).applyInPandas(_replay, RATED)
-    small = rows.join(large, POOL, "left_anti").groupBy(*POOL).applyInPandas(_replay, RATED)
-    return small.unionByName(rate_in_waves(rows.join(large, POOL, "left_semi")))
-
-
-def _replay(pool):
-    """One bounded pool in order, read before write."""
+    return rate_rows(store_rows(matches))
+
+
+def rate_rows(rows: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """The same for rows of stores; ``start`` holds final rows of earlier matches to go on from."""
+    none = {"rating": "double", "played": "long", "peak": "double", "last_day": "int"}
+    fed = rows.select(F.lit(1).alias("turn"), *ROW, *[F.lit(None).cast(t).alias(f"s_{n}") for n, t in none.items()])
+    if start is not None:
+        opening = start.filter("match_id IS NULL").join(rows.select(*POOL).distinct(), POOL, "left_semi")
+        values = {"rating": "a_rating", "played": "a_played", "peak": "a_peak", "last_day": "last_day"}
+        types = dict(rows.dtypes)
+        blank = [F.lit(None).cast(types[c]).alias(c) for c in ROW if c not in [*POOL, "a"]]
+        seeds = opening.select(F.lit(0).alias("turn"), *POOL, "a", *blank,
+                               *[F.col(c).cast(none[n]).alias(f"s_{n}") for n, c in values.items()])
+        fed = seeds.unionByName(fed)
+    order = [*POOL, "turn", *[F.col(c).asc_nulls_last() for c in SEQUENCE]]
+    return fed.repartition(*POOL).sortWithinPartitions(*order).mapInPandas(_follow, RATED)
+
+
+class _Pool:
+    """State of one store: what its players have at the moment, four numbers each."""
+
+    def __init__(self, key: tuple):
+        self.key, self.players = key, {}
+
+    def read(self, player) -> tuple:
+        return self.players.get(player, (S.START_RATING, 0, S.START_RATING, None))
+
+    def after_idling(self, player, day: int) -> float:
+        rating, _, _, last = self.read(player)
+        idle = 0 if last is None else day - last - S.IDLE_GRACE_DAYS
+        if idle <= 0:
+            return rating
+        share = min(S.IDLE_SHRINK_CAP, S.IDLE_SHRINK_PER_YEAR * idle / 365.25)
+        return rating + (S.START_RATING - rating) * share
+
+    def take(self, row) -> None:
+        """Writes the result of one match."""
+        if row.updates:
+            old = {p: self.after_idling(p, row.day) for p in (row.a, row.b)}
+            likely = 1.0 / (1.0 + 10.0 ** ((old[row.b] - old[row.a]) / 400.0))
+            push = S.K_SCALE * row.factor * row.weight * (row.actual - likely)
+            for player, sign in ((row.a, 1.0), (row.b, -1.0)):
+                _, played, peak, _ = self.read(player)
+                new = old[player] + sign * push / (played + S.K_SHIFT) ** S.K_DECAY
+                self.players[player] = (new, played + 1, max(peak, new), row.day)
+        elif row.stamps:
+            for player in (row.a, row.b):
+                self.players[player] = (*self.read(player)[:3], row.day)
+
+    def final(self) -> list[tuple]:
+        return [(*self.key, None, p, None, r, None, n, None, k, None, d) for p, (r, n, k, d) in self.players.items()]
+
+
+def _follow(batches):
+    """Sorted rows of any number of stores, one after the other: only the players are kept."""
     import pandas as pd
 
-    pool = pool.sort_values(SEQUENCE, kind="mergesort")
-    rating, played, last, peak = {}, {}, {}, {}
-    start, grace = S.START_RATING, S.IDLE_GRACE_DAYS
-    ra, rb, na, nb, pa, pb = ([] for _ in range(6))
-    columns = [pool[c].tolist() for c in
-               ("a", "b", "day", "updates", "stamps", "actual", "weight", "factor")]
-    for a, b, day, updates, stamps, actual, weight, factor in zip(*columns):
-        r1, r2 = rating.get(a, start), rating.get(b, start)
-        n1, n2 = played.get(a, 0), played.get(b, 0)
-        ra.append(r1)
-        rb.append(r2)
-        na.append(n1)
-        nb.append(n2)
-        pa.append(peak.get(a, start))
-        pb.append(peak.get(b, start))
-        if updates:
-            for player in (a, b):
-                idle = day - last.get(player, day)
-                if idle > grace:
-                    shrink = min(S.IDLE_SHRINK_CAP,
-                                 S.IDLE_SHRINK_PER_YEAR * (idle - grace) / 365.25)
-                    rating[player] += (start - rating[player]) * shrink
-            r1, r2 = rating.get(a, start), rating.get(b, start)
-            surprise = actual - 1.0 / (1.0 + 10.0 ** ((r2 - r1) / 400.0))
-            scale = S.K_SCALE * factor * weight * surprise
-            rating[a] = r1 + scale / (n1 + S.K_SHIFT) ** S.K_DECAY
-            rating[b] = r2 - scale / (n2 + S.K_SHIFT) ** S.K_DECAY
-            played[a], played[b] = n1 + 1, n2 + 1
-            peak[a] = max(peak.get(a, start), rating[a])
-            peak[b] = max(peak.get(b, start), rating[b])
-        if updates or stamps:
-            last[a] = last[b] = day
-            rating.setdefault(a, start)
-            rating.setdefault(b, start)
-    # The final row of every player follows the rows of the matches.
-    players = list(rating)
-    none = [None] * len(players)
-    return pd.DataFrame({
-        **{c: pool[c].iloc[0] for c in POOL},
-        "match_id": pool["match_id"].tolist() + none,
-        "a": columns[0] + players,
-        "b": pd.array(columns[1] + none, dtype="Int64"),
-        "a_rating": ra + [rating[p] for p in players],
-        "b_rating": pd.array(rb + none, dtype="Float64"),
-        "a_played": na + [played.get(p, 0) for p in players],
-        "b_played": pd.array(nb + none, dtype="Int64"),
-        "a_peak": pa + [peak.get(p, start) for p in players],
-        "b_peak": pd.array(pb + none, dtype="Float64"),
-        "last_day": columns[2] + [last[p] for p in players],
-    })
-
-
-# ------------------------------------------------------------------ large pools
-def _turns(rows: DataFrame) -> DataFrame:
-    """Number each row in the sequence of either player: a_turn and b_turn, from 0."""
-    sides = rows.select(*POOL, *SEQUENCE, "match_id", F.posexplode(F.array("a", "b")).alias(
-        "side", "player"))
-    long = long_keys(sides, POOL + ["player"], S.MAX_TIMELINE_ROWS)
-    numbered = running(sides, POOL + ["player"], "day", ["tourney_id", "match_num"],
-                       {"turn": F.lit(1)}, None, long)
-    turns = numbered.groupBy(*POOL, "match_id").agg(
-        F.max(F.when(F.col("side") == 0, F.col("turn"))).cast("long").alias("a_turn"),
-        F.max(F.when(F.col("side") == 1, F.col("turn"))).cast("long").alias("b_turn"))
-    return rows.join(turns, POOL + ["match_id"])
-
-
-def _opening_state(rows: DataFrame, start: DataFrame | None) -> DataFrame:
-    """One state row per player of ``rows``; ``start`` continues earlier final rows."""
-    players = rows.select(*POOL, F.explode(F.array("a", "b")).alias("player")).distinct()
-    none = {"r": F.lit(None).cast("double"), "n": F.lit(None).cast("long"),
-            "k": F.lit(None).cast("double"), "d": F.lit(None).cast("int")}
-    if start is None:
-        joined = players.withColumns(none)
-    else:
-        joined = players.join(start.filter("match_id IS NULL").select(
-            *POOL, F.col("a").alias("player"), F.col("a_rating").alias("r"),
-            F.col("a_played").alias("n"), F.col("a_peak").alias("k"),
-            F.col("last_day").alias("d")), POOL + ["player"], "left")
-    fresh = F.lit(S.START_RATING)
-    return joined.select(
-        *POOL, "player", F.lit(0).cast("long").alias("turn"),
-        F.coalesce("r", fresh).alias("rating"), F.coalesce("n", F.lit(0)).cast("long").alias(
-            "played"),
-        F.coalesce("k", fresh).alias("peak"), F.col("d").alias("last_day"),
-        F.col("r").isNotNull().alias("known"))
-
-
-def rate_in_waves(rows: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """The same recurrence over any pool size, as joins of contests to a state table.
-
-    Both players' turn numbers bound a contest's wave from below, so each wave reads only
-    its own partition of contests plus those still waiting. Results of a wave go to the
-    shared folder, where the next wave and the caller read them.
-    """
-    spark = rows.sparkSession
-    path = scratch_path(spark, "waves")
-    _turns(rows).withColumn("wave", F.greatest("a_turn", "b_turn")).write.partitionBy(
-        "wave").parquet(f"{path}/todo")
-    todo = spark.read.parquet(f"{path}/todo")
-    last_wave = todo.agg(F.max("wave")).first()[0]
-
-    state = settle(_opening_state(todo, start))
-    waiting, wave = None, 0
-    while True:
-        due = todo.filter(F.col("wave") == wave).drop("wave")
-        if waiting is not None:
-            due = due.unionByName(waiting)
-        elif wave > last_wave:
-            break
-        due = due.withColumn("round", F.lit(wave))
-        for side in ("a", "b"):
-            mine = state.select(
-                *POOL, F.col("player").alias(side), F.col("turn").alias(f"{side}_turn"),
-                *[F.col(c).alias(f"{side}_{c}")
-                  for c in ("rating", "played", "peak", "last_day", "known")])
-            due = due.join(mine, POOL + [side, f"{side}_turn"], "left")
-        ready = F.col("a_rating").isNotNull() & F.col("b_rating").isNotNull()
-        due.withColumn("ready", ready).write.parquet(f"{path}/wave-{wave}")
-        step = spark.read.parquet(f"{path}/wave-{wave}")
-        state = settle(_advance(state, step.filter("ready")))
-        rest = step.filter("NOT ready").select(*ROW, "a_turn", "b_turn")
-        waiting = None if rest.isEmpty() else rest
-        wave += 1
-    before = spark.read.parquet(*[f"{path}/wave-{n}" for n in range(wave)]).filter("ready")
-    before = before.select(
-        *POOL, "match_id", "a", "b", "a_rating", "b_rating", "a_played", "b_played",
-        "a_peak", "b_peak", F.col("day").alias("last_day"))
-    null = F.lit(None)
-    final = state.filter("known").select(
-        *POOL, null.cast("string").alias("match_id"), F.col("player").alias("a"),
-        null.cast("long").alias("b"), F.col("rating").alias("a_rating"),
-        null.cast("double").alias("b_rating"), F.col("played").alias("a_played"),
-        null.cast("long").alias("b_played"), F.col("peak").alias("a_peak"),
-        null.cast("double").alias("b_peak"), "last_day")
-    return before.unionByName(final)
-
-
-def _advance(state: DataFrame, ready: DataFrame) -> DataFrame:
-    """State after one wave; a player occurs at most once in it."""
-    day = F.col("day")
-    a = idle_regressed(F.col("a_rating"), F.col("a_last_day"), day)
-    b = idle_regressed(F.col("b_rating"), F.col("b_last_day"), day)
-    surprise = F.col("actual") - expected(a, b)
-    scale = F.col("factor") * F.col("weight") * surprise
-    touched = F.col("updates") | F.col("stamps")
-
-    def side(name: str, rating: Column, sign: float) -> Column:
-        new = rating + sign * k_factor(F.col(f"{name}_played")) * scale
-        updates = F.col("updates")
-        return F.struct(
-            F.col(name).alias("player"),
-            (F.col(f"{name}_turn") + 1).alias("_turn"),
-            F.when(updates, new).otherwise(F.col(f"{name}_rating")).alias("_rating"),
-            (F.col(f"{name}_played") + updates.cast("long")).alias("_played"),
-            F.when(updates, F.greatest(F.col(f"{name}_peak"), new))
-            .otherwise(F.col(f"{name}_peak")).alias("_peak"),
-            F.when(touched, day).otherwise(F.col(f"{name}_last_day")).alias("_last_day"),
-            (F.col(f"{name}_known") | touched).alias("_known"),
-        )
-
-    new = ready.select(*POOL, F.inline(F.array(side("a", a, 1.0), side("b", b, -1.0))))
-    fields = ["turn", "rating", "played", "peak", "last_day", "known"]
-    return state.join(new, POOL + ["player"], "left").select(
-        *POOL, "player",
-        *[F.when(F.col("_turn").isNotNull(), F.col(f"_{f}")).otherwise(F.col(f)).alias(f)
-          for f in fields])
+    columns = [c.split()[0] for c in RATED.split(", ")]
+    whole = ["b", "b_played", "last_day"]
+
+    def frame(rows: list[tuple]):
+        df = pd.DataFrame(rows, columns=columns)
+        return df.astype({c: "Int64" for c in whole} | {"b_rating": "Float64", "b_peak": "Float64"})
+
+    pool = None
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            key = (row.tour, row.kind, row.store)
+            if pool is None or pool.key != key:
+                out.extend(pool.final() if pool else [])
+                pool = _Pool(key)
+            if row.turn == 0:
+                pool.players[row.a] = (row.s_rating, int(row.s_played), row.s_peak, int(row.s_last_day))
+                continue
+            one, two = int(row.a), int(row.b)
+            row = row._replace(a=one, b=two)
+            (ra, na, pa, _), (rb, nb, pb, _) = pool.read(one), pool.read(two)
+            out.append((*key, row.match_id, one, two, ra, rb, na, nb, pa, pb, row.day))
+            pool.take(row)
+        if out:
+            yield frame(out)
+    if pool is not None:
+        yield frame(pool.final())
 
 
 # ------------------------------------------------------------------ results

@@ -1,9 +1,8 @@
-"""Running totals along timelines, with very long timelines split.
+"""Running totals along timelines that never gather a key.
 
-A timeline is the rows of one key in order. Short ones (the normal case) are one window
-partition each. A key with more rows than a bound is summed per day first (pre-aggregated,
-so at most one row per day remains), the day totals are accumulated, and the rows of each
-day add their own part: no task ever holds the whole key.
+A timeline is the rows of one key in order. Rows are summed per day first, so that one row per
+key and day remains; the day totals are accumulated, and the rows of each day add their own
+part. The work on a key is spread over its days, however many rows it has.
 """
 
 from __future__ import annotations
@@ -12,38 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def long_keys(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame | None:
-    """Keys with more than ``max_rows`` rows, or None if there are none."""
-    counts = df.groupBy(*keys).count().filter(F.col("count") > max_rows).select(*keys)
-    return None if counts.isEmpty() else counts
+def _before(keys: list[str], order: list[str]):
+    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running(
     df: DataFrame, keys: list[str], day: str, order: list[str],
     sums: dict[str, Column], peaks: dict[str, Column] | None = None,
-    long: DataFrame | None = None,
 ) -> DataFrame:
-    """Add exclusive running sums and maxima; ``_long`` marks rows of split keys."""
+    """Add exclusive running sums and maxima."""
     peaks = peaks or {}
-    if long is None:
-        return _plain(df, keys, [day] + order, sums, peaks).withColumn("_long", F.lit(False))
-    short = _plain(df.join(long, keys, "left_anti"), keys, [day] + order, sums, peaks)
-    split = _by_day(df.join(long, keys, "left_semi"), keys, day, order, sums, peaks)
-    return short.withColumn("_long", F.lit(False)).unionByName(
-        split.withColumn("_long", F.lit(True)))
-
-
-def _before(keys: list[str], order: list[str]):
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _plain(df, keys, order, sums, peaks) -> DataFrame:
-    window = _before(keys, order)
-    columns = {name: F.coalesce(F.sum(x).over(window), F.lit(0)) for name, x in sums.items()}
-    return df.withColumns(columns | {n: F.max(x).over(window) for n, x in peaks.items()})
-
-
-def _by_day(df, keys, day, order, sums, peaks) -> DataFrame:
     daily = df.groupBy(*keys, day).agg(
         *[F.sum(x).alias(name) for name, x in sums.items()],
         *[F.max(x).alias(name) for name, x in peaks.items()],
@@ -64,17 +41,16 @@ def _by_day(df, keys, day, order, sums, peaks) -> DataFrame:
 
 
 def in_chunks(df: DataFrame, position: str, counted: Column, span: int, size: int) -> DataFrame:
-    """Cut the long keys into chunks of ``size`` positions for frames of at most ``span``.
+    """Cut timelines into chunks of ``size`` positions for frames of at most ``span``.
 
     Rows within ``span`` of a chunk's end are copied into the next chunk as context
-    (``_context``); everything else sits in chunk 0.
+    (``_context``).
     """
     if size < span:
         raise ValueError("a chunk must be at least as long as the frame")
     chunk = F.floor(F.col(position) / size)
     following = F.floor((F.col(position) + span) / size)
-    chunks = F.when(~F.col("_long"), F.array(F.lit(0).cast("bigint"))).when(
-        counted & (following > chunk), F.array(chunk, following)).otherwise(F.array(chunk))
+    chunks = F.when(counted & (following > chunk), F.array(chunk, following)).otherwise(F.array(chunk))
     return df.withColumn("_chunks", chunks).select(
         "*", F.posexplode("_chunks").alias("_copy", "_chunk")
     ).withColumn("_context", F.col("_copy") > 0).drop("_chunks", "_copy")

@@ -41,13 +41,13 @@ def _hits(key: Column, rows: list[tuple]) -> Column:
 
 
 def altitude(key: Column) -> Column:
-    first = F.get(_hits(key, venue_words.altitudes()), 0)
+    first = F.get(_hits(key, list(venue_words.ALTITUDES.items())), 0)
     return F.coalesce(first["value"], F.lit(0))
 
 
 def country(key: Column) -> Column:
     ranked = F.transform(
-        _hits(key, venue_words.countries()),
+        _hits(key, list(venue_words.COUNTRIES.items())),
         lambda r: F.struct(
             F.length(r["word"]).alias("size"), (-r["position"]).alias("earlier"),
             r["value"].alias("value"),
@@ -57,9 +57,9 @@ def country(key: Column) -> Column:
 
 
 def indoor_by_name(key: Column) -> Column:
-    words = F.array(*[F.lit(clean_word(w)) for w in venue_words.indoor_words()])
+    words = F.array(*[F.lit(clean_word(w)) for w in venue_words.INDOOR_WORDS])
     listed = F.exists(words, lambda w: key.contains(w))
-    named = ~key.isin(venue_words.outdoor_names()) & (key.contains("indoor") | listed)
+    named = ~key.isin(venue_words.OUTDOOR_NAMES) & (key.contains("indoor") | listed)
     return named & (key != "")
 
 

@@ -353,27 +353,33 @@ def skill_observations(spark, folder):
         F.sum("svpt").alias("points"), F.sum("spw").alias("won"))
 
 
-def _latest_cells(spark, folder) -> DataFrame:
-    stored = stored_matches(spark, folder)
+def _residuals(stored, only=None) -> DataFrame:
     start, last = skill.calendar(stored)
-    rows = skill.at_cuts(skill.cells(skill.observations(stored), start), last)
-    return rows.filter(F.col("cut") == last)
+    rows = skill.cells(skill.observations(stored), start)
+    fits = via_table(skill.fit_rolling(stored, only), "fits")
+    worst = skill.worst_residuals(rows, fits, last)
+    return worst.select("tour", "cut", "kind", "params", r6("worst", 5))
+
+
+@query
+def skill_fit(spark, folder):
+    """Every refit solved to convergence: parameters of each kind and their largest residual."""
+    return _residuals(stored_matches(spark, folder))
 
 
 @query
 def skill_fit_sweeps(spark, folder):
-    """Three sweeps of the distributed solver at the last refit."""
-    fit = skill.fit_by_sweeps(_latest_cells(spark, folder), sweeps=3)
-    return fit.select(
-        "tour", "kind", "player_id", "surface", r6("serve"), r6("ret"))
+    """The same for the last refit alone."""
+    stored = stored_matches(spark, folder)
+    return _residuals(stored, [skill.last_refit(stored)])
 
 
 @query
 def raw_rates(spark, folder):
-    """Unadjusted rates and coverage of each player at the last refit."""
-    fits = skill.fit_rolling(stored_matches(spark, folder)).filter("kind = 'player'")
-    last = fits.groupBy("tour", "player_id").agg(F.max("cut").alias("cut"))
-    latest = fits.join(last, ["tour", "player_id", "cut"])
+    """Unadjusted rates and coverage of each player at the last refit that sees the player."""
+    stored = stored_matches(spark, folder)
+    start, last = skill.calendar(stored)
+    latest = skill.latest_sums(skill.cells(skill.observations(stored), start), last)
     return latest.select("tour", "player_id", "cut", r6("raw_spw"), r6("raw_rpw"),
                          r6("serve_points", 4), r6("return_points", 4))
 
@@ -478,6 +484,28 @@ def season_files(spark, folder):
         F.col("altitude_m").cast("bigint").alias("altitude_m"))
 
 
+@query
+def odds_files(spark, folder):
+    """Price files of three layouts: other column orders, date formats and quoted headers."""
+    root = scratch_path(spark, "prices")
+    df = contests.contests(spark, folder).withColumns({
+        "W": F.col("winner_id").cast("string"), "L": F.col("loser_id").cast("string")})
+    date, part = F.col("match_date"), F.col("match_num") % 3
+    w, l = F.col("odds_winner"), F.col("odds_loser")
+    layouts = [
+        (0, False, {"Date": date.cast("string"), "Winner": F.col("W"), "Loser": F.col("L"), "PSW": w, "PSL": l}),
+        (1, True, {"Date": F.date_format(date, "dd/MM/yyyy"), "Loser": F.col("L"), "Winner": F.col("W"),
+                   "B365L": l, "B365W": w}),
+        (2, False, {"Loser": F.col("L"), "PSL": l, "Winner": F.col("W"), "Date": F.date_format(date, "yyyyMMdd"),
+                    "PSW": w}),
+    ]
+    for number, quoted, columns in layouts:
+        df.filter(part == number).select(*[c.alias(n) for n, c in columns.items()]).write.option(
+            "header", True).option("quoteAll", quoted).csv(f"{root}/prices_{number}.csv")
+    return odds.load(spark, f"{root}/prices_*.csv", "ATP").select(
+        "match_date", "winner_name", "loser_name", "odds_w_ps", "odds_l_ps", "odds_w_b365", "odds_l_b365")
+
+
 def _raw_prices(spark, folder) -> DataFrame:
     df = contests.contests(spark, folder)
     n = F.col("match_num")
@@ -603,6 +631,29 @@ def leaderboard(spark, folder):
         "elo", "elo_clay", "peak_elo", "serve_skill", "return_skill")])
 
 
+@query
+def explain(spark, folder):
+    """Evidence behind the forecasts of the latest contests of every tour, largest first."""
+    bundle = _bundle(spark, folder, model=True)
+    latest = bundle.matches.filter(F.col("match_date") == F.lit(bundle.end))
+    requests = latest.select(
+        F.col("match_id").alias("request_id"), "tour", F.col("winner_id").alias("p1"),
+        F.col("loser_id").alias("p2"), "surface", "best_of", "level", "round", "tourney_name", "draw_size")
+    return serve.explain(bundle, requests)
+
+
+@query
+def train_and_load(spark, folder):
+    """Train, save, load again: the model card, and the importance of every feature."""
+    path = scratch_path(spark, "bundle")
+    serve.train(stored_matches(spark, folder), path, backtest=False, rounds=40)
+    card = serve.model_card(spark, path).withColumn("table", F.lit("card"))
+    importance = load_table(spark, f"{path}/importance").select(
+        F.col("feature").alias("entry"), F.col("importance").cast("string").alias("value"),
+        F.lit("importance").alias("table"))
+    return card.unionByName(importance)
+
+
 @query
 def player_profiles(spark, folder):
     return serve.profiles(_bundle(spark, folder))
@@ -636,6 +687,25 @@ def batch_predict(spark, folder):
 @query
 def streaming_career(spark, folder):
     """Counters kept by a stateful stream over the contests, three batches in date order."""
+    stored, root = _arriving(spark, folder)
+    stream = live.career_stream(live.open_matches(spark, f"{root}/matches", stored, 4))
+    table = live.run_to_table(stream, f"{root}/out", f"{root}/checkpoint")
+    return table.select("match_id", "side", "career_matches", "career_wins", "win_streak",
+                        "loss_streak", "late_rows")
+
+
+@query
+def streaming_ratings(spark, folder):
+    """Ratings before every contest, carried from micro-batch to micro-batch of a stream."""
+    stored, root = _arriving(spark, folder)
+    stream = live.open_matches(spark, f"{root}/matches", stored, 4)
+    live.run_ratings(stream, f"{root}/ratings", f"{root}/checkpoint")
+    sides = _by_side(ratings.pre_match(spark.read.parquet(f"{root}/ratings/rated")), ratings.PRE_MATCH)
+    return sides.select("match_id", "side", *[r6(n) for n in ratings.PRE_MATCH])
+
+
+def _arriving(spark, folder) -> tuple[DataFrame, str]:
+    """The match table, and a folder to which it came in three batches in date order."""
     stored = stored_matches(spark, folder)
     root = scratch_path(spark, "stream")
     edges = [r for r in stored.select(F.percentile_approx(
@@ -643,7 +713,4 @@ def streaming_career(spark, folder):
     day = F.unix_date("match_date")
     for part in (day < edges[0], (day >= edges[0]) & (day < edges[1]), day >= edges[1]):
         stored.filter(part).repartition(4).write.mode("append").parquet(f"{root}/matches")
-    stream = live.career_stream(live.open_matches(spark, f"{root}/matches", stored, 4))
-    table = live.run_to_table(stream, f"{root}/out", f"{root}/checkpoint")
-    return table.select("match_id", "side", "career_matches", "career_wins", "win_streak",
-                        "loss_streak", "late_rows")
+    return stored, root

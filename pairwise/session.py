@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths given out and not yet removed.
+_made: list[str] = []
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
     """Single-machine session for tests and the bench; a cluster brings its own."""
@@ -43,7 +46,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for intermediate data; ``clear_scratch`` removes what was made since the last call."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this driver. Call it once results have been read: a
+    result is lazy and reads them when it is computed."""
+    context = spark.sparkContext
+    for name in _made:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    count = len(_made)
+    _made.clear()
+    return count
 
 
 def settle(df: DataFrame) -> DataFrame:

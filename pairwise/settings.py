@@ -36,7 +36,6 @@ WINDOW_DAYS = 1095
 REFIT_DAYS = 28
 SKILL_HALF_LIFE = 365.0
 RIDGE, SURFACE_RIDGE = 200.0, 550.0
-MAX_SWEEPS, SWEEP_TOLERANCE = 60, 1e-7
 NEUTRAL_RATE = 0.62
 
 # --- fixed values: rolling history ----------------------------------------------
@@ -60,9 +59,3 @@ ISOTONIC_MIN_ROWS = 4000
 TREE_ROUNDS, TREE_STEP, TREE_DEPTH, TREE_MIN_LEAF = 400, 0.045, 6, 60
 TREE_VALIDATION = 0.12
 SEED = 7
-
-# --- size limits: beyond each, a distributed form of the same work is used ------
-MAX_POOL_ROWS = 2_000_000       # rows of one rating pool handed to a single task
-MAX_FIT_ROWS = 2_000_000        # observations of one skill fit handed to a single task
-MAX_TIMELINE_ROWS = 1_000_000   # history rows of one contestant in a single window
-MAX_BROADCAST_ROWS = 200_000

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairwise.functions.numeric import known, lookup, number, strip, whole
 from pairwise.operators.clean import clean_surface
 from pairwise.operators.history import day_number
+from pairwise.sources.layouts import read_layouts
 
 # --- fixed values: column prefixes and the series vocabulary ----------------------
 BOOKS = {
@@ -15,6 +16,14 @@ BOOKS = {
     "gb": "GB", "iw": "IW", "sb": "SB", "bw": "B&W",
 }
 SUMMARIES = {"max": "Max", "avg": "Avg"}
+# --- fixed values: how the archive's files write dates ------------------------------
+DATE_FORMATS = [
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", "d-MMM-yy"),
+    (r"^\d{8}$", "yyyyMMdd"),
+]
 PREFERRED = ["ps", "avg", "b365", "max"]
 SERIES_LEVELS = {
     "grand slam": "G", "masters 1000": "M", "masters": "M", "masters cup": "F",
@@ -44,8 +53,17 @@ def valid_price(value: Column) -> Column:
     return F.when((price > 1.0) & (price < 1000.0), price)
 
 
-def normalise(raw: DataFrame, tour: Column) -> DataFrame:
-    """Any column may be absent; names match whatever their case."""
+def price_date(text: Column) -> Column:
+    """The date in any of the archive's formats, null otherwise."""
+    clean = strip(text)
+    return F.coalesce(
+        F.to_date(F.try_to_timestamp(clean)),
+        *[F.to_date(F.try_to_timestamp(F.when(clean.rlike(shape), clean), F.lit(form))) for shape, form in DATE_FORMATS])
+
+
+def normalise(raw: DataFrame, tour: Column, undated: bool = False) -> DataFrame:
+    """Any column may be absent; names match whatever their case. Rows without a date that can
+    be read go, unless ``undated`` keeps them."""
     have = {c.strip().lower(): c for c in raw.columns}
 
     def column(*names: str) -> Column:
@@ -57,7 +75,7 @@ def normalise(raw: DataFrame, tour: Column) -> DataFrame:
     retired, walkover = completion(column("comment"))
     columns = {
         "tour": F.lower(tour),
-        "match_date": F.to_date(F.try_to_timestamp(column("date"))),
+        "match_date": price_date(column("date")),
         "tournament": strip(column("tournament")), "location": strip(column("location")),
         "series": strip(column("series", "tier")),
         "level": series_level(column("series", "tier")),
@@ -76,8 +94,9 @@ def normalise(raw: DataFrame, tour: Column) -> DataFrame:
         if wanted:
             columns[f"odds_w_{key}"] = valid_price(column(f"{prefix}W"))
             columns[f"odds_l_{key}"] = valid_price(column(f"{prefix}L"))
-    return raw.select(*[c.alias(n) for n, c in columns.items()]).filter(
-        F.col("match_date").isNotNull())
+    kept = ["_file"] if "_file" in raw.columns else []
+    frame = raw.select(*[c.alias(n) for n, c in columns.items()], *kept)
+    return frame if undated else frame.filter(F.col("match_date").isNotNull())
 
 
 def best_price(frame: DataFrame) -> DataFrame:
@@ -106,10 +125,25 @@ def price_rows(frame: DataFrame) -> DataFrame:
     return rows.filter(F.col("odds_w").isNotNull() | F.col("odds_l").isNotNull())
 
 
-def load(spark, pattern: str, tour: str) -> DataFrame:
-    """Price files delivered as CSV (one header layout per call), in date order."""
-    raw = spark.read.option("header", True).option("ignoreCorruptFiles", True).csv(pattern)
-    return normalise(raw, F.lit(tour)).orderBy("match_date")
+def _united(spark, pattern: str, tour: str, undated: bool) -> DataFrame | None:
+    out = None
+    for raw in read_layouts(spark, pattern, ["winner"]):
+        part = normalise(raw, F.lit(tour), undated)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def load(spark, pattern: str, tour: str) -> DataFrame | None:
+    """Price files of several seasons, each read by its own header, in date order."""
+    frame = _united(spark, pattern, tour, undated=False)
+    return None if frame is None else frame.drop("_file").orderBy("match_date")
+
+
+def load_report(spark, pattern: str, tour: str) -> DataFrame | None:
+    """Rows of each file and how many of them have no date that can be read."""
+    frame = _united(spark, pattern, tour, undated=True)
+    return None if frame is None else frame.groupBy("_file").agg(
+        F.count("*").alias("rows"), F.sum(F.col("match_date").isNull().cast("long")).alias("undated"))
 
 
 def join_matches(matches: DataFrame, prices: DataFrame, days: int = 7) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairwise.operators.clean import EVENT_FIELDS, PLAYER_FIELDS, SERVE_FIELDS, normalise
+from pairwise.sources.layouts import read_layouts
 
 RAW_COLUMNS = EVENT_FIELDS + [
     f"{side}_{name}" for side in ("winner", "loser") for name in PLAYER_FIELDS
@@ -21,34 +21,14 @@ CHARTING_TABLES = [
 ]
 
 
-def _exists(spark: SparkSession, pattern: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return bool(found)
-
-
 def read_csv(spark: SparkSession, pattern: str) -> DataFrame | None:
     """Files of one pattern with columns matched by header name; None when there are none.
 
-    Files may differ in columns and order, so each header layout is its own scan, and the
-    scans are united by name. Unreadable files are skipped.
+    Files may differ in columns and order, so each header layout is parsed on its own, and the
+    layouts are united by name.
     """
-    if not _exists(spark, pattern):
-        return None
-    lines = spark.read.option("ignoreCorruptFiles", True).text(pattern)
-    heads = lines.select("value", F.input_file_name().alias("file")).filter(
-        F.col("value").startswith("tourney_id,") | F.col("value").contains("match_id"))
-    layouts = heads.groupBy("value").agg(F.sort_array(F.collect_set("file")).alias("files"))
     out = None
-    for row in layouts.orderBy("value").collect():      # a handful of header layouts
-        names = [n.strip().strip('"') for n in row["value"].split(",")]
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        part = (
-            spark.read.schema(schema).option("header", True)
-            .option("ignoreCorruptFiles", True).csv(row["files"])
-            .withColumns({"_file": F.col("_metadata.file_path"),
-                          "_start": F.col("_metadata.file_block_start")})
-            .withColumn("_row", F.monotonically_increasing_id()))
+    for part in read_layouts(spark, pattern, ["tourney_id", "match_id"]):
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

@@ -76,7 +76,7 @@ def rating_step(spark: SparkSession, path: str):
             if state is not None:
                 save_table(state, f"{path}/state-{epoch}")
             return
-        rated = ratings.rate_in_waves(rows, state)
+        rated = ratings.rate_rows(rows, state)
         save_table(rated.filter("match_id IS NOT NULL"), f"{path}/rated/epoch={epoch}")
         final = rated.filter("match_id IS NULL")
         if state is not None:
@@ -87,6 +87,12 @@ def rating_step(spark: SparkSession, path: str):
     return step
 
 
+def run_ratings(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Follows what is available of a match stream; ratings and state are under ``path``."""
+    stream.writeStream.foreachBatch(rating_step(stream.sparkSession, path)).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def open_matches(spark: SparkSession, path: str, like: DataFrame, files: int) -> DataFrame:
     """Parquet files of a match table as a stream, oldest files first."""
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(path)

@@ -10,7 +10,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
-from pairwise.session import local_session  # noqa: E402
+from pairwise.session import clear_scratch, local_session  # noqa: E402
 from tests.parity import compare  # noqa: E402
 
 
@@ -32,6 +32,7 @@ def main() -> int:
                 problems, verdict = [], f"rows {df.count()}"
         except Exception:
             problems, verdict = [traceback.format_exc()[-3000:]], "ERROR"
+        clear_scratch(spark)
         failed += bool(problems)
         print(f"{name:24s} {verdict:12s} {time.time() - start:7.1f}s", flush=True)
         for problem in problems:

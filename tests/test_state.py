@@ -24,25 +24,32 @@ def same(a, b, key, tolerance=1e-9):
                 assert x == y, (k, column)
 
 
-def test_waves_equal_replay(few):
-    key = ratings.POOL + ["match_id", "a"]
-    same(ratings.rate(few), ratings.rate(few, max_pool_rows=0), key)
+def test_chunks_do_not_matter(matches):
+    timeline = history.appearances(matches.filter(F.col("tour") == "asia"))
+    same(history.history(timeline), history.history(timeline, chunk=120), ["match_id", "side"])
 
 
-def test_split_timelines_equal_plain(matches):
-    timeline = history.appearances(matches.filter(F.col("tour") == "asia"))
-    same(history.history(timeline), history.history(timeline, max_rows=60),
-         ["match_id", "side"])
+def test_ratings_go_on_from_a_state(few):
+    middle = few.agg(F.percentile_approx("match_date", 0.5)).first()[0]
+    rows = ratings.store_rows(few)
+    early = few.filter(F.col("match_date") <= middle)
+    state = ratings.rate(early).filter("match_id IS NULL")
+    late = ratings.rate_rows(rows.join(early.select("match_id"), "match_id", "left_anti"), state)
+    whole = ratings.rate(few).filter(F.col("match_id").isNotNull()).join(
+        early.select("match_id"), "match_id", "left_anti")
+    same(late.filter(F.col("match_id").isNotNull()), whole.select(*late.columns), ratings.POOL + ["match_id", "a"])
 
 
-def test_sweeps_equal_block_solver(matches):
+def test_skill_fit_solves_its_equations(matches):
     first = matches.agg(F.min("match_date")).first()[0]
     year = matches.filter(F.col("match_date") < F.date_add(F.lit(first), 200))
-    a = skill.fit_rolling(year)
     start, last = skill.calendar(year)
-    cells = skill.at_cuts(skill.cells(skill.observations(year), start), last)
-    b = skill.fit_by_sweeps(cells.filter(F.col("cut") == last))
-    same(a.filter(F.col("cut") == last), b, ["kind", "tour", "player_id", "surface"], 1e-5)
+    cells = skill.cells(skill.observations(year), start)
+    fits = skill.fit_rolling(year)
+    worst = skill.worst_residuals(cells, fits, last).agg(F.max("worst"), F.count("*")).first()
+    assert worst[1] > 0 and worst[0] < 1e-8
+    only = skill.fit_rolling(year, [last])
+    same(only, fits.filter(F.col("cut") == last), ["kind", "tour", "player_id", "surface"])
 
 
 def test_first_contest_reads_start_values(matches):
