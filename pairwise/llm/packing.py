@@ -17,7 +17,6 @@ an empty result; columns other than ``doc_id`` and ``text`` are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,84 +25,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairwise.llm.tokens import BulkTokens
 from pairwise.session import settle, via_table
 
 LENGTH = 4096
 END_ID = 2
 DIMS, BITS = 4, 10          # of the curve
 BUCKETS = 256               # of the hashed bag of words
-MOST_CACHED = 1_000_000     # words kept by a worker before it starts afresh
-TOGETHER = 2000             # unknown words encoded in one call
-#: A word of plain small letters, or a run of marks: one word to the tokenizer, which ends it with
-#: an end-of-word token, so many can be encoded in one call and told apart again.
-PLAIN = re.compile(r"[a-zà-öø-ÿ]+|[.,;:!?#&$%*|]+")
-#: Where the tokenizer cuts as well: from a small letter to a mark and back.
-BORDER = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[.,;:!?#&$%*|])|(?<=[.,;:!?#&$%*|])(?=[a-zà-öø-ÿ])")
-SPACE = re.compile(r"[ \t\r\n]+")
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-
-
-class WordTokens:
-    """Ids of whole texts, word by word.
-
-    The tokenizer never joins across white space, nor letters and marks, so the ids of a text are
-    those of its words one after the other, and a word met before need not be encoded again.
-    """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        vocabulary = self.model.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[number for word, number in vocabulary.items() if word.endswith("</w>")]] = True
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        if ODD_SPACE.search(text):
-            return SPACE.split(text)
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return SPACE.split(text)
-        # within Latin-1, small letters are the same to Python and to the tokenizer
-        return BORDER.sub(" ", text.lower()).split()
-
-    def learn(self, words: set[str]) -> None:
-        plain = [w for w in words if PLAIN.fullmatch(w)]
-        for low in range(0, len(plain), TOGETHER):
-            part = plain[low:low + TOGETHER]
-            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
-                raise ValueError("a plain word is more than one word to the tokenizer")
-            blob, at = ids.tobytes(), 0
-            for word, stop in zip(part, stops.tolist(), strict=True):
-                self.known[word] = blob[4 * at:4 * stop]
-                at = stop
-        other = [w for w in words if not PLAIN.fullmatch(w)]
-        for word, coded in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(coded.ids, dtype="<u4").tobytes()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.known) > MOST_CACHED:
-            self.known = {"": b""}
-        listed = [self.words(t) for t in texts]
-        unknown = set().union(*listed).difference(self.known)
-        if unknown:
-            self.learn(unknown)
-        known = self.known
-        return [b"".join([known[w] for w in own]) for own in listed]
-
-
-_tokens: dict[str, WordTokens] = {}
-
-
-def _worker_tokens(path: str) -> WordTokens:
+
+_tokens: dict[str, BulkTokens] = {}
+
+
+def _worker_tokens(path: str) -> BulkTokens:
     if path not in _tokens:
-        _tokens[path] = WordTokens(path)
+        _tokens[path] = BulkTokens(path)
     return _tokens[path]
 
 
@@ -154,17 +90,14 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 
 def _tokenized(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _worker_tokens(path)
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        tokens = _worker_tokens(path)
         for batch in batches:
-            for low in range(0, len(batch), 256):
-                part = batch.iloc[low:low + 256]
-                blobs = [own + end for own in words.ids(part["text"].tolist())]
-                arrays = [np.frombuffer(b, dtype="<u4") for b in blobs]
+            for low in range(0, len(batch), 1024):
+                part = batch.iloc[low:low + 1024]
+                arrays = [np.append(own, np.uint32(END_ID)) for own in tokens.ids(part["text"].tolist())]
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].array, "curve": curve_keys(arrays),
-                    "n": [len(a) for a in arrays],
-                    "ids": [a.astype("<u2").tobytes() if a.max() < 65536 else b for a, b in zip(arrays, blobs, strict=True)]})
+                    "doc_id": part["doc_id"].array, "curve": curve_keys(arrays), "n": [len(a) for a in arrays],
+                    "ids": [a.astype("<u2" if a.max() < 65536 else "<u4").tobytes() for a in arrays]})
     return run
 
 
