@@ -40,6 +40,7 @@ LENGTH = 100
 TRIGGER = 32
 PIECE = 1 << 20             # bytes worked on at a time
 PLACE_BITS = 24             # of a trigger's place within a piece
+NO_ID = -(1 << 62)          # stands for a null id
 PART_SHIFT = 40             # a place in the corpus: row number within the id, then the byte offset
 
 _BASES = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
@@ -193,7 +194,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for low in range(0, len(batch), 128):
             out = []
             piece = batch.iloc[low:low + 128]
-            for doc_id, data, listed in zip(piece["doc_id"].array, piece["data"], piece["listed"], strict=True):
+            for doc_id, data, listed in zip(piece["d"], piece["data"], piece["listed"], strict=True):
                 text, spans = bytes(data), []
                 if listed is not None and len(listed):
                     places = np.array([(x["at"], x["n"]) for x in listed], dtype=np.int64)
@@ -216,10 +217,11 @@ def repeated_places(texts: DataFrame) -> DataFrame:
     dealt = parse.repartition("trigger")
     entry = Window.partitionBy("trigger", "phrase").orderBy("d", "at")
     same = Window.partitionBy("trigger")
-    ordered = dealt.withColumn("rank", F.row_number().over(entry))
-    repeats = ordered.where("n < 0 or rank > 1").select("d", "at", F.abs("n").alias("n"))
+    # a plain mark instead of a rank: both branches then read one and the same shuffle
+    ordered = dealt.withColumn("first", F.lag("d").over(entry).isNull())
+    repeats = ordered.where("n < 0 or not first").select("d", "at", F.abs("n").alias("n"))
     unsure = (
-        ordered.where("n > 0 and rank = 1")
+        ordered.where("n > 0 and first")
         .withColumn("differ", F.min("phrase").over(same) != F.max("phrase").over(same))
         .where("differ").groupBy("d", F.shiftright("at", PART_SHIFT).cast("int").alias("part"))
         .agg(F.collect_list(F.struct("at", "n")).alias("listed"))
@@ -237,13 +239,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     ``spans`` are the removed stretches of bytes, in order, ``kept`` the bytes that remain.
     """
-    read = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("data"))
-    keyed = read.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 62)))).repartition("d")
+    # nothing but key and bytes, so that all three uses of the shuffled texts are one shuffle
+    keyed = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"),
+        F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("data")).repartition("d")
     texts = keyed.withColumn("part", F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("data"))))
     places = repeated_places(texts).groupBy("d", F.shiftright("at", PART_SHIFT).cast("int").alias("part")).agg(
         F.collect_list(F.struct("at", "n")).alias("listed"))
-    told = texts.join(places, ["d", "part"], "left").select(F.col("doc_id").cast("string").alias("doc_id"), "data", "listed")
+    told = texts.join(places, ["d", "part"], "left").select("d", "data", "listed")
     cut = told.mapInPandas(
-        _cut, "doc_id string, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
-    return cut.withColumn("doc_id", F.col("doc_id").cast("long"))
+        _cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return cut.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
