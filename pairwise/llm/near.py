@@ -9,10 +9,11 @@ registers of a band are candidates, and candidates are verified on the exact sim
 
 Pairs within a bucket are not enumerated. Equal texts are one node. Each node is compared with
 the first node of one of its buckets, then with the first nodes of the other buckets where that
-would join two components. What is left are buckets that hold several components: small ones
-compare their members across components, large ones are split by the members' other bands (two
-texts above the threshold share many bands) and handled the same way. Only pairs within one
-component are left out, as they cannot change it.
+would join two components. What is left are buckets that still hold several components. The
+nodes of such buckets form families, and the nodes outside a family's largest component are
+compared with the whole family, block against block: a matrix product over the shingles of two
+blocks bounds all similarities, and pairs that may reach the threshold are measured. Only pairs
+within one component are left out, as they cannot change it.
 
 Edge cases: texts are lower-cased and cut at white space; a text of one to four words is one
 shingle; null texts and texts without words stay alone; rows equal in text are one class, also
@@ -36,8 +37,8 @@ from pairwise.session import via_table
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 6         # a pair at 0.8 shares no band once in 5,000
-SMALL = 64                  # members of a bucket that are compared across components at once
-SPLITS = 2                  # times a large bucket is split before its members are compared all the same
+LEFT_ROWS, RIGHT_ROWS = 256, 512  # of a block of nodes outside their family's core, and of the family
+COLUMNS = 8192              # shingles of a pair of blocks that are multiplied at a time
 PIECE = 1 << 18             # characters worked on at a time
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -189,15 +190,18 @@ def probability_jaccard(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b:
     return total
 
 
+def _pair_similarity(a: dict, b: dict) -> float:
+    def unpack(x: dict) -> tuple[np.ndarray, np.ndarray]:
+        own = np.frombuffer(x["ids"], dtype=np.uint64)
+        return own, np.frombuffer(x["counts"], dtype="<u4") if x["counts"] else np.ones(len(own), dtype=np.uint32)
+
+    return probability_jaccard(*unpack(a), *unpack(b))
+
+
 @F.pandas_udf(T.DoubleType())
 def _similarity(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    def pair(ids: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-        own = np.frombuffer(ids, dtype=np.uint64)
-        return own, np.frombuffer(counts, dtype="<u4") if counts else np.ones(len(own), dtype=np.uint32)
-
-    return pd.Series([
-        probability_jaccard(*pair(ai, ac), *pair(bi, bc))
-        for ai, ac, bi, bc in zip(a["ids"], a["counts"], b["ids"], b["counts"], strict=True)], dtype=float)
+    left, right = a.to_dict("records"), b.to_dict("records")
+    return pd.Series([_pair_similarity(x, y) for x, y in zip(left, right, strict=True)], dtype=float)
 
 
 class _Graph:
@@ -213,8 +217,10 @@ class _Graph:
         left = self.sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
         right = self.sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
         measured = pairs.join(left, "a").join(right, "b")
-        found = via_table(
-            measured.where(_similarity("set_a", "set_b") >= self.threshold).select("a", "b"), "near-links")
+        self.take(measured.where(_similarity("set_a", "set_b") >= self.threshold).select("a", "b"))
+
+    def take(self, links: DataFrame) -> None:
+        found = via_table(links, "near-links")
         self.links = found if self.links is None else self.links.union(found)
         self.parts = via_table(components(self.links), "near-components")
 
@@ -240,39 +246,109 @@ def _leaders_across(graph: _Graph, members: DataFrame) -> DataFrame:
             .select(F.col("node").alias("a"), F.col("leader").alias("b")))
 
 
-def _mixed(graph: _Graph, members: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with component and bucket size."""
-    placed = graph.placed(members)
-    kinds = (placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size"))
-             .where("low <> high").select("key", "size"))
-    return placed.join(kinds, "key")
-
+def _families(graph: _Graph, members: DataFrame) -> DataFrame:
+    """``node, part, family, outside``: the nodes of buckets that hold several components.
 
-def _across(mixed: DataFrame) -> DataFrame:
-    """Pairs of members in different components, but for the leader, which all have been compared with."""
-    rest = mixed.where("node <> leader").select("key", "node", "part")
-    a, b = rest.toDF("key", "a", "part_a"), rest.toDF("key", "b", "part_b")
-    return a.join(b, "key").where("a < b and part_a <> part_b").select("a", "b").distinct()
-
-
-def linked_texts(signs: DataFrame, sets: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    A family is what such buckets join; its largest component is its core, and ``outside`` marks
+    the nodes that are not in it.
+    """
+    placed = graph.placed(members)
+    kinds = (placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+             .where("low <> high").select("key"))
+    mixed = via_table(placed.join(kinds, "key").select("node", "leader", "part").distinct(), "near-mixed")
+    joined = components(mixed.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    nodes = mixed.select("node", "part").distinct().join(
+        joined.withColumnRenamed("component", "family"), "node")
+    sizes = nodes.groupBy("family", "part").agg(F.count("*").alias("n"))
+    core = sizes.groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("core"))
+    return nodes.join(core, "family").select("node", "part", "family", (F.col("part") != F.col("core")).alias("outside"))
+
+
+def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of all rows end to end, their shares of the row's weight, and the row of each."""
+    ids = [np.frombuffer(x["ids"], dtype=np.uint64) for x in rows["set"]]
+    counts = [np.frombuffer(x["counts"], dtype="<u4").astype(np.float64) if x["counts"] else np.ones(len(k))
+              for x, k in zip(rows["set"], ids, strict=True)]
+    shares = [c / max(c.sum(), 1.0) for c in counts]
+    return np.concatenate(ids), np.concatenate(shares), np.repeat(np.arange(len(ids)), [len(k) for k in ids])
+
+
+def _overlap_bounds(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    """An upper bound of the similarity of every row of ``left`` with every row of ``right``.
+
+    An element adds at most its share of either side, so the smaller of the two sums of shares over
+    shared elements bounds the similarity. Where no shingle repeats, the counts give it exactly.
+    """
+    ids_a, share_a, row_a = _unpacked(left)
+    ids_b, share_b, row_b = _unpacked(right)
+    both = np.intersect1d(ids_a, ids_b)
+    total_a, total_b = np.zeros((len(left), len(right)), np.float32), np.zeros((len(left), len(right)), np.float32)
+    keep_a, keep_b = np.isin(ids_a, both), np.isin(ids_b, both)
+    at_a, at_b = np.searchsorted(both, ids_a[keep_a]), np.searchsorted(both, ids_b[keep_b])
+    share_a, row_a, share_b, row_b = share_a[keep_a], row_a[keep_a], share_b[keep_b], row_b[keep_b]
+    for low in range(0, len(both), COLUMNS):
+        in_a, in_b = (at_a >= low) & (at_a < low + COLUMNS), (at_b >= low) & (at_b < low + COLUMNS)
+        width = min(COLUMNS, len(both) - low)
+        weight_a, weight_b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        weight_a[row_a[in_a], at_a[in_a] - low] = share_a[in_a]
+        weight_b[row_b[in_b], at_b[in_b] - low] = share_b[in_b]
+        total_a += weight_a @ (weight_b > 0).T.astype(np.float32)
+        total_b += (weight_a > 0).astype(np.float32) @ weight_b.T
+    size_a, size_b = (np.array([len(x["ids"]) // 8 for x in rows["set"]], np.float32) for rows in (left, right))
+    plain_a, plain_b = (np.array([not x["counts"] for x in rows["set"]]) for rows in (left, right))
+    shared = total_a * size_a[:, None]
+    exact = shared / np.maximum(size_a[:, None] + size_b - shared, 1)
+    return np.where(plain_a[:, None] & plain_b, exact, np.minimum(total_a, total_b))
+
+
+def _met(threshold: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["left"]], rows[~rows["left"]]
+        found = []
+        if len(left) and len(right):
+            part_a, part_b = left["part"].to_numpy(), right["part"].to_numpy()
+            close = _overlap_bounds(left, right) >= threshold - 1e-4
+            sets_a, sets_b = left["set"].tolist(), right["set"].tolist()
+            for i in range(len(left)):
+                done = {part_a[i]}
+                for j in np.flatnonzero(close[i]):
+                    # one link to a component is enough
+                    if part_b[j] not in done and _pair_similarity(sets_a[i], sets_b[j]) >= threshold:
+                        done.add(part_b[j])
+                        found.append((left["node"].iat[i], right["node"].iat[j]))
+        return pd.DataFrame(found, columns=["a", "b"])
+    return run
+
+
+def _links_outside(graph: _Graph, families: DataFrame) -> DataFrame:
+    """Links ``a, b`` between components of a family: each node outside the core meets the whole family.
+
+    Nodes outside and whole families are dealt to blocks, and each pair of blocks is a task of its
+    own, so neither has to fit anywhere; at most one link a node and component leaves a task.
+    """
+    sized = families.groupBy("family").agg(
+        F.ceil(F.count("*") / RIGHT_ROWS).alias("rights"),
+        F.ceil(F.sum(F.col("outside").cast("int")) / LEFT_ROWS).alias("lefts"))
+    dealt = families.join(sized, "family")
+    places = F.xxhash64("node")
+    left = dealt.where("outside").select(
+        "node", "part", "family", F.lit(True).alias("left"), F.pmod(places, F.col("lefts")).alias("lb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("rb"))
+    right = dealt.select(
+        "node", "part", "family", F.lit(False).alias("left"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("lb"), F.pmod(places, F.col("rights")).alias("rb"))
+    rows = left.unionByName(right).join(graph.sets, "node")
+    return rows.groupBy("family", "lb", "rb").applyInPandas(_met(graph.threshold), "a binary, b binary")
+
+
+def linked_texts(sets: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """``node, component`` of the nodes that have a verified link."""
     graph = _Graph(sets, threshold)
     counted = members.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
     best = counted.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
     graph.verify(best.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    for split in range(SPLITS + 1):
-        graph.verify(_leaders_across(graph, members))
-        mixed = via_table(_mixed(graph, members), "near-mixed")
-        small = mixed if split == SPLITS else mixed.where(F.col("size") <= SMALL)
-        graph.verify(_across(small))
-        large = mixed.where(F.col("size") > SMALL)
-        if split == SPLITS or large.isEmpty():
-            break
-        keys = large.select("key", "node").join(signs, "node").select(
-            "node", F.col("key").alias("within"), F.explode("keys").alias("other"))
-        narrower = keys.where("other <> within").select(F.xxhash64("within", "other").alias("key"), "node")
-        members = via_table(_bucketed(narrower.distinct()), "near-split-buckets")
+    graph.verify(_leaders_across(graph, members))
+    graph.take(_links_outside(graph, via_table(_families(graph, members), "near-families")))
     return graph.parts
 
 
@@ -292,7 +368,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = via_table(
         named.join(wanted, "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
         .select("node", _shingle_set("text").alias("set")), "near-shingles")
-    parts = linked_texts(signs, sets, members, threshold)
+    parts = linked_texts(sets, members, threshold)
     grouped = texts.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("class_id"))
     classes = grouped.join(smallest, "component").select("node", "class_id")
