@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pairwise.functions import market
 from pairwise.functions.numeric import clip, known, logit
 from pairwise.operators.logistic import coefficients
+from pairwise.session import settle
 
 TINY = 1e-15
-EDGES = 64
 
 
 def row_log_loss(y: Column, p: Column) -> Column:
@@ -47,30 +47,26 @@ def skill_score(model: Column, reference: Column) -> Column:
 def ranked_values(df: DataFrame, groups: list[str], value: str, sums: dict[str, Column]):
     """Distinct values of each group with their count, sums and rank range.
 
-    Equal values collapse before the shuffle. Approximate quantiles cut the distinct values
-    into buckets of similar size; bucket totals are accumulated, then each bucket is ranked
-    by itself, so ranks are exact and no task holds a whole group.
+    Equal values collapse before the shuffle. The distinct values are range-partitioned; totals
+    of the ranges are accumulated, then each range is ranked by itself, so ranks are exact and
+    the ranges are as many as the session has partitions.
     """
     cells = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
         F.count(F.lit(1)).alias("_n"), *[s.alias(n) for n, s in sums.items()])
-    marks = [i / EDGES for i in range(1, EDGES)]
-    edges = cells.groupBy(*groups).agg(
-        F.percentile_approx(value, marks, 10_000).alias("_edges"))
-    cells = _with_groups(cells, edges, groups).withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
-    totals = cells.groupBy(*groups, "_bucket").agg(F.sum("_n").alias("_bn"))
+    cells = settle(cells.repartitionByRange(*groups, value).withColumn("_range", F.spark_partition_id()))
+    totals = cells.groupBy(*groups, "_range").agg(F.sum("_n").alias("_rn"))
     over = Window.partitionBy(*groups)
-    before = over.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumns({
-        "_before": F.coalesce(F.sum("_bn").over(before), F.lit(0)),
-        "_total": F.sum("_bn").over(over),
-    }).drop("_bn")
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(
+        "_before": F.coalesce(F.sum("_rn").over(before), F.lit(0)),
+        "_total": F.sum("_rn").over(over),
+    }).drop("_rn")
+    inside = Window.partitionBy(*groups, "_range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, -1)
-    keys = groups + ["_bucket"]
+    keys = groups + ["_range"]
     return cells.join(totals, keys).withColumn(
         "_rank", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    ).drop("_bucket", "_before")
+    ).drop("_range", "_before")
 
 
 def _with_groups(df: DataFrame, per_group: DataFrame, groups: list[str]) -> DataFrame:
@@ -136,31 +132,30 @@ def calibration_error(df: DataFrame, groups: list[str], y: str, p: str, bins: in
 def calibration_slope(df: DataFrame, groups: list[str], y: str, p: str, steps: int = 8):
     """Slope of a one-variable logistic fit on the logit, by Newton steps.
 
-    Each step is one aggregate for all groups; null for a group with a single outcome.
+    The rows are staged once; a step is one aggregate for all groups whose sums, a row per group,
+    come back to the next as a small table. Null for a group with a single outcome.
     """
-    from pairwise.session import settle
-
-    rows = df.select(*groups, F.col(y).cast("double").alias("_y"), logit(F.col(p)).alias("_x"))
+    rows = settle(df.select(*groups, F.col(y).cast("double").alias("_y"), logit(F.col(p)).alias("_x")))
     both = rows.groupBy(*groups).agg(F.countDistinct("_y").alias("_k"))
-    state = both.select(*groups, "_k", F.lit(0.0).alias("_a"), F.lit(1.0).alias("_b"))
-    ridge = 1e-6
+    schema = both.select(*groups, "_k", F.lit(0.0).alias("_a"), F.lit(1.0).alias("_b")).schema
+    state = [(*r[:-1], r["_k"], 0.0, 1.0) for r in both.collect()]
+    spark, ridge = df.sparkSession, 1e-6
     for _ in range(steps):
-        joined = _with_groups(rows, state, groups)
+        now = spark.createDataFrame(state, schema)
         mu = 1.0 / (1.0 + F.exp(-(F.col("_a") + F.col("_b") * F.col("_x"))))
         w, x, r = mu * (1.0 - mu), F.col("_x"), F.col("_y") - mu
-        sums = joined.groupBy(*groups, "_k", "_a", "_b").agg(
+        sums = _with_groups(rows, now, groups).groupBy(*groups, "_k", "_a", "_b").agg(
             F.sum(r).alias("ga"), F.sum(r * x).alias("gb"), F.sum(w).alias("haa"),
-            F.sum(w * x).alias("hab"), F.sum(w * x * x).alias("hbb"))
-        gb, hbb = F.col("gb") - ridge * F.col("_b"), F.col("hbb") + ridge
-        det = F.col("haa") * hbb - F.col("hab") * F.col("hab")
-        ok = (det > 0) & (F.col("_k") > 1)
-        state = settle(sums.select(
-            *groups, "_k",
-            F.when(ok, F.col("_a") + (hbb * F.col("ga") - F.col("hab") * gb) / det)
-            .otherwise(F.col("_a")).alias("_a"),
-            F.when(ok, F.col("_b") + (F.col("haa") * gb - F.col("hab") * F.col("ga")) / det)
-            .otherwise(F.col("_b")).alias("_b")))
-    return state.select(*groups, F.when(F.col("_k") > 1, F.col("_b")).alias("calibration_slope"))
+            F.sum(w * x).alias("hab"), F.sum(w * x * x).alias("hbb")).collect()
+        state = []
+        for s in sums:
+            a, b, gb, hbb = s["_a"], s["_b"], s["gb"] - ridge * s["_b"], s["hbb"] + ridge
+            det = s["haa"] * hbb - s["hab"] ** 2
+            if det > 0 and s["_k"] > 1:
+                a, b = a + (hbb * s["ga"] - s["hab"] * gb) / det, b + (s["haa"] * gb - s["hab"] * s["ga"]) / det
+            state.append((*[s[g] for g in groups], s["_k"], a, b))
+    return spark.createDataFrame(state, schema).select(
+        *groups, F.when(F.col("_k") > 1, F.col("_b")).alias("calibration_slope"))
 
 
 def evaluate(df: DataFrame, groups: list[str], y: str, p: str, min_rows: int = 0) -> DataFrame:

@@ -268,9 +268,8 @@ def encompassing(spark, folder):
     df = via_table(_forecasts(spark, folder), "forecasts").withColumn(
         "fair", market.implied_probability(F.col("odds_a"), F.col("odds_b")))
     return metrics.encompassing(df, "label", "ref_elo", "fair").select(
-        "n", "model_adds_information", *[r6(c, 5) for c in (
-            "market_coefficient", "model_coefficient", "intercept", "collinearity",
-            "p_value")], r6("lr_statistic", 4))
+        "n", "model_adds_information", *[r6(c, 3) for c in (
+            "market_coefficient", "model_coefficient", "intercept")], r6("collinearity", 5), r6("lr_statistic", 2))
 
 
 @query
@@ -465,6 +464,28 @@ def name_report(spark, folder):
     return names.resolution_report(published, resolved)
 
 
+@query
+def name_summary(spark, folder):
+    """The report on a resolution as one row."""
+    mentions = via_table(_mentions(spark, folder), "mentions")
+    people, published = _people(mentions), _published(mentions)
+    resolved = via_table(names.resolve(published, people), "resolved")
+    return names.resolution_summary(published, people, resolved).withColumn("resolve_rate", F.round("resolve_rate", 6))
+
+
+@query
+def worst_names(spark, folder):
+    """The twenty most frequent names that could not be told apart or found."""
+    mentions = via_table(_mentions(spark, folder), "mentions")
+    published = _published(mentions)
+    resolved = via_table(names.resolve(published, _people(mentions)), "resolved")
+    out = None
+    for status in ("unresolved", "ambiguous"):
+        part = names.worst_names(published, resolved, status).withColumn("status", F.lit(status))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ---------------------------------------------------------------- sources
 @query
 def season_files(spark, folder):

@@ -269,6 +269,36 @@ SELECT COUNT(*) AS n, COUNT(*) FILTER (amount > 0) AS bets,
   ROUND(SUM(won) / SUM(amount), 6) AS roi, ROUND(SUM(amount), 4) AS staked, ROUND(SUM(won), 4) AS profit
 FROM paid""", FORECASTS)
 
+
+
+def _two_inputs(source: str, steps: int = 12) -> str:
+    """Newton steps of a logistic fit on x1 and x2 by Cramer's rule, and of the fit on x1 alone."""
+    text = ", e0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q)"
+    for n in range(1, steps + 1):
+        text += f"""
+, s{n} AS (SELECT a, b, c, p, q, SUM(y - m) AS g0, SUM((y - m) * x1) - 1e-6 * b AS g1, SUM((y - m) * x2) - 1e-6 * c AS g2,
+  SUM(m * (1 - m)) AS h00, SUM(m * (1 - m) * x1) AS h01, SUM(m * (1 - m) * x2) AS h02, SUM(m * (1 - m) * x1 * x1) + 1e-6 AS h11,
+  SUM(m * (1 - m) * x1 * x2) AS h12, SUM(m * (1 - m) * x2 * x2) + 1e-6 AS h22,
+  SUM(y - k) AS f0, SUM((y - k) * x1) - 1e-6 * q AS f1, SUM(k * (1 - k)) AS d00, SUM(k * (1 - k) * x1) AS d01, SUM(k * (1 - k) * x1 * x1) + 1e-6 AS d11
+  FROM (SELECT *, 1 / (1 + EXP(-(a + b * x1 + c * x2))) AS m, 1 / (1 + EXP(-(p + q * x1))) AS k FROM {source}, e{n - 1}) GROUP BY a, b, c, p, q)
+, e{n} AS MATERIALIZED (SELECT
+  a + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det AS a,
+  b + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det AS b,
+  c + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det AS c,
+  p + (d11 * f0 - d01 * f1) / (d00 * d11 - d01 * d01) AS p, q + (d00 * f1 - d01 * f0) / (d00 * d11 - d01 * d01) AS q
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM s{n}))"""
+    return text + f"""
+, tested AS (SELECT COUNT(*) AS n, CORR(x1, x2) AS r, ANY_VALUE(a) AS a, ANY_VALUE(b) AS b, ANY_VALUE(c) AS c,
+  2 * SUM(LN(CASE WHEN y = 1 THEN 1 / (1 + EXP(-(a + b * x1 + c * x2))) ELSE 1 / (1 + EXP(a + b * x1 + c * x2)) END)
+    - LN(CASE WHEN y = 1 THEN 1 / (1 + EXP(-(p + q * x1))) ELSE 1 / (1 + EXP(p + q * x1)) END)) AS lr FROM {source}, e{steps})"""
+
+
+SQL["encompassing"] = B.with_("," + _BETS.format(edge="0.03::DOUBLE", stake=_QUARTER) + f"""
+, points AS MATERIALIZED (SELECT label::DOUBLE AS y, {_LOGIT.format(p="fair")} AS x1, {_LOGIT.format(p="ref_elo")} AS x2
+  FROM paid WHERE fair IS NOT NULL)""" + _two_inputs("points") + """
+SELECT n, lr > 3.841 AS model_adds_information, ROUND(b, 3) AS market_coefficient, ROUND(c, 3) AS model_coefficient,
+  ROUND(a, 3) AS intercept, ROUND(r, 5) AS collinearity, ROUND(lr, 2) AS lr_statistic FROM tested""", FORECASTS)
+
 # ---------------------------------------------------------------- point model
 RATES = B.MATCHES + """,
 rates AS (SELECT match_id, tour, best_of, winner_id, loser_id,
@@ -464,6 +494,22 @@ SQL["name_report"] = B.with_("""
 SELECT status, COUNT(*) AS rows, COUNT(DISTINCT p.name) AS names FROM published p
 JOIN stated s ON s.tour = p.tour AND s.name = p.name AND s.rank IS NOT DISTINCT FROM p.rank GROUP BY status""", RESOLVED)
 
+SQL["name_summary"] = B.with_("""
+, tried AS (SELECT p.tour, p.name, status FROM published p
+  JOIN stated s ON s.tour = p.tour AND s.name = p.name AND s.rank IS NOT DISTINCT FROM p.rank WHERE status <> 'blank')
+SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT d.tour, k.key FROM people d JOIN keyed k ON k.name = d.name AND k.name_order = 'given_first')) AS indexed_keys,
+  (SELECT COUNT(*) FROM (SELECT DISTINCT tour, player_id FROM people)) AS players,
+  COUNT(*) FILTER (status = 'resolved') AS resolved_rows, COUNT(*) AS attempted_rows,
+  COUNT(DISTINCT (tour, name)) FILTER (status = 'unresolved') AS unresolved_names,
+  COUNT(DISTINCT (tour, name)) FILTER (status = 'ambiguous') AS ambiguous_names,
+  ROUND(COUNT(*) FILTER (status = 'resolved') / COUNT(*)::DOUBLE, 6) AS resolve_rate FROM tried""", RESOLVED)
+SQL["worst_names"] = B.with_("""
+SELECT tour, name, rows, status FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY status ORDER BY rows DESC, tour, name) AS place FROM (
+    SELECT a.tour, a.name, a.status, c.rows FROM (SELECT DISTINCT tour, name, status FROM stated WHERE status IN ('unresolved', 'ambiguous')) a
+    JOIN (SELECT tour, name, COUNT(*) AS rows FROM published GROUP BY tour, name) c ON c.tour = a.tour AND c.name = a.name))
+WHERE place <= 20""", RESOLVED)
+
 # ---------------------------------------------------------------- sources
 SQL["season_files"] = B.with_("""
 SELECT 'atp-' || tourney_id || '-' || match_num AS match_id,
