@@ -160,13 +160,16 @@ def _compare(threshold: float):
         a, b = np.stack(near["unit"].to_numpy()), np.stack(far["unit"].to_numpy())
         linked = a @ b.T >= threshold
         ids_a, ids_b = near["node"].to_numpy(), far["node"].to_numpy()
-        if one == two:
-            np.fill_diagonal(linked, False)
-        i, j = np.nonzero(linked)
+        i, j = np.nonzero(np.triu(linked, 1) if one == two else linked)
         if not len(i):
             return pd.DataFrame({"node": [], "links": [], "other": []})
         keys_a, keys_b = np.stack(near["keys"].to_numpy()), np.stack(far["keys"].to_numpy())
-        # tables come first in a key list, and both lists are searched in the order of the smaller id
+        # most pairs share their own bucket of an earlier table, which is cheap to see
+        table = np.flatnonzero(keys_a[0] == bucket)[0] // PROBES
+        own_a, own_b = keys_a[:, ::PROBES][:, :table], keys_b[:, ::PROBES][:, :table]
+        fresh = ~(own_a[i] == own_b[j]).any(axis=1)
+        i, j = i[fresh], j[fresh]
+        # tables are in order in a key list; the list of the smaller id is searched for the first shared key
         swap = ids_a[i] > ids_b[j]
         left = np.where(swap[:, None], keys_b[j], keys_a[i])
         right = np.where(swap[:, None], keys_a[i], keys_b[j])
@@ -174,6 +177,8 @@ def _compare(threshold: float):
         i, j = i[mine], j[mine]
         linked = np.zeros_like(linked)
         linked[i, j] = True
+        if one == two:
+            linked[j, i] = True
         weight_a, weight_b = near["weight"].to_numpy(), far["weight"].to_numpy()
         counts_a = linked @ weight_b
         if one == two:
