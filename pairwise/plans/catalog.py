@@ -647,7 +647,7 @@ def _bundle(spark, folder, model: bool = False) -> serve.Bundle:
 @query
 def leaderboard(spark, folder):
     """Top 30 per tour on clay with names and skill."""
-    df = serve.leaderboard(_bundle(spark, folder), "Clay")
+    df = serve.leaderboard(serve.prepare_answers(stored_matches(spark, folder)), "Clay")
     return df.select("tour", "player_id", "name", "ioc", "place", *[r6(c) for c in (
         "elo", "elo_clay", "peak_elo", "serve_skill", "return_skill")])
 
@@ -677,7 +677,7 @@ def train_and_load(spark, folder):
 
 @query
 def player_profiles(spark, folder):
-    return serve.profiles(_bundle(spark, folder))
+    return serve.profiles(serve.prepare_answers(stored_matches(spark, folder)))
 
 
 @query
