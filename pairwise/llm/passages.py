@@ -13,9 +13,11 @@ the hashes of trigger and phrase.
 Sorting the parse by trigger, phrase and place gives the dictionary and, for each entry, its first
 occurrence; every later occurrence repeats it byte for byte. What is left are entries that share a
 trigger but differ, where a copy begins or ends inside a phrase. Only for first occurrences of
-such entries the suffixes are ordered, to the depth of ``LENGTH`` bytes that decides here, by the
-128-bit hashes of their windows. The result is that of a full suffix array of the corpus, but
-text that repeats nothing stops at the first sort, and text that repeats whole phrases as well.
+such entries the suffixes are ordered, to the depth of ``LENGTH`` bytes that decides here, and in
+two steps: first stretches of up to ``SEGMENT`` windows, which must share the bytes that all
+windows at these offsets from the trigger have in common, then single windows of the stretches
+that do. The result is that of a full suffix array of the corpus, but text that repeats nothing
+stops at the first sort, and text that repeats whole phrases as well.
 
 Skew: later occurrences of a phrase within one batch are known to be repeats at once and are not
 sorted, so a passage that every document holds is one row per batch. Documents are shuffled once;
@@ -38,8 +40,11 @@ from pyspark.sql import functions as F
 
 LENGTH = 100
 TRIGGER = 32
+SEGMENT = 17                # windows of a stretch: offsets from the trigger are cut at multiples of it
+PACK = 128                  # a run of windows is one number: PACK times its first offset from the trigger, plus its length
 PIECE = 1 << 20             # bytes worked on at a time
 PLACE_BITS = 24             # of a trigger's place within a piece
+RUN = "trigger long, phrase long, d long, at long, n long"
 NO_ID = -(1 << 62)          # stands for a null id
 PART_SHIFT = 40             # a place in the corpus: row number within the id, then the byte offset
 
@@ -90,7 +95,7 @@ def phrases(chars: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> pd.Data
     """Phrases of some texts laid end to end: ``trigger, phrase, owner, at, n``.
 
     ``owner`` is the text of each byte and ``offset`` what to add to a place in the buffer to get
-    a place in its text; ``n`` is the number of windows. No window spans two texts.
+    a place in its text; ``n`` packs the number of windows. No window spans two texts.
     """
     total = len(chars) - LENGTH + 1
     if total <= 0:
@@ -111,7 +116,8 @@ def phrases(chars: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> pd.Data
     text = _Rolling(chars, 1)
     return pd.DataFrame({
         "trigger": grams[chosen[first]].view(np.int64), "phrase": text.between(first, last + LENGTH).view(np.int64),
-        "owner": owner[first], "at": first + offset[first], "n": last - first + 1})
+        "owner": owner[first], "at": first + offset[first],
+        "n": (chosen[first] - first) * PACK + last - first + 1})
 
 
 def _laid_out(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -154,31 +160,53 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             again = np.zeros(len(found), dtype=bool)
             again[1:] = ((found["trigger"].to_numpy()[1:] == found["trigger"].to_numpy()[:-1])
                          & (found["phrase"].to_numpy()[1:] == found["phrase"].to_numpy()[:-1]))
-            found.loc[again, "n"] *= -1
+            found.loc[again, "n"] = -(found.loc[again, "n"] % PACK)
             found.loc[again, "trigger"] = found.loc[again, "at"] * 31 + found.loc[again, "d"]  # these may go anywhere
             yield found[["trigger", "phrase", "d", "at", "n"]]
 
 
-def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Window hashes of the listed phrases of each text."""
-    for batch in batches:
-        for doc, data, listed in zip(batch["d"], batch["data"], batch["listed"], strict=True):
-            text = bytes(data)
-            places = np.array([(x["at"], x["n"]) for x in listed], dtype=np.int64)
-            part, places[:, 0] = places[0, 0] >> PART_SHIFT, places[:, 0] & ((1 << PART_SHIFT) - 1)
-            places = places[np.argsort(places[:, 0])]
-            for low in range(0, len(text), PIECE):
-                own = places[(places[:, 0] >= low) & (places[:, 0] < low + PIECE)]
-                if not len(own):
-                    continue
-                # a phrase has at most LENGTH windows, so it ends within two lengths of its start
-                chars = np.frombuffer(text[low:low + PIECE + 2 * LENGTH], dtype=np.uint8)
-                starts = np.repeat(own[:, 0] - low, own[:, 1])
-                starts = starts + np.arange(len(starts)) - np.repeat(np.cumsum(own[:, 1]) - own[:, 1], own[:, 1])
-                yield pd.DataFrame({
-                    "h1": _Rolling(chars, 0).between(starts, starts + LENGTH).view(np.int64),
-                    "h2": _Rolling(chars, 1).between(starts, starts + LENGTH).view(np.int64),
-                    "d": doc, "at": starts + low + (part << PART_SHIFT)})
+def _split(width: int):
+    """Cuts the listed phrases of each text into stretches of windows, or for width 1 into windows."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, data, listed in zip(batch["d"], batch["data"], batch["listed"], strict=True):
+                text = bytes(data)
+                runs = np.array([(x["at"], x["n"]) for x in listed], dtype=np.int64)
+                part = runs[0, 0] >> PART_SHIFT
+                runs[:, 0] &= (1 << PART_SHIFT) - 1
+                runs = runs[np.argsort(runs[:, 0])]
+                for low in range(0, len(text), PIECE):
+                    own = runs[(runs[:, 0] >= low) & (runs[:, 0] < low + PIECE)]
+                    if len(own):
+                        # a phrase has less than LENGTH windows, so it ends within two lengths of its start
+                        chars = np.frombuffer(text[low:low + PIECE + 2 * LENGTH], dtype=np.uint8)
+                        found = _stretches(chars, own[:, 0] - low, own[:, 1], width)
+                        found["d"] = doc
+                        found["at"] += low + (part << PART_SHIFT)
+                        yield found[["trigger", "phrase", "d", "at", "n"]]
+    return run
+
+
+def _stretches(chars: np.ndarray, at: np.ndarray, packed: np.ndarray, width: int) -> pd.DataFrame:
+    """``trigger, phrase, at, n`` of the stretches of some phrases; windows are hashed twice instead."""
+    n, ahead = packed % PACK, packed // PACK
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start, delta = np.repeat(at, n) + step, np.repeat(ahead, n) - step
+    one, two = _Rolling(chars, 0), _Rolling(chars, 1)
+    if width == 1:
+        return pd.DataFrame({
+            "trigger": one.between(start, start + LENGTH).view(np.int64),
+            "phrase": two.between(start, start + LENGTH).view(np.int64), "at": start, "n": 1})
+    band = delta // width
+    new = np.flatnonzero((step == 0) | np.concatenate([[True], band[1:] != band[:-1]]))
+    last = np.append(new[1:], len(start)) - 1
+    first, off, level = start[new], delta[new], band[new]
+    # what every window at an offset of the band has in common
+    common = first + off - level * width
+    key = one.between(common, common + LENGTH - width + 1) + _mix(level.astype(np.uint64))
+    whole = two.between(first, start[last] + LENGTH) + _mix(off.astype(np.uint64))
+    return pd.DataFrame({
+        "trigger": key.view(np.int64), "phrase": whole.view(np.int64), "at": first, "n": off * PACK + last - new + 1})
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,28 +238,33 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-def repeated_places(texts: DataFrame) -> DataFrame:
-    """``d, at, n``: runs of ``n`` windows from ``at`` on that all start earlier as well."""
-    parse = texts.select("d", "part", "data").where(F.length("data") >= LENGTH).mapInPandas(
-        _parse, "trigger long, phrase long, d long, at long, n long")
-    dealt = parse.repartition("trigger")
+def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs ``d, at, n`` that repeat an earlier equal one, and for each text the runs still open:
+    firsts of their kind whose trigger others share."""
     entry = Window.partitionBy("trigger", "phrase").orderBy("d", "at")
     same = Window.partitionBy("trigger")
     # a plain mark instead of a rank: both branches then read one and the same shuffle
-    ordered = dealt.withColumn("first", F.lag("d").over(entry).isNull())
-    repeats = ordered.where("n < 0 or not first").select("d", "at", F.abs("n").alias("n"))
+    ordered = rows.repartition("trigger").withColumn("first", F.lag("d").over(entry).isNull())
+    repeats = ordered.where("n < 0 or not first").select("d", "at", F.pmod(F.abs("n"), F.lit(PACK)).alias("n"))
     unsure = (
         ordered.where("n > 0 and first")
         .withColumn("differ", F.min("phrase").over(same) != F.max("phrase").over(same))
         .where("differ").groupBy("d", F.shiftright("at", PART_SHIFT).cast("int").alias("part"))
         .agg(F.collect_list(F.struct("at", "n")).alias("listed"))
     )
-    windows = texts.select("d", "part", "data").join(unsure, ["d", "part"]).mapInPandas(
-        _suffixes, "h1 long, h2 long, d long, at long")
-    suffix = Window.partitionBy("h1", "h2").orderBy("d", "at")
-    found = windows.withColumn("rank", F.row_number().over(suffix)).where("rank > 1").select(
-        "d", "at", F.lit(1).cast("long").alias("n"))
-    return repeats.unionByName(found)
+    return repeats, unsure
+
+
+def repeated_places(texts: DataFrame) -> DataFrame:
+    """``d, at, n``: runs of ``n`` windows from ``at`` on that all start earlier as well."""
+    rows = texts.select("d", "part", "data").where(F.length("data") >= LENGTH).mapInPandas(_parse, RUN)
+    found = None
+    for width in (SEGMENT, 1, None):
+        repeats, unsure = _settled(rows)
+        found = repeats if found is None else found.unionByName(repeats)
+        if width:
+            rows = texts.select("d", "part", "data").join(unsure, ["d", "part"]).mapInPandas(_split(width), RUN)
+    return found
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
