@@ -338,7 +338,7 @@ def _links_outside(graph: _Graph, families: DataFrame) -> DataFrame:
         "node", "part", "family", F.lit(False).alias("left"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("lb"), F.pmod(places, F.col("rights")).alias("rb"))
     rows = left.unionByName(right).join(graph.sets, "node")
-    return rows.groupBy("family", "lb", "rb").applyInPandas(_met(graph.threshold), "a binary, b binary")
+    return rows.groupBy("family", "lb", "rb").applyInPandas(_met(graph.threshold), "a long, b long")
 
 
 def linked_texts(sets: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
@@ -358,22 +358,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``class_id`` is the smallest ``doc_id`` among the documents that the document reaches over
     links of the threshold and more, itself included; ``kept`` marks the document of that id.
     """
-    named = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text")
-    signed = via_table(named.select("doc_id", "node", _bands("text").alias("keys")), "near-signatures")
+    named = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"), "text")
+    signed = via_table(named.select("doc_id", "text_id", _bands("text").alias("keys")), "near-signatures")
+    # a distinct text is a node; its number is half as long as its hash
     texts = via_table(
-        signed.where(F.col("keys").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id")), "near-texts")
-    signs = signed.join(texts, "node").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "keys")
+        signed.where(F.col("keys").isNotNull()).groupBy("text_id").agg(F.min("doc_id").alias("first_id"))
+        .withColumn("node", F.monotonically_increasing_id()), "near-texts")
+    signs = signed.join(texts, "text_id").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "keys")
     members = via_table(_bucketed(signs.select("node", F.explode("keys").alias("key"))), "near-buckets")
     wanted = members.select("node").distinct().join(texts, "node")
     sets = via_table(
-        named.join(wanted, "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+        named.join(wanted, "text_id").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
         .select("node", _shingle_set("text").alias("set")), "near-shingles")
     parts = linked_texts(sets, members, threshold)
     grouped = texts.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    classes = grouped.join(smallest, "component").select("node", "class_id")
+    classes = grouped.join(smallest, "component").select("text_id", "class_id")
     return (
-        signed.select("doc_id", "node").join(classes, "node", "left")
+        signed.select("doc_id", "text_id").join(classes, "text_id", "left")
         .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
     )
