@@ -135,8 +135,10 @@ def _retirements(df: DataFrame) -> DataFrame:
         Window.unboundedPreceding, -(S.RETIRE_DAYS + 1))
     daily = df.groupBy(*PLAYER, "day").agg(F.sum("gave_up").alias("_given"))
     daily = daily.select(
-        *PLAYER, "day", F.coalesce(F.sum("_given").over(early), F.lit(0)).alias("_ret_early"))
-    return df.join(daily, PLAYER + ["day"])
+        *[F.col(k).alias(f"_k_{k}") for k in PLAYER + ["day"]],
+        F.coalesce(F.sum("_given").over(early), F.lit(0)).alias("_ret_early"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in PLAYER + ["day"]]
+    return df.join(daily, same).drop(*[f"_k_{k}" for k in PLAYER + ["day"]])
 
 
 def _recent(df: DataFrame, chunk: int) -> DataFrame:

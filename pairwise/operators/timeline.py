@@ -32,7 +32,10 @@ def running(
         *[F.max(name).over(earlier).alias(f"_d_{name}") for name in peaks],
     )
     same_day = _before(keys + [day], order)
-    joined = df.join(daily, keys + [day])
+    # a key may hold nulls, which are a value of their own here
+    renamed = daily.withColumnsRenamed({k: f"_k_{k}" for k in keys + [day]})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys + [day]]
+    joined = df.join(renamed, same).drop(*[f"_k_{k}" for k in keys + [day]])
     columns = {
         name: F.coalesce(f"_d_{name}", F.lit(0)) + F.coalesce(F.sum(x).over(same_day), F.lit(0))
         for name, x in sums.items()
