@@ -667,7 +667,7 @@ def explain(spark, folder):
 def train_and_load(spark, folder):
     """Train, save, load again: the model card, and the importance of every feature."""
     path = scratch_path(spark, "bundle")
-    serve.train(stored_matches(spark, folder), path, backtest=False, rounds=40)
+    serve.train(stored_matches(spark, folder), path, backtest=False, rounds=40, repeats=1)
     card = serve.model_card(spark, path).withColumn("table", F.lit("card"))
     importance = load_table(spark, f"{path}/importance").select(
         F.col("feature").alias("entry"), F.col("importance").cast("string").alias("value"),
