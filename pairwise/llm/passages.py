@@ -169,34 +169,54 @@ def _split(width: int):
     """Cuts the listed phrases of each text into stretches of windows, or for width 1 into windows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, data, listed in zip(batch["d"], batch["data"], batch["listed"], strict=True):
-                text = bytes(data)
-                runs = np.array([(x["at"], x["n"]) for x in listed], dtype=np.int64)
-                part = runs[0, 0] >> PART_SHIFT
-                runs[:, 0] &= (1 << PART_SHIFT) - 1
-                runs = runs[np.argsort(runs[:, 0])]
+            held: list[tuple[bytes, np.ndarray, np.ndarray, int, int]] = []
+            size = 0
+            for doc, data, ats, ns in zip(batch["d"], batch["data"], batch["ats"], batch["ns"], strict=True):
+                text, at, n = bytes(data), np.asarray(ats, dtype=np.int64), np.asarray(ns, dtype=np.int64)
+                part = int(at[0]) >> PART_SHIFT << PART_SHIFT
+                at = at - part
+                order = np.argsort(at)
+                at, n = at[order], n[order]
                 for low in range(0, len(text), PIECE):
-                    own = runs[(runs[:, 0] >= low) & (runs[:, 0] < low + PIECE)]
-                    if len(own):
-                        # a phrase has less than LENGTH windows, so it ends within two lengths of its start
-                        chars = np.frombuffer(text[low:low + PIECE + 2 * LENGTH], dtype=np.uint8)
-                        found = _stretches(chars, own[:, 0] - low, own[:, 1], width)
-                        found["d"] = doc
-                        found["at"] += low + (part << PART_SHIFT)
-                        yield found[["trigger", "phrase", "d", "at", "n"]]
+                    own = slice(*np.searchsorted(at, [low, low + PIECE]))
+                    if own.start == own.stop:
+                        continue
+                    # a phrase has less than LENGTH windows, so it ends within two lengths of its start
+                    piece = text[low:low + PIECE + 2 * LENGTH]
+                    held.append((piece, at[own] - low, n[own], doc, part + low))
+                    size += len(piece)
+                    if size > PIECE:
+                        yield _stretches_of(held, width)
+                        held, size = [], 0
+            if held:
+                yield _stretches_of(held, width)
     return run
 
 
+def _stretches_of(held: list[tuple[bytes, np.ndarray, np.ndarray, int, int]], width: int) -> pd.DataFrame:
+    """``_stretches`` of several texts laid end to end: text, places, packed runs, id, offset of the text."""
+    begin = np.concatenate([[0], np.cumsum([len(h[0]) for h in held])[:-1]])
+    counts = [len(h[1]) for h in held]
+    found = _stretches(
+        np.frombuffer(b"".join(h[0] for h in held), dtype=np.uint8),
+        np.concatenate([h[1] + b for h, b in zip(held, begin, strict=True)]), np.concatenate([h[2] for h in held]), width)
+    of = np.repeat(np.arange(len(held)), counts)[found.pop("run").to_numpy()]
+    found["d"] = np.array([h[3] for h in held], dtype=np.int64)[of]
+    found["at"] += (np.array([h[4] for h in held], dtype=np.int64) - begin)[of]
+    return found[["trigger", "phrase", "d", "at", "n"]]
+
+
 def _stretches(chars: np.ndarray, at: np.ndarray, packed: np.ndarray, width: int) -> pd.DataFrame:
-    """``trigger, phrase, at, n`` of the stretches of some phrases; windows are hashed twice instead."""
+    """``trigger, phrase, run, at, n`` of the stretches of some phrases; windows are hashed twice instead."""
     n, ahead = packed % PACK, packed // PACK
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start, delta = np.repeat(at, n) + step, np.repeat(ahead, n) - step
+    run = np.repeat(np.arange(len(at)), n)
+    step = np.arange(len(run)) - (np.cumsum(n) - n)[run]
+    start, delta = at[run] + step, ahead[run] - step
     one, two = _Rolling(chars, 0), _Rolling(chars, 1)
     if width == 1:
         return pd.DataFrame({
             "trigger": one.between(start, start + LENGTH).view(np.int64),
-            "phrase": two.between(start, start + LENGTH).view(np.int64), "at": start, "n": 1})
+            "phrase": two.between(start, start + LENGTH).view(np.int64), "run": run, "at": start, "n": 1})
     band = delta // width
     new = np.flatnonzero((step == 0) | np.concatenate([[True], band[1:] != band[:-1]]))
     last = np.append(new[1:], len(start)) - 1
@@ -206,7 +226,8 @@ def _stretches(chars: np.ndarray, at: np.ndarray, packed: np.ndarray, width: int
     key = one.between(common, common + LENGTH - width + 1) + _mix(level.astype(np.uint64))
     whole = two.between(first, start[last] + LENGTH) + _mix(off.astype(np.uint64))
     return pd.DataFrame({
-        "trigger": key.view(np.int64), "phrase": whole.view(np.int64), "at": first, "n": off * PACK + last - new + 1})
+        "trigger": key.view(np.int64), "phrase": whole.view(np.int64), "run": run[new], "at": first,
+        "n": off * PACK + last - new + 1})
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,12 +243,11 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for low in range(0, len(batch), 128):
             out = []
             piece = batch.iloc[low:low + 128]
-            for doc_id, data, listed in zip(piece["d"], piece["data"], piece["listed"], strict=True):
+            for doc_id, data, ats, ns in zip(piece["d"], piece["data"], piece["ats"], piece["ns"], strict=True):
                 text, spans = bytes(data), []
-                if listed is not None and len(listed):
-                    places = np.array([(x["at"], x["n"]) for x in listed], dtype=np.int64)
-                    at = places[:, 0] & ((1 << PART_SHIFT) - 1)
-                    spans = list(zip(*(x.tolist() for x in _merged(at, at + places[:, 1] - 1 + LENGTH)), strict=True))
+                if ats is not None and len(ats):
+                    at = np.asarray(ats, dtype=np.int64) & ((1 << PART_SHIFT) - 1)
+                    spans = list(zip(*(x.tolist() for x in _merged(at, at + np.asarray(ns, dtype=np.int64) - 1 + LENGTH)), strict=True))
                 kept, upto = [], 0
                 for start, end in spans:
                     kept.append(text[upto:start])
@@ -238,9 +258,23 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
+def _listed(runs: DataFrame) -> DataFrame:
+    """``d, in_part, ats, ns``: the runs of each text as two arrays."""
+    grouped = runs.groupBy("d", F.shiftright("at", PART_SHIFT).cast("int").alias("in_part")).agg(
+        F.collect_list(F.struct("at", "n")).alias("listed"))
+    return grouped.select("d", "in_part", F.transform("listed", lambda x: x["at"]).alias("ats"),
+                          F.transform("listed", lambda x: x["n"]).alias("ns"))
+
+
+def _with_texts(texts: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+    """Joins on ``d`` alone, which the texts are already dealt by: the row number is no join key."""
+    own = listed.withColumnRenamed("d", "of")
+    return texts.join(own, (F.col("d") == F.col("of")) & (F.col("part") - F.col("in_part") == 0), how).drop("of", "in_part")
+
+
 def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runs ``d, at, n`` that repeat an earlier equal one, and for each text the runs still open:
-    firsts of their kind whose trigger others share."""
+    """Runs ``d, at, n`` that repeat an earlier equal one, and the runs still open: firsts of
+    their kind whose trigger others share."""
     entry = Window.partitionBy("trigger", "phrase").orderBy("d", "at")
     same = Window.partitionBy("trigger")
     # a plain mark instead of a rank: both branches then read one and the same shuffle
@@ -249,8 +283,7 @@ def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     unsure = (
         ordered.where("n > 0 and first")
         .withColumn("differ", F.min("phrase").over(same) != F.max("phrase").over(same))
-        .where("differ").groupBy("d", F.shiftright("at", PART_SHIFT).cast("int").alias("part"))
-        .agg(F.collect_list(F.struct("at", "n")).alias("listed"))
+        .where("differ").select("d", "at", "n")
     )
     return repeats, unsure
 
@@ -263,7 +296,7 @@ def repeated_places(texts: DataFrame) -> DataFrame:
         repeats, unsure = _settled(rows)
         found = repeats if found is None else found.unionByName(repeats)
         if width:
-            rows = texts.select("d", "part", "data").join(unsure, ["d", "part"]).mapInPandas(_split(width), RUN)
+            rows = _with_texts(texts, _listed(unsure), "inner").select("d", "data", "ats", "ns").mapInPandas(_split(width), RUN)
     return found
 
 
@@ -277,9 +310,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"),
         F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("data")).repartition("d")
     texts = keyed.withColumn("part", F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("data"))))
-    places = repeated_places(texts).groupBy("d", F.shiftright("at", PART_SHIFT).cast("int").alias("part")).agg(
-        F.collect_list(F.struct("at", "n")).alias("listed"))
-    told = texts.join(places, ["d", "part"], "left").select("d", "data", "listed")
+    told = _with_texts(texts, _listed(repeated_places(texts)), "left").select("d", "data", "ats", "ns")
     cut = told.mapInPandas(
         _cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
