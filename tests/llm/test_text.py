@@ -197,10 +197,24 @@ def test_long_texts_are_parsed_in_pieces(monkeypatch):
     monkeypatch.setattr(passages, "PIECE", 300)
     text = prose(4, 400).encode()
     found = [passages.phrases(*piece) for piece in passages._laid_out([text, b"short", text[50:]])]
-    covered = sum(int(f["n"].sum()) for f in found)
+    covered = sum(int((f["n"] % passages.PACK).sum()) for f in found)
     assert covered == (len(text) - 99) + (len(text) - 50 - 99)
-    whole = {(h, p) for f in found for h, p in zip(f["trigger"], f["phrase"], strict=True)}
-    assert whole
+
+
+def test_stretches_cover_their_phrases():
+    draw = random.Random(6)
+    texts = [prose(draw.random(), 90).encode() for _ in range(5)]
+    held = []
+    for k, text in enumerate(texts):
+        chars = np.frombuffer(text, np.uint8)
+        runs = passages.phrases(chars, np.zeros(len(text), int), np.zeros(len(text), int))
+        held.append((text, runs["at"].to_numpy(), runs["n"].to_numpy(), k, 1000))
+    for width in (passages.SEGMENT, 1):
+        out = passages._stretches_of(held, width)
+        for k, text in enumerate(texts):
+            own = out[out["d"] == k]
+            places = [int(a) - 1000 + w for a, n in zip(own["at"], own["n"], strict=True) for w in range(n % passages.PACK)]
+            assert sorted(places) == list(range(len(text) - 99))
 
 
 def test_passage_edges(documents):
