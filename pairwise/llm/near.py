@@ -352,26 +352,40 @@ def linked_texts(sets: DataFrame, members: DataFrame, threshold: float) -> DataF
     return graph.parts
 
 
+def _components_of(named: DataFrame, signed: DataFrame, texts: DataFrame, first_rows, threshold: float) -> DataFrame:
+    """``texts`` with ``component``: what their nodes reach over links, themselves where they reach nothing.
+
+    ``first_rows(rows, texts)`` leaves the row that stands for each text and adds the columns of ``texts``.
+    """
+    signs = first_rows(signed, texts).select("node", "keys")
+    members = via_table(_bucketed(signs.select("node", F.explode("keys").alias("key"))), "near-buckets")
+    wanted = members.select("node").distinct().join(texts, "node")
+    sets = via_table(first_rows(named, wanted).select("node", _shingle_set("text").alias("set")), "near-shingles")
+    parts = linked_texts(sets, members, threshold)
+    return texts.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _text_id(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_id")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``doc_id, class_id, kept``.
 
     ``class_id`` is the smallest ``doc_id`` among the documents that the document reaches over
     links of the threshold and more, itself included; ``kept`` marks the document of that id.
     """
-    named = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"), "text")
+    named = docs.select("doc_id", _text_id("text"), "text")
     signed = via_table(named.select("doc_id", "text_id", _bands("text").alias("keys")), "near-signatures")
     # a distinct text is a node; its number is half as long as its hash
     texts = via_table(
         signed.where(F.col("keys").isNotNull()).groupBy("text_id").agg(F.min("doc_id").alias("first_id"))
         .withColumn("node", F.monotonically_increasing_id()), "near-texts")
-    signs = signed.join(texts, "text_id").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "keys")
-    members = via_table(_bucketed(signs.select("node", F.explode("keys").alias("key"))), "near-buckets")
-    wanted = members.select("node").distinct().join(texts, "node")
-    sets = via_table(
-        named.join(wanted, "text_id").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .select("node", _shingle_set("text").alias("set")), "near-shingles")
-    parts = linked_texts(sets, members, threshold)
-    grouped = texts.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def first_rows(rows: DataFrame, of: DataFrame) -> DataFrame:
+        return rows.join(of, "text_id").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+
+    grouped = _components_of(named, signed, texts, first_rows, threshold)
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("class_id"))
     classes = grouped.join(smallest, "component").select("text_id", "class_id")
     return (
@@ -382,12 +396,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those that have a near duplicate of smaller id."""
-    found = near_duplicates(docs, threshold)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.lit(True).alias("gone")).distinct()
-    marked = docs.select(F.struct("*").alias("row")).join(
-        gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left")
-    return marked.where(F.col("gone").isNull()).select("row.*")
+    """One row of each class of near duplicates, and all rows without words.
+
+    The row of the smallest id stays, a null id comes last; ids need not be there or be unique, as
+    rows are told apart by the place at which they were written.
+    """
+    stored = via_table(
+        docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place")), "near-documents")
+    named = stored.select("place", F.col("row.doc_id").alias("doc_id"), _text_id("row.text"), F.col("row.text").alias("text"))
+    signed = via_table(named.select("place", "doc_id", "text_id", _bands("text").alias("keys")), "near-signatures")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_id", "place")
+    texts = via_table(
+        signed.where(F.col("keys").isNotNull()).groupBy("text_id").agg(F.min(order).alias("first"))
+        .select("first", F.col("first.place").alias("place"), F.monotonically_increasing_id().alias("node")), "near-texts")
+    grouped = _components_of(named, signed, texts, lambda rows, of: rows.join(of, "place"), threshold)
+    firsts = grouped.groupBy("component").agg(F.min("first").alias("first")).select("first.place")
+    staying = firsts.union(signed.where(F.col("keys").isNull()).select("place"))
+    return stored.join(staying, "place", "left_semi").select("row.*")
 
 
 def similarity(a: Column, b: Column) -> Column:

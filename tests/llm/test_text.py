@@ -159,6 +159,21 @@ def test_near_edges(documents):
     assert near.keep_first(docs).columns == docs.columns
 
 
+def test_keep_first_tells_rows_apart_by_more_than_their_id(documents):
+    alone, copied, other, longer = (prose(seed, 40) for seed in (1, 2, 3, 4))
+    near_copy = copied + " zz"
+    docs = documents(
+        [alone, copied, copied, other, other, near_copy, "", "", None, longer],
+        ids=[None, None, 3, 4, 4, 4, None, 5, None, 3])
+    kept = near.keep_first(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert found == sorted([
+        (None, alone), (3, copied), (4, other), (None, ""), (5, ""), (None, None), (3, longer)], key=repr)
+    unnamed = documents([other] * 5 + [alone], ids=[None] * 6)
+    assert sorted(r.text for r in near.keep_first(unnamed).collect()) == sorted([other, alone])
+
+
 # ------------------------------------------------------------------ passages
 def plain_passages(texts):
     seen, out = set(), []
