@@ -654,10 +654,9 @@ def leaderboard(spark, folder):
 
 @query
 def explain(spark, folder):
-    """Evidence behind the forecasts of the latest contests of every tour, largest first."""
+    """Evidence behind the forecast of every contest, asked again at the end of the data, largest first."""
     bundle = _bundle(spark, folder, model=True)
-    latest = bundle.matches.filter(F.col("match_date") == F.lit(bundle.end))
-    requests = latest.select(
+    requests = bundle.matches.select(
         F.col("match_id").alias("request_id"), "tour", F.col("winner_id").alias("p1"),
         F.col("loser_id").alias("p2"), "surface", "best_of", "level", "round", "tourney_name", "draw_size")
     return serve.explain(bundle, requests)
