@@ -664,14 +664,22 @@ def explain(spark, folder):
 
 @query
 def train_and_load(spark, folder):
-    """Train, save, load again: the model card, and the importance of every feature."""
+    """The whole training, saved and loaded again: the model card, the importance of every feature, and the backtest.
+
+    Rows of the backtest tables are JSON; an entry is a contest, a season and group, a group, or a bin.
+    """
     path = scratch_path(spark, "bundle")
-    serve.train(stored_matches(spark, folder), path, backtest=False, rounds=40, repeats=1)
+    serve.train(stored_matches(spark, folder), path)
     card = serve.model_card(spark, path).withColumn("table", F.lit("card"))
     importance = load_table(spark, f"{path}/importance").select(
         F.col("feature").alias("entry"), F.col("importance").cast("string").alias("value"),
         F.lit("importance").alias("table"))
-    return card.unionByName(importance)
+    out = card.unionByName(importance)
+    for name, keys in (("predictions", ["match_id"]), ("by_season", ["year", "group"]), ("pooled", ["group"]), ("calibration", ["bin"])):
+        out = out.unionByName(load_table(spark, f"{path}/{name}").select(
+            F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("entry"),
+            F.to_json(F.struct("*")).alias("value"), F.lit(name).alias("table")))
+    return out
 
 
 @query
