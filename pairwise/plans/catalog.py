@@ -613,6 +613,22 @@ def feature_envelope(spark, folder):
     return bounds.select("feature", r6("low"), r6("high"))
 
 
+@query
+def matrix_flip(spark, folder):
+    """All model columns of every contest, as seen from player 2."""
+    df = stored_features(spark, folder)
+    view = features.flipped(features.model_columns(df.columns))
+    return df.select("match_id", *[F.round(c, 6).alias(n) for n, c in view.items()])
+
+
+@query
+def matrix_envelope(spark, folder):
+    """Percentile bounds of all model columns, over all contests."""
+    df = stored_features(spark, folder)
+    bounds = features.envelope(df, features.model_columns(df.columns))
+    return bounds.select("feature", r6("low"), r6("high"))
+
+
 @query
 def train_predict(spark, folder):
     matrix = stored_features(spark, folder)
