@@ -639,8 +639,9 @@ def train_predict(spark, folder):
 
 @query
 def walk_forward(spark, folder):
-    return walkforward.by_season(via_table(
-        walkforward.walk_forward(stored_features(spark, folder)), "predictions"))
+    matrix = stored_features(spark, folder)
+    table = walkforward.by_season(via_table(walkforward.walk_forward(matrix), "predictions"))
+    return walkforward.with_skipped(via_table(table, "seasons"), matrix)
 
 
 @query
