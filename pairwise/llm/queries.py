@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwise.llm import lines, mixing, near, neighbours, packing, passages, quality, secrets, vectors, warc
+from pairwise.llm import (
+    langid,
+    lines,
+    merkle,
+    mixing,
+    near,
+    neighbours,
+    packing,
+    passages,
+    quality,
+    secrets,
+    trie,
+    vectors,
+    warc,
+)
 from pairwise.sources.tables import read_table
 
 
@@ -79,6 +93,30 @@ def op10_owned_secrets(spark: SparkSession, folder: str) -> DataFrame:
         count(3).alias("n_owned"), F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = trie.ordered(read_table(spark, folder, "conversations"))
+    shared = F.crc32(F.col("conv_id").cast("string")) % 9
+    return trie.trie(trie.spliced(turns, 5, shared)).drop("last_bytes")
+
+
+def op12_slot_pivot_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = F.translate("text", capitals, capitals.lower())
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = merkle.verify_documents(
+        read_table(spark, folder, "documents"), F.when(tampered, lowered).otherwise(F.col("text")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+                        "folded_root", "verified")
+
+
+def op13_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    held_out = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    told = docs.select("doc_id", held_out.alias("held_out"), langid.identify(model, F.col("text")).alias("told"))
+    return told.select("doc_id", "held_out", F.col("told.lang").alias("lang_pred"), F.col("told.score").alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit_neighbours": op1_one_bit_neighbours,
     "op2_fair_queue_mix": op2_fair_queue_mix,
@@ -90,8 +128,84 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_free_parse": op8_prefix_free_parse,
     "op9_subword_quality": op9_subword_quality,
     "op10_owned_secrets": op10_owned_secrets,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_slot_pivot_manifest": op12_slot_pivot_manifest,
+    "op13_cross_parsing": op13_cross_parsing,
 }
 
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text: eight shifts for every character."""
+    steps = "list_transform(string_split(" + text + ", ''), lambda ch: [ord(ch), -1, -1, -1, -1, -1, -1, -1, -1])"
+    return (f"xor(list_reduce([4294967295::BIGINT] || flatten({steps})::BIGINT[], lambda crc, x: CASE WHEN x >= 0 "
+            "THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295)")
+
+
+#: levels of a tree in SQL: 16^6 rows a source
+LEVELS = 6
+
+
+def _tree_sql(name: str, source: str, group: str) -> str:
+    """Levels ``name``_0.. over ``source`` (group, no, digest), each grouping 16 of the one below, and ``name``_top."""
+    parts = [f"{name}_0 AS (SELECT *, count(*) OVER (PARTITION BY {group}) AS size FROM {source})"]
+    for i in range(LEVELS):
+        parts.append(
+            f"{name}_{i + 1} AS (SELECT {group}, no // 16 AS no, sha256(string_agg(digest, '' ORDER BY no)) AS digest, "
+            f"(max(size) + 15) // 16 AS size FROM {name}_{i} WHERE size > 1 GROUP BY {group}, no // 16)")
+    tops = [f"SELECT {group}, digest FROM {name}_{i} WHERE size = 1" for i in range(LEVELS + 1)]
+    parts.append(f"{name}_top AS ({' UNION ALL '.join(tops)})")
+    for i in range(LEVELS):
+        parts.append(
+            f"{name}_s{i} AS (SELECT m.{group} AS g, m.no, string_agg(o.digest, '' ORDER BY o.no) FILTER (o.no < m.no) AS bef, "
+            f"string_agg(o.digest, '' ORDER BY o.no) FILTER (o.no > m.no) AS aft FROM {name}_{i} m JOIN {name}_{i} o "
+            f"ON m.{group} IS NOT DISTINCT FROM o.{group} AND m.no // 16 = o.no // 16 WHERE m.size > 1 GROUP BY ALL)")
+    return ", ".join(parts)
+
+
+def _folds_sql(name: str, start: str, group: str, number: str) -> tuple[str, str]:
+    """Follows ``folded`` and collects siblings level by level, from rows ``start``."""
+    parts, before = [], start
+    for i in range(LEVELS):
+        here = f"{name}_fold{i}"
+        parts.append(
+            f"{here} AS (SELECT b.* REPLACE (CASE WHEN s.no IS NULL THEN b.folded ELSE "
+            f"sha256(coalesce(s.bef, '') || b.folded || coalesce(s.aft, '')) END AS folded, "
+            f"b.sibs || coalesce(s.bef, '') || coalesce(s.aft, '') AS sibs) FROM {before} b LEFT JOIN {name}_s{i} s "
+            f"ON s.g IS NOT DISTINCT FROM b.{group} AND s.no = b.{number} // {16 ** i})")
+        before = here
+    return ", ".join(parts), before
+
+
+def _manifest_sql() -> str:
+    def coded(value: str) -> str:
+        return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+    others = " || ".join(coded(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    low, low_end = _folds_sql("t", "begun", "source", "nod")
+    high, high_end = _folds_sql("u", "joined", "one", "nou")
+    return f"""
+WITH hashed AS (
+  SELECT doc_id, source, sha256({others} || {coded("text")}) AS leaf,
+         CASE WHEN {_crc32("doc_id::VARCHAR")} % 5 = 0 THEN sha256({others} || {coded(lower)}) END AS changed
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS no FROM hashed),
+t_in AS (SELECT source, no, leaf AS digest FROM leaves),
+{_tree_sql("t", "t_in", "source")},
+u_in AS (SELECT 1 AS one, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS no, digest FROM t_top),
+{_tree_sql("u", "u_in", "one")},
+begun AS (SELECT doc_id, source, leaf, no AS nod, coalesce(changed, leaf) AS folded, '' AS sibs FROM leaves),
+{low},
+ranked AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS nou FROM t_top),
+joined AS (SELECT d.*, r.subroot, r.nou, 1 AS one FROM {low_end} d JOIN ranked r ON d.source IS NOT DISTINCT FROM r.source),
+{high}
+SELECT doc_id, leaf, subroot, u_top.digest AS root, sha256(sibs) AS proof_sha256, folded AS folded_root,
+       folded = u_top.digest AS verified
+FROM {high_end}, u_top
+"""
+
+
 SQL: dict[str, str] = {
     # windows of one, two and three non-blank lines; a short one counts when it has fifty words
     "op3_line_runs": r"""
@@ -155,4 +269,40 @@ reach AS (
   UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen)
 SELECT node AS doc_id, min(seen) AS class_id, node = min(seen) AS kept FROM reach GROUP BY node
 """,
+    # a path is the list of its turns' hashes; ancestors are its prefixes
+    "op11_conversation_trie": f"""
+WITH turns AS (
+  SELECT conv_id, md5(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+         octet_length(encode(coalesce(text, ''))) AS b,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS no
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(k ORDER BY no) AS ks, list(b ORDER BY no) AS bs FROM turns GROUP BY conv_id),
+cut AS (SELECT *, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM own),
+built AS (
+  SELECT c.conv_id, coalesce(o.ks[1:c.h], []) || c.ks[c.h + 1:] AS ks, coalesce(o.bs[1:c.h], []) || c.bs[c.h + 1:] AS bs
+  FROM cut c LEFT JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 5),
+paths AS (
+  SELECT conv_id, len(ks) AS length, unnest(range(0, len(ks) + 1)) AS depth, ks, bs FROM built),
+keyed AS (
+  SELECT conv_id, depth, depth = length AS ends, md5(array_to_string(ks[1:depth], ' ')) AS path,
+         CASE WHEN depth > 0 THEN md5(array_to_string(ks[1:depth - 1], ' ')) END AS up,
+         CASE WHEN depth > 0 THEN bs[depth] ELSE 0 END AS b
+  FROM paths),
+nodes AS (
+  SELECT path, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         any_value(b) AS b, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ended
+  FROM keyed GROUP BY path),
+kids AS (SELECT up AS path, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+full_nodes AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k ON n.path = k.path),
+above AS (
+  SELECT x.path, x.n_convs, x.n_children, x.b, k.path AS top
+  FROM full_nodes x JOIN keyed k ON k.conv_id = x.conv_id AND k.depth <= x.depth),
+sums AS (
+  SELECT top AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * b) AS saved
+  FROM above GROUP BY top)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(x.ended) AS ends_sha256
+FROM full_nodes x JOIN sums s ON s.path = x.path LEFT JOIN full_nodes p ON p.path = x.up
+""",
+    "op12_slot_pivot_manifest": _manifest_sql(),
 }
