@@ -1,10 +1,18 @@
 """Four chronological rating families per pool, read before each contest.
 
 The stores (overall, one per surface, points, games) never read each other, so a match becomes
-one row per store and each (tour, kind, store) is its own recurrence. A rating depends on all
-earlier matches of the store through its opponents, so a store is followed in order: its rows
-come to one partition, sorted by Spark (which spills), and stream through a task that keeps four
-numbers for each player and never the rows. The stores run side by side.
+one row per store. Inside a store, a player's ratings follow from the player's own contests and
+from what the opponents were rated at each of them, and contests of disjoint players have nothing
+to do with each other. So nothing follows a store in order. Every contest is a row with each of
+its two players; Spark brings a player's rows together, in order, and a sweep follows all players
+side by side with the opponents' ratings as they were last told. Each player then tells every
+opponent the new rating, by sending the contest's row to the opponent's side: one shuffle a
+sweep, and the rows of a player stream through a task that keeps four numbers.
+
+Sweeps are repeated until nobody is told anything new. Values are exact as soon as all earlier
+contests that lead to them are, so the sweeps end, at the latest, after the longest chain of
+contests; as ratings average over opponents, they settle much earlier. Long histories are cut
+into periods, each of which starts from the state that the one before left.
 """
 
 from __future__ import annotations
@@ -15,6 +23,7 @@ from pyspark.sql import functions as F
 from pairwise import settings as S
 from pairwise.functions.numeric import clip, known, lookup
 from pairwise.operators.history import day_number
+from pairwise.session import remove_path, scratch_path
 
 POOL = ["tour", "kind", "store"]
 SEQUENCE = ["day", "tourney_id", "match_num"]
@@ -23,6 +32,9 @@ ROW = POOL + SEQUENCE + [
 RATED = ("tour string, kind string, store string, match_id string, a long, b long, "
          "a_rating double, b_rating double, a_played long, b_played long, "
          "a_peak double, b_peak double, last_day int")
+STATE = {"rating": "double", "played": "long", "peak": "double", "last_day": "int"}
+SETTLED = 1e-11             # largest change of a rating that counts as none
+PERIOD_DAYS = 3653          # contests of so many days are solved together
 PRE_MATCH = ["elo", "elo_surface", "elo_blend", "elo_points", "elo_games", "elo_peak",
              "elo_matches", "elo_surface_matches"]
 
@@ -102,94 +114,201 @@ def store_rows(matches: DataFrame) -> DataFrame:
     ).select(*ROW)
 
 
-def rate(matches: DataFrame) -> DataFrame:
+def rate(matches: DataFrame, period_days: int = PERIOD_DAYS) -> DataFrame:
     """Ratings before every match per store, plus one final row per player and store
     (``match_id`` null, the player in ``a``, values after the last match)."""
-    return rate_rows(store_rows(matches))
+    rows = store_rows(matches)
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    if first is None or last - first < period_days:
+        return rate_rows(rows)
+    spark, path, state = matches.sparkSession, scratch_path(matches.sparkSession, "ratings"), None
+    for number, begin in enumerate(range(first, last + 1, period_days)):
+        inside = (F.col("day") >= begin) & (F.col("day") < begin + period_days)
+        rated = rate_rows(rows.filter(inside), state)
+        rated.write.parquet(f"{path}/period={number}")
+        state = latest_state(spark.read.parquet(path).filter("match_id IS NULL"), "period")
+    whole = spark.read.parquet(path)
+    return whole.filter("match_id IS NOT NULL").drop("period").unionByName(state)
+
+
+def latest_state(changes: DataFrame, number: str) -> DataFrame:
+    """The newest of the state rows of each player and store; ``number`` tells the order of changes."""
+    columns = [c.split()[0] for c in RATED.split(", ")]
+    values = [c for c in columns if c not in [*POOL, "a"]]
+    newest = changes.groupBy(*POOL, "a").agg(F.max_by(F.struct(*values), number).alias("_new"))
+    return newest.select(*[F.col(c) if c in [*POOL, "a"] else F.col(f"_new.{c}") for c in columns])
 
 
 def rate_rows(rows: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """The same for rows of stores; ``start`` holds final rows of earlier matches to go on from."""
-    none = {"rating": "double", "played": "long", "peak": "double", "last_day": "int"}
-    fed = rows.select(F.lit(1).alias("turn"), *ROW, *[F.lit(None).cast(t).alias(f"s_{n}") for n, t in none.items()])
-    if start is not None:
-        opening = start.filter("match_id IS NULL").join(rows.select(*POOL).distinct(), POOL, "left_semi")
-        values = {"rating": "a_rating", "played": "a_played", "peak": "a_peak", "last_day": "last_day"}
-        types = dict(rows.dtypes)
-        blank = [F.lit(None).cast(types[c]).alias(c) for c in ROW if c not in [*POOL, "a"]]
-        seeds = opening.select(F.lit(0).alias("turn"), *POOL, "a", *blank,
-                               *[F.col(c).cast(none[n]).alias(f"s_{n}") for n, c in values.items()])
-        fed = seeds.unionByName(fed)
-    order = [*POOL, "turn", *[F.col(c).asc_nulls_last() for c in SEQUENCE]]
-    return fed.repartition(*POOL).sortWithinPartitions(*order).mapInPandas(_follow, RATED)
-
-
-class _Pool:
-    """State of one store: what its players have at the moment, four numbers each."""
-
-    def __init__(self, key: tuple):
-        self.key, self.players = key, {}
-
-    def read(self, player) -> tuple:
-        return self.players.get(player, (S.START_RATING, 0, S.START_RATING, None))
-
-    def after_idling(self, player, day: int) -> float:
-        rating, _, _, last = self.read(player)
-        idle = 0 if last is None else day - last - S.IDLE_GRACE_DAYS
+    """The same for rows of stores; ``start`` holds state rows of earlier matches to go on from.
+
+    The final rows are those of the players that ``rows`` holds.
+    """
+    told = _sides(rows, start)
+    reading = told.filter("turn = 1 AND NOT updates AND NOT stamps")
+    settled = _settle(told.filter("turn = 0 OR updates OR stamps"))
+    told = settled.unionByName(reading)
+    each = _in_order(told).mapInPandas(_read_out, _READ)
+    first = F.col("is_a")
+    sides = each.filter("match_id IS NOT NULL").groupBy(*POOL, "match_id").agg(
+        *[F.max(F.when(first if side == "a" else ~first, F.col(field))).alias(name)
+          for side, field, name in (
+              ("a", "player", "a"), ("b", "player", "b"), ("a", "rating", "a_rating"), ("b", "rating", "b_rating"),
+              ("a", "played", "a_played"), ("b", "played", "b_played"), ("a", "peak", "a_peak"), ("b", "peak", "b_peak"))],
+        F.max("last_day").alias("last_day"))
+    none = {"b": "long", "b_rating": "double", "b_played": "long", "b_peak": "double"}
+    final = each.filter("match_id IS NULL").select(
+        *POOL, "match_id", F.col("player").alias("a"), F.col("rating").alias("a_rating"),
+        F.col("played").alias("a_played"), F.col("peak").alias("a_peak"), "last_day",
+        *[F.lit(None).cast(kind).alias(name) for name, kind in none.items()])
+    return sides.unionByName(final).select(*[c.split()[0] for c in RATED.split(", ")])
+
+
+_TOLD = ["turn", *POOL, "player", *SEQUENCE, "match_id", "other", "is_a", "updates", "stamps", "actual", "weight",
+         "factor", "other_rating", "was", *[f"s_{n}" for n in STATE]]
+_READ = ", ".join(["tour string, kind string, store string, match_id string, player long, is_a boolean",
+                   *[f"{n} {t}" for n, t in STATE.items()]])
+
+
+def _sides(rows: DataFrame, start: DataFrame | None) -> DataFrame:
+    """Every row once with each player; state to start from comes first (``turn`` 0)."""
+    begun = F.lit(S.START_RATING)
+    unset = [F.lit(None).cast(t).alias(f"s_{n}") for n, t in STATE.items()]
+
+    def side(own: str, other: str, actual: Column) -> DataFrame:
+        return rows.select(
+            F.lit(1).alias("turn"), *POOL, F.col(own).cast("long").alias("player"), *SEQUENCE, "match_id",
+            F.col(other).cast("long").alias("other"), F.lit(own == "a").alias("is_a"), "updates", "stamps",
+            actual.alias("actual"), "weight", "factor", begun.alias("other_rating"), begun.alias("was"), *unset)
+
+    both = side("a", "b", F.col("actual")).unionByName(side("b", "a", 1.0 - F.col("actual")))
+    if start is None:
+        return both
+    values = {"rating": "a_rating", "played": "a_played", "peak": "a_peak", "last_day": "last_day"}
+    types = dict(both.dtypes)
+    known_ = ["turn", *POOL, "player"] + [f"s_{n}" for n in STATE]
+    opening = start.filter("match_id IS NULL").withColumn("player", F.col("a").cast("long")).join(
+        both.select(*POOL, "player").distinct(), [*POOL, "player"], "left_semi")
+    return opening.select(
+        F.lit(0).alias("turn"), *POOL, "player", *[F.col(c).cast(STATE[n]).alias(f"s_{n}") for n, c in values.items()],
+        *[F.lit(None).cast(types[c]).alias(c) for c in _TOLD if c not in known_]).unionByName(both)
+
+
+def _in_order(told: DataFrame) -> DataFrame:
+    order = [*POOL, "player", "turn", *[F.col(c).asc_nulls_last() for c in SEQUENCE], "match_id"]
+    return told.repartition(*POOL, "player").sortWithinPartitions(*order)
+
+
+def _settle(told: DataFrame) -> DataFrame:
+    """Sweeps until no rating changes; a sweep is a written table, and the one before it is removed."""
+    spark = told.sparkSession
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in told.select(*_TOLD).schema) + ", moved double"
+    path = scratch_path(spark, "sweep")
+    told.select(*_TOLD).write.parquet(path)
+    while True:
+        swept = _in_order(spark.read.parquet(path)).mapInPandas(_sweep, fields)
+        after = scratch_path(spark, "sweep")
+        swept.write.parquet(after)
+        remove_path(spark, path)
+        path = after
+        told = spark.read.parquet(path)
+        if (told.agg(F.max("moved")).first()[0] or 0.0) <= SETTLED:
+            return told.drop("moved")
+
+
+class _Follower:
+    """One player of one store at a time: rating, contests, best rating and last day."""
+
+    def __init__(self):
+        self.key = None
+
+    def turn_to(self, key: tuple) -> None:
+        self.key, self.rating, self.played, self.peak, self.last = key, S.START_RATING, 0, S.START_RATING, None
+
+    def after_idling(self, day: int) -> float:
+        idle = 0 if self.last is None else day - self.last - S.IDLE_GRACE_DAYS
         if idle <= 0:
-            return rating
+            return self.rating
         share = min(S.IDLE_SHRINK_CAP, S.IDLE_SHRINK_PER_YEAR * idle / 365.25)
-        return rating + (S.START_RATING - rating) * share
-
-    def take(self, row) -> None:
-        """Writes the result of one match."""
-        if row.updates:
-            old = {p: self.after_idling(p, row.day) for p in (row.a, row.b)}
-            likely = 1.0 / (1.0 + 10.0 ** ((old[row.b] - old[row.a]) / 400.0))
-            push = S.K_SCALE * row.factor * row.weight * (row.actual - likely)
-            for player, sign in ((row.a, 1.0), (row.b, -1.0)):
-                _, played, peak, _ = self.read(player)
-                new = old[player] + sign * push / (played + S.K_SHIFT) ** S.K_DECAY
-                self.players[player] = (new, played + 1, max(peak, new), row.day)
-        elif row.stamps:
-            for player in (row.a, row.b):
-                self.players[player] = (*self.read(player)[:3], row.day)
-
-    def final(self) -> list[tuple]:
-        return [(*self.key, None, p, None, r, None, n, None, k, None, d) for p, (r, n, k, d) in self.players.items()]
-
-
-def _follow(batches):
-    """Sorted rows of any number of stores, one after the other: only the players are kept."""
+        return self.rating + (S.START_RATING - self.rating) * share
+
+    def start_at(self, rating, played, peak, last) -> None:
+        self.rating, self.played, self.peak, self.last = rating, int(played), peak, int(last)
+
+    def play(self, day: int, rested: float, other: float, actual: float, weight: float, factor: float) -> None:
+        likely = 1.0 / (1.0 + 10.0 ** ((other - rested) / 400.0))
+        push = S.K_SCALE * factor * weight * (actual - likely)
+        self.rating = rested + push / (self.played + S.K_SHIFT) ** S.K_DECAY
+        self.played, self.peak, self.last = self.played + 1, max(self.peak, self.rating), day
+
+
+def _columns(batch, names: list[str]):
+    return zip(*(batch[n].tolist() for n in names), strict=True)
+
+
+_USED = [*POOL, "player", "turn", "day", "updates", "stamps", "actual", "weight", "factor", "other_rating", "was",
+         *[f"s_{n}" for n in STATE]]
+
+
+def _sweep(batches):
+    """Follows every player once and turns each row over to the opponent, with the player's rating."""
+    import numpy as np
+
+    one = _Follower()
+    for batch in batches:
+        ratings, moved = np.full(len(batch), np.nan), np.zeros(len(batch))
+        for at, (tour, kind, store, player, turn, day, updates, stamps, actual, weight, factor, other, was, *state) in enumerate(
+                _columns(batch, _USED)):
+            if one.key != (tour, kind, store, player):
+                one.turn_to((tour, kind, store, player))
+            if turn == 0:
+                one.start_at(*state)
+                continue
+            rested = one.after_idling(day)
+            ratings[at], moved[at] = rested, abs(rested - was)
+            if updates:
+                one.play(day, rested, other, actual, weight, factor)
+            elif stamps:
+                one.last = day
+        state = (batch["turn"] == 0).to_numpy()
+        own, other, is_a = (batch[c].to_numpy(dtype=object) for c in ("player", "other", "is_a"))
+        turned = batch.assign(
+            player=np.where(state, own, other).astype("int64"), other=np.where(state, None, own),
+            is_a=np.where(state, None, is_a != True), actual=1.0 - batch["actual"],  # noqa: E712
+            was=batch["other_rating"], other_rating=ratings, moved=moved)
+        yield turned[[*_TOLD, "moved"]]
+
+
+def _read_out(batches):
+    """What every player was rated before each contest, and after the last one."""
     import pandas as pd
 
-    columns = [c.split()[0] for c in RATED.split(", ")]
-    whole = ["b", "b_played", "last_day"]
+    columns = [c.split()[0] for c in _READ.split(", ")]
+    one, done = _Follower(), []
 
-    def frame(rows: list[tuple]):
-        df = pd.DataFrame(rows, columns=columns)
-        return df.astype({c: "Int64" for c in whole} | {"b_rating": "Float64", "b_peak": "Float64"})
+    def close() -> None:
+        # who was only read has no state
+        if one.key is not None and one.last is not None:
+            done.append((*one.key[:3], None, one.key[3], None, one.rating, one.played, one.peak, one.last))
 
-    pool = None
     for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            key = (row.tour, row.kind, row.store)
-            if pool is None or pool.key != key:
-                out.extend(pool.final() if pool else [])
-                pool = _Pool(key)
-            if row.turn == 0:
-                pool.players[row.a] = (row.s_rating, int(row.s_played), row.s_peak, int(row.s_last_day))
+        for (tour, kind, store, player, turn, day, updates, stamps, actual, weight, factor, other, _, *state), match, is_a in zip(
+                _columns(batch, _USED), batch["match_id"], batch["is_a"], strict=True):
+            if one.key != (tour, kind, store, player):
+                close()
+                one.turn_to((tour, kind, store, player))
+            if turn == 0:
+                one.start_at(*state)
                 continue
-            one, two = int(row.a), int(row.b)
-            row = row._replace(a=one, b=two)
-            (ra, na, pa, _), (rb, nb, pb, _) = pool.read(one), pool.read(two)
-            out.append((*key, row.match_id, one, two, ra, rb, na, nb, pa, pb, row.day))
-            pool.take(row)
-        if out:
-            yield frame(out)
-    if pool is not None:
-        yield frame(pool.final())
+            done.append((tour, kind, store, match, player, is_a, one.rating, one.played, one.peak, day))
+            if updates:
+                one.play(day, one.after_idling(day), other, actual, weight, factor)
+            elif stamps:
+                one.last = day
+        yield pd.DataFrame(done, columns=columns).astype({"last_day": "Int64", "is_a": "boolean"})
+        done = []
+    close()
+    yield pd.DataFrame(done, columns=columns).astype({"last_day": "Int64", "is_a": "boolean"})
 
 
 # ------------------------------------------------------------------ results

@@ -52,16 +52,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove_path(spark: SparkSession, name: str) -> None:
+    """Deletes one intermediate table that is read no more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if name in _made:
+        _made.remove(name)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Deletes the intermediate tables of this driver. Call it once results have been read: a
     result is lazy and reads them when it is computed."""
-    context = spark.sparkContext
-    for name in _made:
-        path = context._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    count = len(_made)
-    _made.clear()
-    return count
+    names = list(_made)
+    for name in names:
+        remove_path(spark, name)
+    return len(names)
 
 
 def settle(df: DataFrame) -> DataFrame:

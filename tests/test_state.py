@@ -40,6 +40,46 @@ def test_ratings_go_on_from_a_state(few):
     same(late.filter(F.col("match_id").isNotNull()), whole.select(*late.columns), ratings.POOL + ["match_id", "a"])
 
 
+def plain_ratings(rows):
+    """One pass in date order: ratings of both players before each row, and the last ones."""
+    state, read = {}, {}
+
+    def rested(key, day):
+        rating, _, _, last = state.get(key, (1500.0, 0, 1500.0, None))
+        idle = 0 if last is None else day - last - 90
+        return rating + (1500.0 - rating) * min(.45, .28 * idle / 365.25) if idle > 0 else rating
+
+    for r in sorted(rows, key=lambda r: (r.day, r.tourney_id, r.match_num, r.match_id)):
+        keys = [(r.tour, r.kind, r.store, p) for p in (r.a, r.b)]
+        now = [state.get(k, (1500.0, 0, 1500.0, None)) for k in keys]
+        read[r.tour, r.kind, r.store, r.match_id] = [v for n in now for v in n[:3]]
+        if r.updates:
+            a, b = (rested(k, r.day) for k in keys)
+            likely = 1 / (1 + 10 ** ((b - a) / 400))
+            for key, base, sign, n in zip(keys, (a, b), (1, -1), now, strict=True):
+                new = base + sign * 250 * r.factor * r.weight * (r.actual - likely) / (n[1] + 5) ** .4
+                state[key] = (new, n[1] + 1, max(n[2], new), r.day)
+        elif r.stamps:
+            for key, n in zip(keys, now, strict=True):
+                state[key] = (*n[:3], r.day)
+    return read, state
+
+
+def test_sweeps_equal_one_pass(matches):
+    some = matches.filter(F.col("tour").isin("asia"))
+    rows = ratings.store_rows(some).collect()
+    read, state = plain_ratings(rows)
+    for found in (ratings.rate(some).collect(), ratings.rate(some, period_days=900).collect()):
+        before = {(r.tour, r.kind, r.store, r.match_id): [r.a_rating, r.a_played, r.a_peak, r.b_rating, r.b_played, r.b_peak]
+                  for r in found if r.match_id is not None}
+        after = {(r.tour, r.kind, r.store, r.a): (r.a_rating, r.a_played, r.a_peak, r.last_day)
+                 for r in found if r.match_id is None}
+        assert before.keys() == read.keys() and after.keys() == state.keys() and len(read) > 100
+        for wanted, got in ((read, before), (state, after)):
+            for key, values in wanted.items():
+                assert got[key] == pytest.approx(values, abs=1e-7), key
+
+
 def test_skill_fit_solves_its_equations(matches):
     first = matches.agg(F.min("match_date")).first()[0]
     year = matches.filter(F.col("match_date") < F.date_add(F.lit(first), 200))
