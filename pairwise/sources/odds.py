@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwise.functions.numeric import known, lookup, number, strip, whole
+from pairwise.operators import names
 from pairwise.operators.clean import clean_surface
 from pairwise.operators.history import day_number
+from pairwise.session import via_table
 from pairwise.sources.layouts import read_layouts
 
 # --- fixed values: column prefixes and the series vocabulary ----------------------
@@ -163,3 +165,51 @@ def join_matches(matches: DataFrame, prices: DataFrame, days: int = 7) -> DataFr
     nearest = F.struct(gap.alias("g"), F.col("price_date"), F.col("odds_winner"), F.col("odds_loser"))
     return joined.groupBy("match_id").agg(F.min(nearest).alias("n")).select(
         "match_id", "n.price_date", "n.odds_winner", "n.odds_loser")
+
+
+def with_player_ids(prices: DataFrame, directory: DataFrame) -> DataFrame:
+    """Adds ``winner_id`` and ``loser_id``: both published names resolved against the directory.
+
+    ``prices`` has tour, winner_name, loser_name and optionally winner_rank, loser_rank; a name
+    that is not found or not told apart gives null.
+    """
+    ranks = {s: F.col(f"{s}_rank") if f"{s}_rank" in prices.columns else F.lit(None).cast("double")
+             for s in ("winner", "loser")}
+    each = [prices.select("tour", F.col(f"{s}_name").alias("name"), ranks[s].alias("rank")) for s in ranks]
+    resolved = via_table(names.resolve(each[0].unionByName(each[1]), directory), "price-names")
+    for side, rank in ranks.items():
+        told = resolved.select(F.col("tour").alias("_tour"), F.col("name").alias("_name"), F.col("rank").alias("_rank"),
+                            F.col("player_id").alias(f"{side}_id"))
+        prices = prices.join(told, (F.col("tour") == F.col("_tour")) & (F.col(f"{side}_name") == F.col("_name"))
+                             & rank.eqNullSafe(F.col("_rank")), "left").drop("_tour", "_name", "_rank")
+    return prices
+
+
+def assign(matches: DataFrame, prices: DataFrame, days: int = 7) -> DataFrame:
+    """One price row for a match and one match for a price row, nearest dates first.
+
+    ``matches``: match_id, tour, winner_id, loser_id, match_date; ``prices`` the same with price_id
+    in place of match_id. Returns match_id, price_id, gap. Of all pairs of rows of the same two
+    players at most ``days`` apart the nearest is taken, then the nearest of those left, and so
+    on; equal gaps go by match_id, then price_id. Pairs that are the nearest of both their rows
+    are taken together, so the rounds are as many as rows compete in a chain, whatever their number.
+    """
+    size = days + 1
+    day = day_number(F.col("match_date"))
+    who = ["tour", "winner_id", "loser_id"]
+    left = matches.select("match_id", *who, day.alias("day"), F.floor(day / size).alias("_b"))
+    right = prices.select("price_id", *who, day.alias("price_day"), F.explode(F.array(*[
+        F.floor(day / size) + d for d in (-1, 0, 1)])).alias("_b"))
+    gap = F.abs(F.col("day") - F.col("price_day"))
+    open_ = via_table(left.join(right, [*who, "_b"]).filter(gap <= days).select("match_id", "price_id", gap.alias("gap")),
+                      "price-candidates")
+    edge = F.struct("gap", "match_id", "price_id")
+    taken = None
+    while not open_.isEmpty():
+        nearest = [open_.groupBy(key).agg(F.min(edge).alias("edge")).select("edge.*") for key in ("match_id", "price_id")]
+        both = via_table(nearest[0].join(nearest[1], ["match_id", "price_id", "gap"]), "price-pairs")
+        taken = both if taken is None else taken.unionByName(both)
+        for key in ("match_id", "price_id"):
+            open_ = open_.join(both.select(key), key, "left_anti")
+        open_ = via_table(open_, "price-candidates")
+    return open_ if taken is None else taken
