@@ -129,11 +129,12 @@ def calibration_error(df: DataFrame, groups: list[str], y: str, p: str, bins: in
     return binned.groupBy(*groups).agg((F.sum(gap) / F.sum("n")).alias("ece"))
 
 
-def calibration_slope(df: DataFrame, groups: list[str], y: str, p: str, steps: int = 8):
+def calibration_slope(df: DataFrame, groups: list[str], y: str, p: str, steps: int = 100):
     """Slope of a one-variable logistic fit on the logit, by Newton steps.
 
     The rows are staged once; a step is one aggregate for all groups whose sums, a row per group,
-    come back to the next as a small table. Null for a group with a single outcome.
+    come back to the next as a small table, until no slope moves. Null for a group with a single
+    outcome; a fit that still moves after ``steps`` steps is an error.
     """
     rows = settle(df.select(*groups, F.col(y).cast("double").alias("_y"), logit(F.col(p)).alias("_x")))
     both = rows.groupBy(*groups).agg(F.countDistinct("_y").alias("_k"))
@@ -147,13 +148,18 @@ def calibration_slope(df: DataFrame, groups: list[str], y: str, p: str, steps: i
         sums = _with_groups(rows, now, groups).groupBy(*groups, "_k", "_a", "_b").agg(
             F.sum(r).alias("ga"), F.sum(r * x).alias("gb"), F.sum(w).alias("haa"),
             F.sum(w * x).alias("hab"), F.sum(w * x * x).alias("hbb")).collect()
-        state = []
+        state, moved = [], 0.0
         for s in sums:
             a, b, gb, hbb = s["_a"], s["_b"], s["gb"] - ridge * s["_b"], s["hbb"] + ridge
             det = s["haa"] * hbb - s["hab"] ** 2
             if det > 0 and s["_k"] > 1:
                 a, b = a + (hbb * s["ga"] - s["hab"] * gb) / det, b + (s["haa"] * gb - s["hab"] * s["ga"]) / det
             state.append((*[s[g] for g in groups], s["_k"], a, b))
+            moved = max(moved, abs(a - s["_a"]), abs(b - s["_b"]))
+        if moved <= 1e-10:
+            break
+    else:
+        raise RuntimeError(f"a calibration slope still moves by {moved} after {steps} steps")
     return spark.createDataFrame(state, schema).select(
         *groups, F.when(F.col("_k") > 1, F.col("_b")).alias("calibration_slope"))
 
@@ -175,17 +181,20 @@ def grouped(df: DataFrame, named: dict[str, Column]) -> DataFrame:
 
 
 def pooled_summary(predictions: DataFrame, min_rows: int = 100) -> DataFrame:
-    """Metrics over all rows, per tour and per surface."""
+    """Metrics over all rows, per tour and per surface; a group of fewer rows has ``n`` and null metrics."""
     rows = grouped(predictions, {
         "all": F.lit("all"), "tour": F.col("tour"),
         "surface": F.concat(F.lit("surface:"), F.col("surface"))})
     y = F.col("label")
     losses = rows.groupBy("group").agg(
-        F.count(F.lit(1)).alias("_rows"),
+        F.count(F.lit(1)).alias("n"),
         *[F.avg(row_log_loss(y, F.col(r))).alias(f"{r}_log_loss")
           for r in ("ref_coin", "ref_favourite", "ref_elo")],
-    ).filter(F.col("_rows") >= min_rows).drop("_rows")
-    table = evaluate(rows, ["group"], "label", "prediction", min_rows).join(losses, "group")
+    )
+    enough = F.col("n") >= min_rows
+    losses = losses.select("group", "n", *[
+        F.when(enough, F.col(c)).alias(c) for c in losses.columns if c not in ("group", "n")])
+    table = losses.join(evaluate(rows, ["group"], "label", "prediction", min_rows).drop("n"), "group", "left")
     return table.withColumn(
         "skill_vs_elo", skill_score(F.col("log_loss"), F.col("ref_elo_log_loss")))
 
@@ -222,8 +231,9 @@ def encompassing(df: DataFrame, y: str, model: str, market_p: str, min_rows: int
     if n < min_rows or kinds < 2:
         return spark.createDataFrame([(n, *[None] * 8)], schema)
     rows = rows.persist()
-    alone = coefficients(rows, F.col("_y"), [F.col("_market")], 1e6)
-    both = coefficients(rows, F.col("_y"), [F.col("_market"), F.col("_model")], 1e6)
+    # the two fits are compared, so both are taken further than a forecast needs
+    alone = coefficients(rows, F.col("_y"), [F.col("_market")], 1e6, 1e-12)
+    both = coefficients(rows, F.col("_y"), [F.col("_market"), F.col("_model")], 1e6, 1e-12)
 
     def loss(beta, names):
         eta = sum((float(b) * F.col(c) for b, c in zip(beta[1:], names)), F.lit(float(beta[0])))
@@ -231,6 +241,7 @@ def encompassing(df: DataFrame, y: str, model: str, market_p: str, min_rows: int
 
     first, second = rows.agg(
         loss(alone, ["_market"]), loss(both, ["_market", "_model"])).first()
+    rows.unpersist()
     gain = first - second
     statistic = 2.0 * n * gain
     chance = math.erfc(math.sqrt(max(statistic, 0.0) / 2.0))

@@ -160,6 +160,14 @@ def elo_history(spark, folder):
     return sides.select("match_id", "side", *[r6(n) for n in ratings.PRE_MATCH])
 
 
+@query
+def elo_periods(spark, folder):
+    """The same ratings, period by period: each period starts from the state that the one before left."""
+    rated = ratings.rate(stored_matches(spark, folder), period_days=900)
+    sides = _by_side(ratings.pre_match(rated), ratings.PRE_MATCH)
+    return sides.select("match_id", "side", *[r6(n) for n in ratings.PRE_MATCH])
+
+
 @query
 def elo_leaderboard(spark, folder):
     """Top 30 of each tour by the clay blend: at least 15 matches, active in a year."""
@@ -268,8 +276,8 @@ def encompassing(spark, folder):
     df = via_table(_forecasts(spark, folder), "forecasts").withColumn(
         "fair", market.implied_probability(F.col("odds_a"), F.col("odds_b")))
     return metrics.encompassing(df, "label", "ref_elo", "fair").select(
-        "n", "model_adds_information", *[r6(c, 3) for c in (
-            "market_coefficient", "model_coefficient", "intercept")], r6("collinearity", 5), r6("lr_statistic", 2))
+        "n", "model_adds_information", *[r6(c, 5) for c in (
+            "market_coefficient", "model_coefficient", "intercept", "collinearity")], r6("lr_statistic", 4), r6("p_value"))
 
 
 @query
@@ -575,6 +583,38 @@ def odds_join(spark, folder):
         "match_id", "price_date", r6("odds_winner"), r6("odds_loser"))
 
 
+def _named(df: DataFrame) -> DataFrame:
+    """Contests whose players have a given name and a surname, some of them shared."""
+    given = F.array(*map(F.lit, ["Ana", "Boris", "Carla", "Dmitri", "Elena"]))
+    for side in ("winner", "loser"):
+        number = F.col(f"{side}_id")
+        surname = F.concat(F.lit("Ka"), F.translate(F.floor(number / 3).cast("string"), "0123456789", "abcdefghij"), F.lit("ov"))
+        df = df.withColumn(f"{side}_name", F.concat_ws(" ", F.get(given, (number % 5).cast("int")), surname))
+    return df
+
+
+@query
+def odds_resolved(spark, folder):
+    """Price rows that know only published names, resolved on both sides and dealt to contests one to one."""
+    df = via_table(_named(contests.contests(spark, folder)).select(
+        "match_id", "tour", "match_date", "match_num", "winner_id", "loser_id", "winner_name", "loser_name",
+        "odds_winner", "odds_loser"), "named-contests")
+    people = [df.select("tour", F.col(f"{s}_id").alias("player_id"), F.col(f"{s}_name").alias("name"),
+                        F.lit(None).cast("double").alias("last_rank")) for s in ("winner", "loser")]
+    directory_ = people[0].unionByName(people[1]).distinct()
+    published = [F.concat_ws(" ", F.substring_index(f"{s}_name", " ", -1), F.concat(F.substring(f"{s}_name", 1, 1), F.lit("."))).alias(f"{s}_name")
+                 for s in ("winner", "loser")]
+    copies = F.when(F.col("match_num") % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    prices = df.withColumn("copy", F.explode(copies)).select(
+        F.concat_ws("/", "match_id", "copy").alias("price_id"), "tour", *published,
+        F.date_add("match_date", (F.col("match_num") % 13 - 4).cast("int") + F.col("copy")).alias("match_date"),
+        "odds_winner", "odds_loser")
+    known_ = via_table(odds.with_player_ids(prices, directory_), "resolved-prices")
+    pairs = odds.assign(df, known_.filter("winner_id IS NOT NULL AND loser_id IS NOT NULL"), 5)
+    return known_.join(pairs, "price_id", "left").select(
+        "price_id", "winner_name", "loser_name", "winner_id", "loser_id", "match_id", "gap", r6("odds_winner"), r6("odds_loser"))
+
+
 # ---------------------------------------------------------------- matrix and model
 def stored_features(spark, folder) -> DataFrame:
     return via_table(features.build(stored_matches(spark, folder))[0], "features")
@@ -653,6 +693,13 @@ def occlusion(spark, folder):
     return learners.occlusion(model, scored, "match_id", features.GROUPS)
 
 
+@query
+def importance(spark, folder):
+    """Rise of the log loss when a column is shuffled, over all contests."""
+    matrix = stored_features(spark, folder)
+    return learners.importance(learners.Ensemble().fit(matrix, report=False), matrix)
+
+
 # ---------------------------------------------------------------- answers
 def _bundle(spark, folder, model: bool = False) -> serve.Bundle:
     matrix, bundle = serve.prepare(stored_matches(spark, folder))

@@ -121,6 +121,7 @@ SELECT match_id, side, ROUND(elo, 6) AS elo, ROUND(elo_surface, 6) AS elo_surfac
 FROM ratings""")
 
 SQL["streaming_ratings"] = SQL["elo_history"]
+SQL["elo_periods"] = SQL["elo_history"]
 
 SQL["elo_leaderboard"] = B.recursive(f"""
 SELECT tour, player_id, elo, elo_points, elo_games, matches, peak_elo, last_date, elo_clay, place FROM (
@@ -293,11 +294,15 @@ def _two_inputs(source: str, steps: int = 12) -> str:
     - LN(CASE WHEN y = 1 THEN 1 / (1 + EXP(-(p + q * x1))) ELSE 1 / (1 + EXP(p + q * x1)) END)) AS lr FROM {source}, e{steps})"""
 
 
+# the chance of a larger statistic with one degree of freedom: erfc(sqrt(lr / 2)), by the power series of erf
+_ERFC = ("CASE WHEN lr <= 0 THEN 1.0 WHEN lr > 40 THEN 0.0 ELSE 1 - 2 / SQRT(PI()) * list_sum(list_transform(range(0, 150), "
+         "lambda n: CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END * EXP((2 * n + 1) * LN(SQRT(lr / 2)) - LGAMMA(n + 1.0)) / (2 * n + 1))) END")
 SQL["encompassing"] = B.with_("," + _BETS.format(edge="0.03::DOUBLE", stake=_QUARTER) + f"""
 , points AS MATERIALIZED (SELECT label::DOUBLE AS y, {_LOGIT.format(p="fair")} AS x1, {_LOGIT.format(p="ref_elo")} AS x2
-  FROM paid WHERE fair IS NOT NULL)""" + _two_inputs("points") + """
-SELECT n, lr > 3.841 AS model_adds_information, ROUND(b, 3) AS market_coefficient, ROUND(c, 3) AS model_coefficient,
-  ROUND(a, 3) AS intercept, ROUND(r, 5) AS collinearity, ROUND(lr, 2) AS lr_statistic FROM tested""", FORECASTS)
+  FROM paid WHERE fair IS NOT NULL)""" + _two_inputs("points") + f"""
+SELECT n, lr > 3.841 AS model_adds_information, ROUND(b, 5) AS market_coefficient, ROUND(c, 5) AS model_coefficient,
+  ROUND(a, 5) AS intercept, ROUND(r, 5) AS collinearity, ROUND(lr, 4) AS lr_statistic, ROUND({_ERFC}, 6) AS p_value
+FROM tested""", FORECASTS)
 
 # ---------------------------------------------------------------- point model
 RATES = B.MATCHES + """,
@@ -555,6 +560,47 @@ SELECT match_id, price_date, ROUND(odds_winner, 6) AS odds_winner, ROUND(odds_lo
   WHERE ABS(date_diff('day', c.match_date, price_date)) <= 5) WHERE nth = 1""", B.CONTESTS)
 
 
+def _resolved_prices(rounds: int = 8) -> str:
+    """Greedy pairing by rounds of pairs that are nearest for both their rows; ``left_n`` rounds are unrolled."""
+    def surname(side: str) -> str:
+        return f"'Ka' || translate(({side}_id // 3)::VARCHAR, '0123456789', 'abcdefghij') || 'ov'"
+
+    def initial(side: str) -> str:
+        return f"substr('ABCDE', ({side}_id % 5 + 1)::INT, 1)"
+
+    parts = [f"""
+named AS (SELECT *, {surname("winner")} AS ws, {initial("winner")} AS wi, {surname("loser")} AS ls, {initial("loser")} AS li FROM contests),
+folk AS (SELECT DISTINCT tour, winner_id AS id, ws AS s, wi AS i FROM named UNION SELECT DISTINCT tour, loser_id, ls, li FROM named),
+told AS (SELECT tour, s, i, CASE WHEN COUNT(DISTINCT id) = 1 THEN MIN(id) END AS id FROM folk GROUP BY tour, s, i),
+priced_rows AS (
+  SELECT match_id || '/' || copy AS price_id, tour, ws, wi, ls, li, odds_winner, odds_loser,
+    match_date + CAST(match_num % 13 - 4 + copy AS INTEGER) AS price_date
+  FROM named, LATERAL (SELECT unnest(CASE WHEN match_num % 9 = 0 THEN [0, 1] ELSE [0] END) AS copy)),
+known AS (
+  SELECT p.*, w.id AS winner_id, l.id AS loser_id FROM priced_rows p
+  JOIN told w ON w.tour = p.tour AND w.s = p.ws AND w.i = p.wi JOIN told l ON l.tour = p.tour AND l.s = p.ls AND l.i = p.li),
+left_0 AS (
+  SELECT c.match_id, k.price_id, ABS(date_diff('day', c.match_date, k.price_date)) AS gap
+  FROM contests c JOIN known k USING (tour, winner_id, loser_id) WHERE gap <= 5)"""]
+    for n in range(rounds):
+        parts.append(f"""
+ranked_{n} AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY gap, match_id, price_id) AS a,
+    ROW_NUMBER() OVER (PARTITION BY price_id ORDER BY gap, match_id, price_id) AS b FROM left_{n}),
+won_{n} AS (SELECT match_id, price_id, gap FROM ranked_{n} WHERE a = 1 AND b = 1),
+left_{n + 1} AS (
+  SELECT * FROM left_{n} WHERE match_id NOT IN (SELECT match_id FROM won_{n}) AND price_id NOT IN (SELECT price_id FROM won_{n}))""")
+    won = " UNION ALL ".join(f"SELECT * FROM won_{n}" for n in range(rounds))
+    return ",".join(parts) + f""",
+dealt AS ({won})
+SELECT k.price_id, ws || ' ' || wi || '.' AS winner_name, ls || ' ' || li || '.' AS loser_name, winner_id, loser_id,
+  d.match_id, d.gap, ROUND(odds_winner, 6) AS odds_winner, ROUND(odds_loser, 6) AS odds_loser
+FROM known k LEFT JOIN dealt d ON d.price_id = k.price_id"""
+
+
+SQL["odds_resolved"] = B.with_("," + _resolved_prices(), B.CONTESTS)
+
+
 # ---------------------------------------------------------------- matrix
 SQL["orientation_flip"] = B.with_("""
 SELECT match_id, label, p1_id, ROUND(d, 6) AS d_log_rank, ROUND(-d, 6) AS d_log_rank_flipped,

@@ -28,11 +28,12 @@ def read_layouts(spark: SparkSession, pattern: str, needed: list[str]) -> list[D
     """One frame per header layout, all columns text, with ``_file``, ``_start`` and ``_row``.
 
     A file whose header has none of the ``needed`` names (in any case) is an error: its first
-    line would be taken for a header and its rows for anything.
+    line would be taken for a header and its rows for anything. So is a file that cannot be read to
+    its end.
     """
     if not exists(spark, pattern):
         return []
-    lines = spark.read.option("ignoreCorruptFiles", True).text(pattern).select(
+    lines = spark.read.text(pattern).select(
         "value", F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"))
