@@ -164,19 +164,12 @@ def build(matches: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
 
 
 # ------------------------------------------------------------------ envelope
-def long_form(matrix: DataFrame, columns: list[str]) -> DataFrame:
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])
-    return matrix.select(F.inline(cells)).filter("value IS NOT NULL")
-
-
 def envelope(matrix: DataFrame, columns: list[str]) -> DataFrame:
     """First and last percentile of every feature, symmetric where the feature flips;
     features without a spread are left out."""
-    from pairwise.operators.metrics import quantiles_of, ranked_values
+    from pairwise.operators.metrics import column_quantiles
 
-    ranked = ranked_values(long_form(matrix, columns), ["feature"], "value", {})
-    q = quantiles_of(ranked, ["feature"], "value", F.array(F.lit(0.01), F.lit(0.99)))
+    q = column_quantiles(matrix, columns, [0.01, 0.99])
     low, high = F.get("quantiles", F.lit(0)), F.get("quantiles", F.lit(1))
     both_ways = F.col("feature").isin(antisymmetric(columns))
     limit = F.greatest(F.abs(low), F.abs(high))

@@ -101,6 +101,48 @@ def quantiles_of(ranked: DataFrame, groups: list[str], value: str, probs: Column
                     lambda s: s["v"]).alias("quantiles"))
 
 
+def column_quantiles(df: DataFrame, columns: list[str], shares: list[float], accuracy: int = 10_000) -> DataFrame:
+    """``feature, quantiles``: exact quantiles of many columns, interpolated between neighbouring ranks.
+
+    A sketch that merges gives a bracket around every quantile, all columns in one pass. The
+    second pass counts what is below the brackets and ships only values inside them, equal ones
+    together: a few ranks in ten thousand instead of every cell. A bracket that misses its rank
+    is an error; the sketch's bound rules that out. Columns without values have no row.
+    """
+    spark = df.sparkSession
+    value = {c: F.col(c).cast("double") for c in columns}
+    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    wide = {c: 3.0 / accuracy + 3.0 / max(counts[c], 1) for c in columns}
+    rough = df.agg(*[
+        F.percentile_approx(value[c], [edge for q in shares for edge in (max(0.0, q - wide[c]), min(1.0, q + wide[c]))],
+                        accuracy).alias(c) for c in columns]).first()
+    wanted = [(c, i, *rough[c][2 * i:2 * i + 2], q * (counts[c] - 1))
+              for c in columns if counts[c] for i, q in enumerate(shares)]
+    if not wanted:
+        return spark.createDataFrame([], "feature string, quantiles array<double>")
+    below = df.agg(*[F.sum((value[c] < low).cast("long")).alias(f"{c}/{i}") for c, i, low, _, _ in wanted]).first()
+    cells = F.array(*[
+        F.when(value[c].between(low, high), F.struct(F.lit(c).alias("feature"), F.lit(i).alias("share"), value[c].alias("value")))
+        for c, i, low, high, _ in wanted])
+    inside = df.select(F.inline(F.filter(cells, lambda x: x.isNotNull()))).groupBy("feature", "share", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("feature", "share").orderBy("value"))
+    # one row per column and share
+    ranks = spark.createDataFrame(
+        [(c, i, int(at) - below[f"{c}/{i}"], min(int(at) + 1, counts[c] - 1) - below[f"{c}/{i}"], at - int(at))
+         for c, i, _, _, at in wanted], "feature string, share int, one long, two long, part double")
+    found = (
+        inside.withColumn("upto", upto).join(F.broadcast(ranks), ["feature", "share"])
+        .groupBy("feature", "share", "part", "one").agg(
+            F.min(F.when(F.col("upto") > F.col("one"), F.col("value"))).alias("low"),
+            F.min(F.when(F.col("upto") > F.col("two"), F.col("value"))).alias("high")))
+    met = F.col("low").isNotNull() & F.col("high").isNotNull() & (F.col("one") >= 0)
+    between = F.when(met, F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).otherwise(
+        F.raise_error(F.lit("a quantile is outside its bracket")).cast("double"))
+    ordered = F.array_sort(F.collect_list(F.struct("share", between.alias("q"))))
+    return found.groupBy("feature").agg(F.transform(ordered, lambda x: x["q"]).alias("quantiles"))
+
+
 def calibration_bins(
     df: DataFrame, groups: list[str], y: str, p: str, bins: int, adaptive: bool = False
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwise import settings as S
@@ -16,7 +16,7 @@ from pairwise.operators import directory as players
 from pairwise.plans import serve
 from pairwise.session import scratch_path, via_table
 from pairwise.sources import contests, odds, seasons
-from pairwise.sources.tables import load_table, read_table, save_table
+from pairwise.sources.tables import load_or_build_parts, load_table, read_table, save_bucketed, save_table
 from pairwise.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +143,49 @@ def h2h(spark, folder):
     return _history(spark, folder, history.HEAD_TO_HEAD)
 
 
+@query
+def history_snapshot(spark, folder):
+    """The history of every player as of the end of the data, asked about a match on clay."""
+    stored = stored_matches(spark, folder)
+    seen = history.appearances(_points_rating(stored))
+    end = stored.agg(F.max("match_date")).first()[0]
+    asked = history.asked(seen.select("tour", "player_id").distinct().withColumns({
+        "match_id": F.concat_ws("/", F.lit("now"), "tour", "player_id"), "side": F.lit("p"), "surface": F.lit("Clay"),
+        "opponent_id": F.lit(None).cast("long"), "match_date": F.lit(end)}))
+    rows = history.history(seen.unionByName(asked, allowMissingColumns=True)).filter("side = 'p'")
+    wanted = history.FORM + history.FATIGUE + history.CLUTCH + ["bp_faced_sample"] + history.SURFACE + history.RECORD
+    return rows.select("tour", "player_id", *[r6(n) for n in wanted])
+
+
+@query
+def career_from_buckets(spark, folder):
+    """Careers over appearances stored by player and in order: the window reads its buckets as they lie."""
+    order = ["match_date", "tourney_id", "match_num"]
+    seen = history.appearances(_points_rating(stored_matches(spark, folder))).select(
+        "tour", "player_id", *order, "match_id", "side", "live", "won")
+    stored = save_bucketed(seen, scratch_path(spark, "appearances"), ["tour", "player_id"], order, 8)
+    return careers(stored).select("match_id", "side", "career_matches", r6("career_win_pct"))
+
+
+def careers(stored: DataFrame) -> DataFrame:
+    """Matches and wins before every appearance of a table that is bucketed by player."""
+    before = Window.partitionBy("tour", "player_id").orderBy("match_date", "tourney_id", "match_num").rowsBetween(
+        Window.unboundedPreceding, -1)
+    played, won = F.sum("live").over(before), F.sum(F.col("live") * F.col("won")).over(before)
+    return stored.withColumns({
+        "career_matches": F.coalesce(played, F.lit(0)).cast("double"),
+        "career_win_pct": F.when(played > 0, won / played)})
+
+
+@query
+def rated_form(spark, folder):
+    """Form with the quality of opponents as they were rated before each contest."""
+    stored = stored_matches(spark, folder)
+    before = via_table(ratings.pre_match(ratings.rate(stored)), "before")
+    rows = history.history(history.appearances(stored, before))
+    return rows.select("match_id", "side", *[r6(n) for n in history.FORM])
+
+
 # ---------------------------------------------------------------- ratings
 def _by_side(df: DataFrame, wanted: list[str]) -> DataFrame:
     """w_/l_ columns as one row per side."""
@@ -271,6 +314,24 @@ def grouped_metrics(spark, folder):
         "ref_coin_log_loss", "ref_favourite_log_loss", "ref_elo_log_loss", "skill_vs_elo")])
 
 
+@query
+def season_report(spark, folder):
+    """Metrics of every season and tour with the references, as the walk-forward report makes them."""
+    df = via_table(_forecasts(spark, folder), "forecasts")
+    table = walkforward.with_skipped(via_table(walkforward.by_season(df), "seasons"), df)
+    return table.select("year", "group", "n", r6("calibration_slope", 5), *[r6(c) for c in (
+        "log_loss", "brier", "accuracy", "mean_prediction", "base_rate", "ece", "skill_vs_elo",
+        *[f"{r}_{what}" for r in ("coin", "favourite", "elo") for what in ("log_loss", "accuracy")])])
+
+
+@query
+def season_split(spark, folder):
+    """Which seasons the walk-forward backtest scores, and how many rows each trains on."""
+    counts = walkforward.season_counts(contests.contests(spark, folder))
+    years = walkforward.eligible_years(counts.orderBy("year").collect(), None, walkforward.MIN_TRAIN)   # a row per year
+    return counts.select("year", "n", (F.col("upto") - F.col("n")).alias("train_rows"), F.col("year").isin(years).alias("eligible"))
+
+
 @query
 def encompassing(spark, folder):
     df = via_table(_forecasts(spark, folder), "forecasts").withColumn(
@@ -513,6 +574,59 @@ def season_files(spark, folder):
         F.col("altitude_m").cast("bigint").alias("altitude_m"))
 
 
+@query
+def match_table(spark, folder):
+    """Season files of two tours united, stored in order, and read back with the place of every row."""
+    root = scratch_path(spark, "tours")
+    df = contests.contests(spark, folder)
+    for tour, part in (("atp", F.col("match_num") % 3 != 0), ("wta", F.col("match_num") % 3 == 0)):
+        seasons.to_raw_rows(df.filter(part)).write.option("header", True).option("emptyValue", "").csv(
+            f"{root}/{tour}/{tour}_matches_all.csv")
+    path = seasons.save_match_table(seasons.build_match_table(spark, root, ["atp", "wta"]), f"{root}/matches")
+    return seasons.stored_order(load_table(spark, path)).select(
+        "tour", "match_id", "match_date", "surface", "winner_id", F.col("place").alias("nth"))
+
+
+@query
+def charting_files(spark, folder):
+    """Charting tables published as CSV, with quotes and missing cells, and read back as text."""
+    root, df = scratch_path(spark, "charting"), contests.contests(spark, folder)
+    note = F.concat(F.lit('line, "'), F.col("surface"), F.lit('"'))
+    out = None
+    for number, (gender, table, side, columns) in enumerate((
+            ("m", "stats-Overview", "winner", {}), ("w", "stats-SnV", "loser", {"note": note}))):
+        points = F.col(f"{side}_svpt").cast("bigint")
+        df.filter((F.col("match_num") % 2 == number) & points.isNotNull()).select(
+            "match_id", points.alias("serve_pts"), F.col(f"{side}_id").alias("player"),
+            *[c.alias(n) for n, c in columns.items()]).write.option("header", True).option("escape", '"').csv(
+            f"{root}/charting/charting-{gender}-{table}.csv")
+        part = seasons.load_charting(spark, root, table, gender).withColumns(
+            {"gender": F.lit(gender), "table": F.lit(table)})
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out.select("gender", "table", "match_id", "player", "serve_pts", "note")
+
+
+@query
+def cached_features(spark, folder):
+    """A cache by pool: built, reused, and built again for the one pool whose contests changed."""
+    stored = via_table(contests.contests(spark, folder).select("tour", "match_id", "match_num"), "cached-input")
+    first = stored.agg(F.min("tour")).first()[0]
+    old = stored.filter("match_num % 5 <> 0")
+    new = stored.filter((F.col("match_num") % 5 != 0) | (F.col("tour") == F.lit(first)))
+    path = scratch_path(spark, "cache")
+
+    def build(part: DataFrame) -> DataFrame:
+        return part.groupBy("tour").agg(F.count(F.lit(1)).alias("n"))
+
+    before = via_table(load_or_build_parts(spark, path, old, ["tour"], build), "cache-before")
+    same = load_or_build_parts(spark, path, old, ["tour"], build)
+    versions = via_table(same.select("tour", F.col("_version").alias("reused")), "cache-same")
+    after = load_or_build_parts(spark, path, new, ["tour"], build)
+    return (after.join(before.select("tour", F.col("n").alias("before"), F.col("_version").alias("_old")), "tour")
+            .join(versions, "tour").filter("reused = _old")
+            .select("tour", "before", F.col("n").alias("after"), (F.col("_version") != F.col("_old")).alias("rebuilt")))
+
+
 @query
 def odds_files(spark, folder):
     """Price files of three layouts: other column orders, date formats and quoted headers."""
@@ -565,6 +679,21 @@ def odds_prices(spark, folder):
         r6("odds_winner"), r6("odds_loser"))
 
 
+@query
+def odds_all_books(spark, folder):
+    """All eleven books and both summaries unpacked to a row per contest and book."""
+    df, n = contests.contests(spark, folder), F.col("match_num")
+    prefixes = {**odds.BOOKS, **odds.SUMMARIES}
+    columns = {"Date": F.col("match_date").cast("string")}
+    for number, prefix in enumerate(prefixes.values()):
+        columns[f"{prefix}W"] = F.when(n % 13 != number, F.col("odds_winner") + number / 100)
+        columns[f"{prefix}L"] = F.when(n % 7 != number, F.col("odds_loser") + number / 50)
+    rows = odds.price_rows(odds.normalise(df.select(*[c.alias(k) for k, c in columns.items()]), F.lit("ATP")))
+    return rows.groupBy("book").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.avg("odds_w"), 6).alias("mean_w"), F.round(F.avg("odds_l"), 6).alias("mean_l"),
+        F.count("odds_w").alias("priced_w"), F.count("odds_l").alias("priced_l"))
+
+
 @query
 def odds_by_book(spark, folder):
     rows = odds.price_rows(odds.normalise(_raw_prices(spark, folder), F.lit("ATP")))

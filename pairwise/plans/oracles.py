@@ -50,7 +50,12 @@ SELECT tour, COUNT(*) AS matches, MIN(match_date) AS first_date, MAX(match_date)
 FROM matches GROUP BY tour""")
 
 
-def _history(columns: str) -> str:
+#: columns of each history query over earlier appearances
+_COLUMNS: dict[str, str] = {}
+
+
+def _history(name: str, columns: str) -> str:
+    _COLUMNS[name] = columns
     return B.with_(f"""
 SELECT a.match_id, a.side, {columns}
 FROM (SELECT match_id, side FROM app) a
@@ -58,7 +63,7 @@ LEFT JOIN earlier e ON a.match_id = e.match_id AND a.side = e.side
 GROUP BY a.match_id, a.side""", B.EARLIER)
 
 
-SQL["form"] = _history(
+SQL["form"] = _history("form", 
     ", ".join(f"ROUND(AVG(won) FILTER (live = 1 AND back <= {n}), 6) AS form_win_pct_{n}"
               for n in (10, 25, 50)) + """,
   ROUND(SUM(won * POW(0.5::DOUBLE, age / 120.0::DOUBLE)) FILTER (live = 1 AND back <= 120)
@@ -67,7 +72,7 @@ SQL["form"] = _history(
       * POW(0.5::DOUBLE, age / 120.0::DOUBLE)) FILTER (live = 1 AND back <= 120)
     / SUM(POW(0.5::DOUBLE, age / 120.0::DOUBLE)) FILTER (live = 1 AND back <= 120), 6) AS form_quality""")
 
-SQL["workload"] = _history(
+SQL["workload"] = _history("workload", 
     ", ".join(
         f"COALESCE({agg} FILTER (live = 1 AND back <= 60 AND age <= {d}), 0)::DOUBLE AS {n}_{d}d"
         for n, agg in (("minutes", "SUM(minutes)"), ("matches", "COUNT(won)"), ("sets", "SUM(sets)"))
@@ -77,14 +82,14 @@ SQL["workload"] = _history(
   CASE WHEN COALESCE(MIN(age), 999) > 120 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_returning,
   LEAST(10, COUNT(*) FILTER (gave_up = 1 AND age <= 90))::DOUBLE AS recent_retirements""")
 
-SQL["clutch"] = _history("""
+SQL["clutch"] = _history("clutch", """
   ROUND((COALESCE(SUM(bp_saved) FILTER (live = 1), 0) + 0.615::DOUBLE * 60) / (COALESCE(SUM(bp_faced) FILTER (live = 1), 0) + 60), 6) AS bp_saved_pct,
   ROUND((COALESCE(SUM(bp_conv) FILTER (live = 1), 0) + 0.405::DOUBLE * 60) / (COALESCE(SUM(bp_opps) FILTER (live = 1), 0) + 60), 6) AS bp_conv_pct,
   ROUND((COALESCE(SUM(tbw) FILTER (live = 1), 0) + 12.5::DOUBLE) / (COALESCE(SUM(tb) FILTER (live = 1), 0) + 25), 6) AS tiebreak_pct,
   ROUND((COALESCE(SUM(won) FILTER (live = 1 AND dec = 1), 0) + 6.0::DOUBLE) / (COALESCE(SUM(dec) FILTER (live = 1), 0) + 12), 6) AS decider_pct,
   COALESCE(SUM(bp_faced) FILTER (live = 1), 0)::DOUBLE AS bp_faced_sample""")
 
-SQL["surface_context"] = _history("""
+SQL["surface_context"] = _history("surface_context", """
   ROUND((COUNT(*) FILTER (live = 1 AND won = 1 AND e.surface = here)
      + 8 * COALESCE(AVG(won) FILTER (live = 1), 0.5))
     / (COUNT(*) FILTER (live = 1 AND e.surface = here) + 8.0::DOUBLE), 6) AS surface_win_pct,
@@ -92,13 +97,13 @@ SQL["surface_context"] = _history("""
   ROUND(AVG(CASE WHEN e.surface = here THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
     FILTER (live = 1 AND back <= 40 AND age <= 60), 6) AS surface_recency""")
 
-SQL["career_streaks"] = _history("""
+SQL["career_streaks"] = _history("career_streaks", """
   (COUNT(*) FILTER (live = 1))::DOUBLE AS career_matches,
   ROUND(AVG(won) FILTER (live = 1), 6) AS career_win_pct,
   COALESCE(MIN(back) FILTER (live = 1 AND won = 0) - 1, COUNT(*) FILTER (live = 1))::DOUBLE AS win_streak,
   COALESCE(MIN(back) FILTER (live = 1 AND won = 1) - 1, COUNT(*) FILTER (live = 1))::DOUBLE AS loss_streak""")
 
-SQL["h2h"] = _history("""
+SQL["h2h"] = _history("h2h", """
   (COUNT(*) FILTER (e.live = 1 AND e.opponent_id = against))::DOUBLE AS h2h_matches,
   ROUND((COUNT(*) FILTER (e.live = 1 AND e.opponent_id = against AND e.won = 1) + 3.0::DOUBLE)
     / (COUNT(*) FILTER (e.live = 1 AND e.opponent_id = against) + 6), 6) AS h2h_win_pct,
@@ -107,6 +112,27 @@ SQL["h2h"] = _history("""
     / (COUNT(*) FILTER (e.live = 1 AND e.opponent_id = against AND e.surface = here) + 6), 6) AS h2h_surface_win_pct""")
 
 
+SQL["career_from_buckets"] = _history("career_from_buckets", """
+  (COUNT(*) FILTER (live = 1))::DOUBLE AS career_matches, ROUND(AVG(won) FILTER (live = 1), 6) AS career_win_pct""")
+
+# what every player's history says at the end of the data, asked about a match on clay
+SQL["history_snapshot"] = B.with_(f"""
+, people AS (SELECT DISTINCT tour, player_id FROM app), fin AS (SELECT MAX(match_date) AS d FROM matches),
+earlier AS (
+  SELECT a.tour AS pool, a.player_id AS who, 'Clay' AS here, date_diff('day', b.match_date, fin.d) AS age, b.*,
+    SUM(b.live) OVER (PARTITION BY a.tour, a.player_id ORDER BY b.match_date DESC, b.tourney_id DESC, b.match_num DESC) AS back
+  FROM people a JOIN app b ON a.tour = b.tour AND a.player_id = b.player_id, fin)
+SELECT pool AS tour, who AS player_id, {", ".join(_COLUMNS[n] for n in ("form", "workload", "clutch", "surface_context", "career_streaks"))}
+FROM earlier e GROUP BY pool, who""", B.APPEARANCES)
+
+# form weighed by what the opponents were really rated
+SQL["rated_form"] = B.recursive(B.APPEARANCES[len(B.MATCHES):].strip().replace("app AS", "plain AS", 1) + f""",
+app AS (SELECT p.* REPLACE (r.elo AS opponent_elo) FROM plain p JOIN ratings r ON r.match_id = p.match_id AND r.side <> p.side)"""
+    + B.EARLIER[len(B.APPEARANCES):] + f"""
+SELECT a.match_id, a.side, {_COLUMNS["form"]} FROM (SELECT match_id, side FROM app) a
+LEFT JOIN earlier e ON a.match_id = e.match_id AND a.side = e.side GROUP BY a.match_id, a.side""")
+
+
 # ---------------------------------------------------------------- ratings
 def _blend(surface: str, n: str, on: str, overall: str) -> str:
     w = B.BLEND.format(surface=surface, n=n)
@@ -237,10 +263,12 @@ ece AS (SELECT grp, {_ECE} AS e FROM binned GROUP BY grp),
 scored AS (SELECT grp, COUNT(*) AS n, {_scores("prediction")},
   AVG({_LOSS.format(p="prediction")}) AS m, AVG({_LOSS.format(p="ref_coin")}) AS r0,
   AVG({_LOSS.format(p="ref_favourite")}) AS r1, AVG({_LOSS.format(p="ref_elo")}) AS r2 FROM spread GROUP BY grp)
-SELECT grp AS "group", n, log_loss, brier, accuracy, mean_prediction, base_rate, ROUND(e, 6) AS ece,
-  ROUND(r0, 6) AS ref_coin_log_loss, ROUND(r1, 6) AS ref_favourite_log_loss, ROUND(r2, 6) AS ref_elo_log_loss,
-  ROUND((r2 - m) / r2, 6) AS skill_vs_elo
-FROM scored JOIN ece USING (grp) WHERE n >= 100""", FORECASTS)
+SELECT s.grp AS "group", s.n, f.log_loss, f.brier, f.accuracy, f.mean_prediction, f.base_rate, f.ece,
+  ref_coin_log_loss, ref_favourite_log_loss, ref_elo_log_loss, skill_vs_elo
+FROM scored s LEFT JOIN (
+  SELECT grp AS g, log_loss, brier, accuracy, mean_prediction, base_rate, ROUND(e, 6) AS ece, ROUND(r0, 6) AS ref_coin_log_loss,
+    ROUND(r1, 6) AS ref_favourite_log_loss, ROUND(r2, 6) AS ref_elo_log_loss, ROUND((r2 - m) / r2, 6) AS skill_vs_elo
+  FROM scored JOIN ece USING (grp) WHERE n >= 100) f ON f.g = s.grp""", FORECASTS)
 
 
 def _newton(source: str, group: str) -> str:
@@ -260,6 +288,31 @@ SQL["calibration_slope"] = "WITH RECURSIVE " + FORECASTS.strip() + f""",
 pts AS (SELECT tour, label AS y1, {_LOGIT.format(p="prediction")} AS x1 FROM fc)""" + _newton("pts", "tour") + """
 SELECT grp AS tour, ROUND(b1, 5) AS calibration_slope FROM newton WHERE step = 12"""
 
+# every season, for all tours and for each; groups under 50 rows have n alone
+SQL["season_report"] = "WITH RECURSIVE " + FORECASTS.strip() + """,
+spread AS (SELECT *, y || '/' || g AS grp FROM (
+  SELECT label, prediction, ref_coin, ref_favourite, ref_elo, year(match_date) AS y, unnest(['all', tour]) AS g FROM fc)),
+pts AS (SELECT grp, label AS y1, """ + _LOGIT.format(p="prediction") + """ AS x1 FROM spread)""" + _newton("pts", "grp") + _bins(
+    "spread", "grp", 12) + f""",
+ece AS (SELECT grp, {_ECE} AS e FROM binned GROUP BY grp),
+scored AS (SELECT y, g, grp, COUNT(*) AS n, {_scores("prediction")}, AVG({_LOSS.format(p="prediction")}) AS m,
+  """ + ", ".join(f"AVG({_LOSS.format(p='ref_' + r)}) AS {r}_l, AVG(CASE WHEN (ref_{r} > 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END) AS {r}_a"
+                  for r in ("coin", "favourite", "elo")) + """ FROM spread GROUP BY y, g, grp),
+full_rows AS (SELECT s.*, e, b1 FROM scored s JOIN ece USING (grp) JOIN newton w ON w.grp = s.grp AND w.step = 12)
+SELECT s.y AS year, s.g AS "group", s.n, f.log_loss, f.brier, f.accuracy, f.mean_prediction, f.base_rate, ROUND(f.e, 6) AS ece,
+  ROUND(f.b1, 5) AS calibration_slope, """ + ", ".join(
+    f"ROUND(f.{r}_l, 6) AS {r}_log_loss, ROUND(f.{r}_a, 6) AS {r}_accuracy" for r in ("coin", "favourite", "elo")) + """,
+  ROUND((f.elo_l - f.m) / f.elo_l, 6) AS skill_vs_elo
+FROM scored s LEFT JOIN (SELECT grp AS fg, * FROM full_rows WHERE n >= 50) f ON fg = s.grp"""
+
+# the first season after enough rows; a season also needs a hundred of its own
+SQL["season_split"] = B.with_("""
+, yearly AS (SELECT year(match_date) AS year, COUNT(*) AS n FROM contests GROUP BY 1),
+upto AS (SELECT *, SUM(n) OVER (ORDER BY year) AS upto FROM yearly),
+begin AS (SELECT COALESCE((SELECT MIN(year) + 1 FROM upto WHERE upto >= 6000),
+  (SELECT year FROM upto ORDER BY year LIMIT 1 OFFSET (SELECT COUNT(*) // 2 FROM upto))) AS first)
+SELECT year, n, CAST(upto - n AS BIGINT) AS train_rows, year >= first AND upto - n >= 6000 AND n >= 100 AS eligible FROM upto, begin""", B.CONTESTS)
+
 SQL["model_against_market"] = B.with_("," + _BETS.format(edge="0.03::DOUBLE", stake=_QUARTER) + f"""
 SELECT COUNT(*) AS n, COUNT(*) FILTER (amount > 0) AS bets,
   AVG({_LOSS.format(p="prediction")}) < AVG({_LOSS.format(p="fair")}) AS beats_market,
@@ -525,6 +578,29 @@ SELECT 'atp-' || tourney_id || '-' || match_num AS match_id,
 FROM (SELECT *, CASE round WHEN 'RR' THEN 6 WHEN 'R128' THEN 7 WHEN 'R64' THEN 8 WHEN 'R32' THEN 9
   WHEN 'R16' THEN 10 WHEN 'QF' THEN 11 WHEN 'SF' THEN 12 ELSE 13 END AS ord FROM matches)""")
 
+# both tours united, dates moved by the round, in stored order
+SQL["match_table"] = B.with_("""
+, moved AS (SELECT CASE WHEN match_num % 3 = 0 THEN 'wta' ELSE 'atp' END AS pool, tourney_id, match_num, surface, winner_id,
+  match_date + CAST(round_even(LEAST(14, GREATEST(0, (ord - 7) * (CASE WHEN draw_size >= 96 THEN 1.4::DOUBLE
+    WHEN draw_size >= 48 THEN 1.1::DOUBLE ELSE 0.9::DOUBLE END) + 1)), 0) AS INTEGER) AS match_date
+FROM (SELECT *, CASE round WHEN 'RR' THEN 6 WHEN 'R128' THEN 7 WHEN 'R64' THEN 8 WHEN 'R32' THEN 9
+  WHEN 'R16' THEN 10 WHEN 'QF' THEN 11 WHEN 'SF' THEN 12 ELSE 13 END AS ord FROM matches))
+SELECT pool AS tour, pool || '-' || tourney_id || '-' || match_num AS match_id, match_date, surface, winner_id,
+  ROW_NUMBER() OVER (PARTITION BY pool ORDER BY match_date, tourney_id, match_num) AS nth FROM moved""")
+
+# two charting tables, text as published
+SQL["charting_files"] = B.with_("""
+SELECT 'm' AS gender, 'stats-Overview' AS "table", match_id, CAST(winner_id AS VARCHAR) AS player, CAST(CAST(winner_svpt AS BIGINT) AS VARCHAR) AS serve_pts,
+  CAST(NULL AS VARCHAR) AS note FROM contests WHERE match_num % 2 = 0 AND winner_svpt IS NOT NULL
+UNION ALL SELECT 'w', 'stats-SnV', match_id, CAST(loser_id AS VARCHAR), CAST(CAST(loser_svpt AS BIGINT) AS VARCHAR),
+  'line, "' || surface || '"' FROM contests WHERE match_num % 2 = 1 AND loser_svpt IS NOT NULL""", B.CONTESTS)
+
+# counts per pool from the cache, which was built, reused, and built again for the inputs that had changed
+SQL["cached_features"] = B.with_("""
+, old AS (SELECT tour, COUNT(*) AS n FROM contests WHERE match_num % 5 <> 0 GROUP BY tour),
+now AS (SELECT tour, COUNT(*) AS n FROM contests WHERE match_num % 5 <> 0 OR tour = (SELECT MIN(tour) FROM contests) GROUP BY tour)
+SELECT tour, old.n AS before, now.n AS after, old.n <> now.n AS rebuilt FROM old JOIN now USING (tour)""", B.CONTESTS)
+
 PRICES = B.CONTESTS + """,
 prices AS (SELECT *, match_num AS n,
     CASE WHEN match_num % 2 = 0 AND odds_winner > 1 THEN odds_winner END AS psw, CASE WHEN match_num % 3 = 0 AND odds_loser > 1 THEN odds_loser END AS psl,
@@ -548,6 +624,13 @@ SELECT match_id, match_date, tourney_name AS tournament,
   ROUND(CASE odds_book WHEN 'ps' THEN psw WHEN 'avg' THEN aw WHEN 'b365' THEN bw END, 6) AS odds_winner,
   ROUND(CASE odds_book WHEN 'ps' THEN psl WHEN 'avg' THEN al WHEN 'b365' THEN bl END, 6) AS odds_loser
 FROM prices""", PRICES).replace("SELECT match_id, match_date, tourney_name", "SELECT LOWER(match_id) AS match_id, match_date, tourney_name")
+# every book of the archive and both summaries, a thirteenth of the contests without each
+SQL["odds_all_books"] = B.with_("""
+, quoted AS (SELECT match_num, odds_winner AS w, odds_loser AS l, unnest(range(13)) AS b FROM contests),
+valued AS (SELECT ['ps', 'b365', 'ex', 'lb', 'sj', 'ub', 'cb', 'gb', 'iw', 'sb', 'bw', 'max', 'avg'][b + 1] AS book,
+    CASE WHEN match_num % 13 <> b THEN w + b / 100.0::DOUBLE END AS x, CASE WHEN match_num % 7 <> b THEN l + b / 50.0::DOUBLE END AS y FROM quoted)
+SELECT book, COUNT(*) AS rows, ROUND(AVG(x), 6) AS mean_w, ROUND(AVG(y), 6) AS mean_l, COUNT(x) AS priced_w, COUNT(y) AS priced_l
+FROM valued WHERE x IS NOT NULL OR y IS NOT NULL GROUP BY book""", B.CONTESTS)
 SQL["odds_by_book"] = B.with_("""
 SELECT 'atp' AS tour, book, COUNT(*) AS rows, ROUND(AVG(w), 6) AS mean_w, ROUND(AVG(l), 6) AS mean_l
 FROM (SELECT 'ps' AS book, psw AS w, psl AS l FROM prices UNION ALL SELECT 'b365', bw, bl FROM prices UNION ALL SELECT 'avg', aw, al FROM prices)
@@ -623,7 +706,7 @@ SELECT tour, surface, p1, p2, SUM(won)::BIGINT AS p1_wins, (COUNT(*) - SUM(won))
 FROM (SELECT tour, surface, winner_id AS p1, loser_id AS p2, 1 AS won FROM matches WHERE NOT walkover
       UNION ALL SELECT tour, surface, loser_id, winner_id, 0 FROM matches WHERE NOT walkover)
 GROUP BY tour, surface, p1, p2""")
-SQL["streaming_career"] = _history("""
+SQL["streaming_career"] = _history("streaming_career", """
   (COUNT(*) FILTER (live = 1))::DOUBLE AS career_matches,
   (COUNT(*) FILTER (live = 1 AND won = 1))::DOUBLE AS career_wins,
   COALESCE(MIN(back) FILTER (live = 1 AND won = 0) - 1, COUNT(*) FILTER (live = 1))::DOUBLE AS win_streak,

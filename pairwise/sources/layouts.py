@@ -48,7 +48,7 @@ def read_layouts(spark: SparkSession, pattern: str, needed: list[str]) -> list[D
         files = heads.filter(F.col("head.value") == line).select("_file", "head")
         rows = lines.join(files, "_file").filter(
             (F.col("_row") != F.col("head._row")) & (F.length(F.trim("value")) > 0))
-        parsed = F.from_csv(F.col("value"), schema.simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE"})
+        parsed = F.from_csv(F.col("value"), schema.simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE", "escape": '"'})
         kept = [(i, n) for i, n in enumerate(names) if n and n not in names[:i]]
         out.append(rows.withColumn("_parsed", parsed).select(
             *[F.col(f"_parsed.c{i}").alias(n) for i, n in kept], "_file", "_start", "_row"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwise.operators.clean import EVENT_FIELDS, PLAYER_FIELDS, SERVE_FIELDS, normalise
 from pairwise.sources.layouts import read_layouts
+from pairwise.sources.tables import save_table
 
 RAW_COLUMNS = EVENT_FIELDS + [
     f"{side}_{name}" for side in ("winner", "loser") for name in PLAYER_FIELDS
@@ -58,6 +59,24 @@ def build_match_table(spark: SparkSession, root: str, tours: list[str]) -> DataF
     return out
 
 
+def save_match_table(matches: DataFrame, path: str) -> str:
+    """Stores a match table by tour, each tour in order over its files."""
+    order = ["tour", "match_date", "tourney_id", "match_num"]
+    ordered = matches.repartitionByRange(*order).sortWithinPartitions(*order)
+    return save_table(ordered, path, "tour")
+
+
+def stored_order(table: DataFrame) -> DataFrame:
+    """Adds ``place``, counted from 1: where a row of a stored match table stands in its tour."""
+    # files are named in the order of the ranges; rows of a file are read in order
+    placed = table.withColumns({"_name": F.col("_metadata.file_name"), "_at": F.monotonically_increasing_id()})
+    pieces = placed.groupBy("tour", "_name").agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("tour").orderBy("_name").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+    inside = F.row_number().over(Window.partitionBy("tour", "_name").orderBy("_at"))
+    return placed.join(starts, ["tour", "_name"]).withColumn("place", F.col("_before") + inside).drop("_name", "_at", "_before")
+
+
 def to_raw_rows(matches: DataFrame) -> DataFrame:
     """Match rows in the raw season layout (used to publish season files)."""
     columns = {

@@ -49,3 +49,45 @@ def test_both_tours_of_a_folder(spark, tmp_path):
               f"t,Rome,20200510,1,1,2,{tour} A,{tour} B,6-4 6-3,3,F\n")
     table = seasons.build_match_table(spark, str(tmp_path), ["atp", "wta", "none"])
     assert sorted(r.tour for r in table.collect()) == ["atp", "wta"]
+
+
+# ------------------------------------------------------------------ stored tables
+def test_buckets_need_no_shuffle(spark, matches):
+    from pairwise.operators import history
+    from pairwise.plans import catalog
+    from pairwise.session import scratch_path
+    from pairwise.sources import tables
+
+    order = ["match_date", "tourney_id", "match_num"]
+    seen = history.appearances(matches).select("tour", "player_id", *order, "match_id", "side", "live", "won")
+    stored = tables.save_bucketed(seen, scratch_path(spark, "buckets"), ["tour", "player_id"], order, 4)
+    careers = catalog.careers(stored)
+    plan = careers._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" in plan
+    joined = stored.groupBy("tour", "player_id").agg(F.count("*").alias("n")).join(stored.hint("merge"), ["tour", "player_id"])
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    key = ["match_id", "side", "career_matches"]
+    assert sorted(map(tuple, careers.select(*key).collect())) == sorted(map(tuple, catalog.careers(seen).select(*key).collect()))
+
+
+def test_the_cache_rebuilds_what_changed(spark, tmp_path):
+    from pairwise.sources import tables
+
+    built = []
+
+    def build(part):
+        built.append(sorted(r.g for r in part.select("g").distinct().collect()))
+        return part.groupBy("g").agg(F.sum("v").alias("total"))
+
+    def run(rows):
+        df = spark.createDataFrame(rows, "g string, v long")
+        out = tables.load_or_build_parts(spark, str(tmp_path / "cache"), df, ["g"], build)
+        return {r.g: r.total for r in out.collect()}
+
+    rows = [("a", 1), ("a", 2), ("b", 3), (None, 4)]
+    assert run(rows) == {"a": 3, "b": 3, None: 4}
+    assert run(list(reversed(rows))) == {"a": 3, "b": 3, None: 4} and len(built) == 1
+    assert run([("a", 1), ("a", 2), ("b", 5), (None, 4), ("c", 1)]) == {"a": 3, "b": 5, None: 4, "c": 1}
+    assert built[1:] == [["b", "c"]]
+    assert run([("b", 5), ("c", 1)]) == {"b": 5, "c": 1} and run(rows[:2]) == {"a": 3}
+    assert built[2:] == [["a"]] or built[2:] == []
