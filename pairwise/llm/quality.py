@@ -7,7 +7,8 @@ Vectors and layer are trained together by stochastic gradient descent in numpy,
 with a falling rate.
 
 Fitting uses at most ``FIT_ROWS`` labelled rows, first by hash of the id; tasks turn them into
-feature counts (at most ``BUCKETS`` numbers a text), so what reaches the driver is bounded.
+packed feature counts (at most ``BUCKETS`` numbers a text), so what reaches the driver is bounded.
+Spark writes and orders them, and the driver reads them one after the other into flat arrays.
 Scoring reads every whole text. Since the layer is linear, a feature's part of the score is one
 number, and scoring is a table look-up per feature.
 
@@ -20,6 +21,7 @@ rows get equal scores; an empty table gives an empty result; only ``text`` enter
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairwise.session import via_table
+
 FIT_ROWS = 3000
 BITS, WIDTH = 17, 12
 BUCKETS = (1 << BITS) + 1
@@ -117,27 +121,40 @@ def _grouped(texts: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids, np.array(rows)[places]
 
 
+def _packed(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending feature numbers and their counts, as compressed differences and counts."""
+    gaps = np.diff(ids, prepend=0)
+    return zlib.compress(np.concatenate([gaps, counts]).astype("<u4").tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(raw), dtype="<u4")
+    half = len(both) // 2
+    return np.cumsum(both[:half], dtype=np.int32), both[half:].astype(np.float32)
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for label, text in zip(batch["label"], batch["text"], strict=True):
+        for place, digest, label, text in zip(*(batch[c] for c in ("place", "digest", "label", "text")), strict=True):
             counts = np.zeros(BUCKETS, dtype=np.int64)
             for ids, _ in _grouped(pd.Series([text])):
                 counts += np.bincount(ids, minlength=BUCKETS)
             used = np.flatnonzero(counts)
-            yield pd.DataFrame({"label": [label], "ids": [used.astype("<i4").tobytes()],
-                                "counts": [counts[used].astype("<f4").tobytes()]})
+            yield pd.DataFrame({"place": [place], "digest": [digest], "label": [label],
+                                "counted": [_packed(used, counts[used])]})
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """``label, ids, counts`` of at most ``rows`` labelled documents."""
+    """``place, digest, label, counted`` of at most ``rows`` labelled documents; the first two order them."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
-        .groupBy("doc_id").agg(F.min("label").alias("label")))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        .groupBy("doc_id").agg(F.min("label").alias("label"))
+        .withColumn("place", F.xxhash64("doc_id")))
+    chosen = known.orderBy("place", "doc_id").limit(rows)
     # at most `rows` ids: the one side whose size is bounded by a parameter
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    once = read.select(F.col("label").cast("long").alias("label"), "text")
-    return once.mapInPandas(_counted, "label long, ids binary, counts binary")
+    once = read.select("place", F.md5("text").alias("digest"), F.col("label").cast("long").alias("label"), "text")
+    return once.mapInPandas(_counted, "place long, digest string, label long, counted binary")
 
 
 def train(texts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
@@ -171,9 +188,8 @@ def train(texts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
     """Trains on ``labels`` (``doc_id, label``) and the texts of ``docs``."""
-    found = fit_sample(docs, labels, rows).collect()
-    texts = [(int(r[0]), np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4")) for r in found]
-    return train(sorted(texts, key=lambda t: (t[0], len(t[1]), t[1].tobytes(), t[2].tobytes())))
+    found = via_table(fit_sample(docs, labels, rows), "quality-sample").orderBy("place", "digest", "label")
+    return train([(int(r["label"]), *_unpacked(r["counted"])) for r in found.select("label", "counted").toLocalIterator()])
 
 
 def score(model: tuple[np.ndarray, float], text: Column) -> Column:
