@@ -17,7 +17,7 @@ into periods, each of which starts from the state that the one before left.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pairwise import settings as S
@@ -206,14 +206,13 @@ def _settle(told: DataFrame) -> DataFrame:
     path = scratch_path(spark, "sweep")
     told.select(*_TOLD).write.parquet(path)
     while True:
+        largest, after = Observation(), scratch_path(spark, "sweep")
         swept = _in_order(spark.read.parquet(path)).mapInPandas(_sweep, fields)
-        after = scratch_path(spark, "sweep")
-        swept.write.parquet(after)
+        swept.observe(largest, F.max("moved").alias("moved")).drop("moved").write.parquet(after)
         remove_path(spark, path)
         path = after
-        told = spark.read.parquet(path)
-        if (told.agg(F.max("moved")).first()[0] or 0.0) <= SETTLED:
-            return told.drop("moved")
+        if (largest.get["moved"] or 0.0) <= SETTLED:
+            return spark.read.parquet(path)
 
 
 class _Follower:

@@ -76,7 +76,7 @@ def test_the_cache_rebuilds_what_changed(spark, tmp_path):
     built = []
 
     def build(part):
-        built.append(sorted(r.g for r in part.select("g").distinct().collect()))
+        built.append(sorted((r.g for r in part.select("g").distinct().collect()), key=str))
         return part.groupBy("g").agg(F.sum("v").alias("total"))
 
     def run(rows):
