@@ -9,15 +9,19 @@ number of tables follows from a simulation of pairs exactly at the threshold: to
 miss such a pair with probability ``MISS`` at most.
 
 Keys are first counted without their vectors; only members of buckets with two rows or more fetch
-them. All pairs within a bucket are measured in double precision, in blocks of rows, and only counts
-and spanning links leave a task. A large bucket is cut into blocks of ``BLOCK_ROWS`` rows and each
+them. All pairs within a bucket are measured in double precision. Buckets of up to ``SMALL`` rows, which are
+nearly all, stream through a task in order, and the pairs of many of them are measured at once. From a
+larger bucket only counts and spanning links leave a task. It is cut into blocks of ``BLOCK_ROWS`` rows and each
 pair of blocks is a task of its own, so no bucket has to fit anywhere and none is capped. A pair
 that meets in several buckets is counted in the first of them, which both rows can tell from
-their own key lists. Equal vectors are one row with a weight before anything else.
+their own key lists; whole blocks are tested for an earlier shared bucket, table by table, until
+no pair is left. Equal vectors of a label are one node with a weight before anything else; nodes
+are numbered, so rows that share an id but not a vector stay apart.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows
 with a null label, link with nothing and form their own component; vectors of different lengths
-never link; rows that share an id are reported once each with the same component; a row without
+never link; rows that share an id are rows of their own, each with the links of its own vector (the
+other rows of its id among them where they are near); a row without
 an id is reported with null component; an empty table gives an empty result; other columns are
 not read.
 """
@@ -39,6 +43,7 @@ PROBES = 4
 MISS = 1e-5
 LOAD = 0.05                 # vectors in a bucket if labels and hashes were even
 BLOCK_ROWS = 512
+SMALL = 64
 SPINS = 3
 SEED = 7
 
@@ -108,7 +113,9 @@ def table_count(dims: int, threshold: float, parts: int) -> int:
     left, right = bucket_keys(a, 4, parts), bucket_keys(b, 4, parts)
     meets = [(left[:, None, t * PROBES:(t + 1) * PROBES] == right[:, t * PROBES:(t + 1) * PROBES, None]).any(axis=(1, 2))
              for t in range(4)]
-    rate = min(0.999, max(0.01, float(np.mean(meets))))
+    rate = min(0.999, float(np.mean(meets)))
+    if rate == 0:
+        raise ValueError(f"no pair at {threshold} in {dims} dimensions met in the simulation; use a higher threshold")
     return max(2, math.ceil(math.log(MISS) / math.log(1 - rate)))
 
 
@@ -122,8 +129,9 @@ def _hashed(tables: dict[int, int], parts: int):
                 unit = rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
                 keys = bucket_keys(unit, tables[dims], parts)
                 yield pd.DataFrame({
-                    "row": part["row"].array, "node": part["node"].array, "label": part["label"].array,
-                    "weight": part["weight"].array, "dims": dims, "unit": list(unit), "keys": list(keys)})
+                    "node": part["node"].array, "label": part["label"].array,
+                    "weight": part["weight"].array, "dims": dims, "unit": list(unit), "keys": list(keys),
+                    "packed": [k.astype("<i8").tobytes() for k in keys]})
     return run
 
 
@@ -141,10 +149,11 @@ def _local_roots(ids: np.ndarray, linked: np.ndarray) -> np.ndarray:
 
 
 def _first_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The first key of each pair's left list that the right list has as well."""
+    """The first key of each pair's left list that the right list has as well; lists are tables of ``PROBES`` keys."""
     out = np.empty(len(left), dtype=np.int64)
     for low in range(0, len(left), 4096):
-        same = (left[low:low + 4096, :, None] == right[low:low + 4096, None, :]).any(axis=2)
+        mine, other = (x[low:low + 4096].reshape(-1, x.shape[1] // PROBES, PROBES) for x in (left, right))
+        same = (mine[:, :, :, None] == other[:, :, None, :]).any(axis=3).reshape(len(mine), -1)
         at = same.argmax(axis=1)
         out[low:low + 4096] = left[np.arange(low, low + len(at)), at]
     return out
@@ -155,21 +164,24 @@ def _compare(threshold: float):
         bucket, one, two = int(key[2]), int(key[3]), int(key[4])
         rows = rows.sort_values("node", kind="stable")
         near, far = rows[rows["part"] == one], rows[rows["part"] == two]
+        nothing = pd.DataFrame({"node": [], "links": [], "other": []})
         if near.empty or far.empty:
-            return pd.DataFrame({"node": [], "links": [], "other": []})
+            return nothing
         a, b = np.stack(near["unit"].to_numpy()), np.stack(far["unit"].to_numpy())
         linked = a @ b.T >= threshold
+        if one == two:
+            linked = np.triu(linked, 1)
+        if not linked.any():
+            return nothing
         ids_a, ids_b = near["node"].to_numpy(), far["node"].to_numpy()
-        i, j = np.nonzero(np.triu(linked, 1) if one == two else linked)
-        if not len(i):
-            return pd.DataFrame({"node": [], "links": [], "other": []})
-        keys_a, keys_b = np.stack(near["keys"].to_numpy()), np.stack(far["keys"].to_numpy())
+        keys_a, keys_b = (np.stack([np.frombuffer(k, dtype="<i8") for k in side["keys"]]) for side in (near, far))
         # most pairs share their own bucket of an earlier table, which is cheap to see
-        table = np.flatnonzero(keys_a[0] == bucket)[0] // PROBES
-        own_a, own_b = keys_a[:, ::PROBES][:, :table], keys_b[:, ::PROBES][:, :table]
-        fresh = ~(own_a[i] == own_b[j]).any(axis=1)
-        i, j = i[fresh], j[fresh]
-        # tables are in order in a key list; the list of the smaller id is searched for the first shared key
+        for table in range(np.flatnonzero(keys_a[0] == bucket)[0] // PROBES):
+            linked &= keys_a[:, table * PROBES, None] != keys_b[None, :, table * PROBES]
+            if not linked.any():
+                return nothing
+        i, j = np.nonzero(linked)
+        # tables are in order in a key list; the list of the smaller node is searched for the first shared key
         swap = ids_a[i] > ids_b[j]
         left = np.where(swap[:, None], keys_b[j], keys_a[i])
         right = np.where(swap[:, None], keys_a[i], keys_b[j])
@@ -195,15 +207,52 @@ def _compare(threshold: float):
     return run
 
 
+def _small_buckets(threshold: float):
+    """Links within small buckets; rows come bucket by bucket."""
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        where = rows.groupby(["label", "dims", "bucket"], sort=False).ngroup().to_numpy()
+        node, weight, bucket = (rows[c].to_numpy() for c in ("node", "weight", "bucket"))
+        found = []
+        for _, same in rows.groupby("dims").indices.items():     # vectors of one length at a time
+            at = np.sort(same)
+            unit = np.stack(rows["unit"].to_numpy()[at])
+            keys = np.stack([np.frombuffer(k, dtype="<i8") for k in rows["keys"].to_numpy()[at]])
+            for step in range(1, min(SMALL, len(at))):
+                i = np.flatnonzero(where[at[:-step]] == where[at[step:]])
+                if not len(i):
+                    break
+                i = i[np.einsum("ij,ij->i", unit[i], unit[i + step]) >= threshold]
+                j = i + step
+                swap = (node[at[i]] > node[at[j]])[:, None]
+                own = _first_shared(np.where(swap, keys[j], keys[i]), np.where(swap, keys[i], keys[j]))
+                mine = own == bucket[at[i]]
+                found.append(np.stack([at[i[mine]], at[j[mine]]]))
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=int)
+        least = np.minimum(node[a], node[b])
+        return pd.DataFrame({"node": np.concatenate([node[a], node[b]]), "links": np.concatenate([weight[b], weight[a]]),
+                             "other": np.concatenate([least, least])})
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            key = rows[["label", "dims", "bucket"]]
+            last = (key == key.iloc[-1]).all(axis=1).to_numpy()
+            held = rows[last]        # the last bucket may go on in the next batch
+            yield linked(rows[~last].reset_index(drop=True))
+        if held is not None:
+            yield linked(held.reset_index(drop=True))
+    return run
+
+
 def near_equal(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vec_id, embedding, label``."""
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
     able = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("vector"))
-    # rows of one id and equal vectors are one node with a weight; the node is the smallest id
     nodes = via_table(
-        able.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
-        .withColumn("row", F.monotonically_increasing_id()), "vector-nodes")
+        able.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+        .withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
     sizes = nodes.groupBy(F.size("vector").alias("dims")).count().collect()
     total = sum(r["count"] for r in sizes)
     labels = max(1, nodes.select("label").distinct().count())
@@ -219,41 +268,47 @@ def near_equal(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
 
 
 def _schema(nodes: DataFrame) -> str:
-    return (f"row long, node long, label {nodes.schema['label'].dataType.simpleString()}, weight long, dims int, "
-            "unit array<double>, keys array<long>")
+    return (f"node long, label {nodes.schema['label'].dataType.simpleString()}, weight long, dims int, "
+            "unit array<double>, keys array<long>, packed binary")
 
 
 def _links(hashed: DataFrame, threshold: float) -> DataFrame:
     """``node, links, other``: counts and spanning links found in each pair of blocks of a bucket."""
     group = ["label", "dims", "bucket"]
-    spread = hashed.select("row", "label", "dims", F.explode(F.array_distinct("keys")).alias("bucket"))
+    spread = hashed.select("node", "label", "dims", F.explode(F.array_distinct("keys")).alias("bucket"))
     sizes = spread.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1")
+    members = spread.join(sizes, group)
+    carried = hashed.select("node", "weight", "unit", F.col("packed").alias("keys"))
+    few = members.where(F.col("size") <= SMALL).select(*group, "node").join(carried, "node")
+    small = few.repartition(*group).sortWithinPartitions(*group).mapInPandas(
+        _small_buckets(threshold), "node long, links long, other long")
     split = (
-        spread.join(sizes, group)
+        members.where(F.col("size") > SMALL)
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     )
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
         F.least(x, F.col("part")).alias("one"), F.greatest(x, F.col("part")).alias("two")))
     paired = split.withColumn("pair", F.explode(others)).select(
-        *group, F.col("pair.one").alias("one"), F.col("pair.two").alias("two"), "part", "row")
-    paired = paired.join(hashed.select("row", "node", "weight", "unit", "keys"), "row").drop("row")
-    return paired.groupBy(*group, "one", "two").applyInPandas(
+        *group, F.col("pair.one").alias("one"), F.col("pair.two").alias("two"), "part", "node")
+    large = paired.join(carried, "node").groupBy(*group, "one", "two").applyInPandas(
         _compare(threshold), "node long, links long, other long")
+    return small.unionByName(large)
 
 
 def _reported(rows: DataFrame, nodes: DataFrame, counts: DataFrame, joined: DataFrame) -> DataFrame:
-    """Node results back on the rows: an equal vector is a link, and shares the component."""
+    """Node results back on the rows: an equal vector is a link, and a component is named by its smallest id."""
+    placed = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = placed.groupBy("component").agg(F.min("least").alias("smallest"))
     told = (
-        nodes.join(counts, "node", "left").join(joined, "node", "left")
-        .select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-                F.coalesce("component", "node").alias("component"))
+        placed.join(counts, "node", "left").join(smallest, "component")
+        .select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "smallest")
     )
     shaped = rows.withColumn("able", F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("vector"))
     return (
         shaped.alias("r").join(
             told.alias("t"), F.col("r.able") & (F.col("r.label") == F.col("t.label")) & (F.col("r.vector") == F.col("t.vector")), "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                F.coalesce("component", "vec_id").alias("component_id"))
+                F.coalesce("smallest", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )
