@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairwise.llm import lines, mixing, near, packing, passages, quality, secrets
 from pairwise.llm.tokens import BulkTokens
@@ -174,6 +175,16 @@ def test_keep_first_tells_rows_apart_by_more_than_their_id(documents):
     assert sorted(r.text for r in near.keep_first(unnamed).collect()) == sorted([other, alone])
 
 
+def test_near_copies_without_ids_cost_no_product(documents):
+    """Many rows of few texts, ids null or repeated: every text is compared once."""
+    texts = [prose(1, 60), prose(1, 60) + " zz", prose(2, 60)]
+    docs = documents(texts * 400, ids=[None, 5, None] * 400)
+    rows = near.near_duplicates(docs).collect()
+    assert {(r.doc_id, r.class_id) for r in rows} == {(None, 5), (5, 5), (None, None)} and len(rows) == 1200
+    kept = near.keep_first(docs).collect()
+    assert sorted(r.text for r in kept) == sorted([texts[1], texts[2]])
+
+
 # ------------------------------------------------------------------ passages
 def plain_passages(texts):
     seen, out = set(), []
@@ -335,6 +346,54 @@ def test_quality_learns_and_scores(documents, spark):
     assert not parts.any() and bias == 0.0
 
 
+def plain_score(model, text):
+    """The score of one text from its words and n-grams, spelled out one by one."""
+    parts, bias = model
+    raw = " " + " ".join(text.split()) + " "
+    grams = [raw.encode()[i:i + n] for n in quality.NGRAMS for i in range(len(raw.encode()) - n + 1)]
+    mask = (1 << 64) - 1
+    base, spread = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+    def bucket(value, kind):
+        return (((value ^ kind) * spread) & mask) >> (64 - quality.BITS)
+
+    ids = []
+    for gram in grams:
+        if b" " not in gram[1:-1]:
+            value = 0
+            for byte in gram:
+                value = (value * base + byte + 1) & mask
+            ids.append(bucket(value, len(gram)))
+    words = []
+    for word in text.split():
+        words.append(sum((byte + 1) * pow(base, k, 1 << 64) for k, byte in enumerate(word.encode())) & mask)
+    ids += [bucket(w, 1) for w in words]
+    ids += [bucket((v * base + w) & mask, 2) for v, w in zip(words, words[1:])]
+    ids += [quality.REPEAT for v, w in zip(words, words[1:]) if v == w]
+    mean = sum(float(parts[i]) for i in ids) / max(len(ids), 1)
+    return 1 / (1 + np.exp(-(mean + bias)))
+
+
+def test_scores_equal_their_definition(documents, spark):
+    texts = [prose(i, 30) for i in range(30)] + ["naïve naïve  été\n\nx", "a", "", "word " * 3]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, label int")
+    model = quality.fit(documents(texts), labels)
+    rows = {r.doc_id: r.s for r in documents(texts).select("doc_id", quality.score(model, F.col("text")).alias("s")).collect()}
+    for i, text in enumerate(texts):
+        assert rows[i] == pytest.approx(plain_score(model, text), abs=1e-6), text
+
+
+def test_quality_learns_from_repeated_ids_and_clashing_columns(documents, spark):
+    docs = documents([prose(i % 5, 30) for i in range(40)], ids=[i % 20 for i in range(40)])
+    docs = docs.withColumns({"place": F.lit("x"), "digest": F.lit("y"), "label": F.lit("z"), "counted": F.lit(1)})
+    labels = spark.createDataFrame([(i % 20, i // 20) for i in range(40)], "doc_id long, label int")  # labels given twice
+    model = quality.fit(docs, labels)
+    assert model[1] < 0 and not model[0].any()      # of several labels for an id the smallest counts
+    ids, counts = np.array([0, 3, 900, 131072]), np.array([1, 70000, 2, 9])
+    again = quality._unpacked(quality._packed(ids, counts))
+    assert again[0].tolist() == ids.tolist() and again[1].tolist() == counts.tolist()
+
+
 def test_features_do_not_depend_on_neighbours():
     texts = [b"one two two", b"", b"x", b" three  four "]
     ids, places = quality.features(texts)

@@ -69,8 +69,10 @@ def test_error_bounds_hold():
     assert (np.abs(found - exact) <= error).mean() > 0.995
 
 
-def test_links_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("small", [64, 3, 0])
+def test_links_against_all_pairs(spark, monkeypatch, small):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 8)     # so that buckets are cut into blocks
+    monkeypatch.setattr(vectors, "SMALL", small)
     rows = random_rows(2, 300, copies=200)
     rows += [(700 + k, rows[5][1], rows[5][2]) for k in range(20)] + [(800, rows[5][1], None)]
     got = {r.vec_id: r for r in vectors.near_equal(table(spark, rows + ODD)).collect()}
@@ -119,7 +121,7 @@ def test_archives_round_trip(spark):
         raw, row = html.encode(), rows[page]
         assert (row.payload_bytes, row.payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
         assert (row.record_type, row.refers_to) == kinds[page] and row.intact
-    chunks = warc.read_chunks(spark, manifest, chunk=512).collect()
+    chunks = [c for c in warc.read_chunks(spark, manifest, chunk=512).collect() if c.record_type == "response"]
     for page in (1, 2, 5, 6):
         own = sorted((c for c in chunks if c.page_id == page), key=lambda c: c.chunk_no)
         assert b"".join(bytes(c.data) for c in own) == text[page].encode()
@@ -129,6 +131,20 @@ def test_archives_round_trip(spark):
         assert stream.read(8) == b"WARC/1.1"
 
 
+def test_large_records_and_rolling_files(spark):
+    """Payloads above the default chunk, and files that end after a few records."""
+    html = {i: f"{i} " + "é<p>" * n for i, n in enumerate([900_000, 10, 300_000, 0, 500_000, 20])}
+    pages = spark.createDataFrame([(i, "u", t, "e") for i, t in html.items()], PAGES).repartition(1)
+    manifest = warc.write_archives(pages, scratch_path(spark, "warc-rolled"), roll_at=2000)
+    assert manifest.select("path").distinct().count() > 1
+    rows = {r.page_id: r for r in warc.read_records(spark, manifest).collect()}
+    for i, text in html.items():
+        raw = text.encode()
+        assert (rows[i].payload_bytes, rows[i].payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest()) and rows[i].intact
+    counts = {r.page_id: r["count"] for r in warc.read_chunks(spark, manifest, with_data=False).groupBy("page_id").count().collect()}
+    assert counts == {i: max(1, -(-len(t.encode()) // warc.CHUNK)) for i, t in html.items()}
+
+
 def test_archive_edges(spark):
     empty = spark.createDataFrame([], PAGES)
     assert warc.round_trip(spark, empty).count() == 0
@@ -164,3 +180,27 @@ def test_pipeline_stages(spark, folder):
             docs = after
     assert after.select("doc_id").distinct().count() == before
     assert pipeline.run(spark, folder).count() == after.count()
+
+
+# ------------------------------------------------------------------ rows that share an id
+def test_rows_of_one_id_keep_their_own_links(spark):
+    a, b, c, d = [1.0, 0.0, 0.0, 0.0], [1.0, 0.1, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 1.0, 0.1, 0.0]
+    rows = [(1, a, 7), (1, c, 7), (2, b, 7), (3, d, 7), (4, c, 7)]
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_equal(table(spark, rows)).collect())
+    assert found == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False)]
+
+
+def test_first_shared_bucket_is_that_of_the_definition():
+    draw = np.random.default_rng(3)
+    tables = 6
+    make = lambda n: np.arange(tables).repeat(vectors.PROBES) * 100 + draw.integers(0, 5, (n, tables * vectors.PROBES))
+    left, right = make(300), make(300)
+    met = np.array([bool(set(x) & set(y)) for x, y in zip(left, right, strict=True)])
+    left, right = left[met], right[met]
+    wanted = [next(k for k in x if k in set(y)) for x, y in zip(left.tolist(), right.tolist(), strict=True)]
+    assert vectors._first_shared(left, right).tolist() == wanted
+
+
+def test_a_threshold_that_cannot_be_met_is_an_error():
+    with pytest.raises(ValueError):
+        vectors.table_count(64, -0.9, 6)
