@@ -352,21 +352,33 @@ def linked_texts(sets: DataFrame, members: DataFrame, threshold: float) -> DataF
     return graph.parts
 
 
-def _components_of(named: DataFrame, signed: DataFrame, texts: DataFrame, first_rows, threshold: float) -> DataFrame:
-    """``texts`` with ``component``: what their nodes reach over links, themselves where they reach nothing.
+def _text_id(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_id")
+
 
-    ``first_rows(rows, texts)`` leaves the row that stands for each text and adds the columns of ``texts``.
+def _classes(stored: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Signed rows, and the distinct texts with what they reach.
+
+    ``stored``: ``place, doc_id, text``, written with a number for each row, so that rows are told
+    apart whatever their ids are. Of the texts: ``first``, the row that stands for a text
+    (``unnamed, doc_id, text_id, place``; a null id comes last), and ``component``.
     """
-    signs = first_rows(signed, texts).select("node", "keys")
+    named = stored.select("place", "doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"), "text")
+    signed = via_table(named.select("place", "doc_id", "text_id", _bands("text").alias("keys")), "near-signatures")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_id", "place")
+    # a distinct text is a node; its number is half as long as its hash
+    texts = via_table(
+        signed.where(F.col("keys").isNotNull()).groupBy("text_id").agg(F.min(order).alias("first"))
+        .select("first", F.col("first.place").alias("place"), F.monotonically_increasing_id().alias("node")), "near-texts")
+    firsts = texts.select("place", "node")
+    signs = signed.select("place", "keys").join(firsts, "place").select("node", "keys")
     members = via_table(_bucketed(signs.select("node", F.explode("keys").alias("key"))), "near-buckets")
-    wanted = members.select("node").distinct().join(texts, "node")
-    sets = via_table(first_rows(named, wanted).select("node", _shingle_set("text").alias("set")), "near-shingles")
+    wanted = members.select("node").distinct().join(firsts, "node")
+    sets = via_table(
+        named.select("place", "text").join(wanted, "place").select("node", _shingle_set("text").alias("set")),
+        "near-shingles")
     parts = linked_texts(sets, members, threshold)
-    return texts.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def _text_id(text: str) -> Column:
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_id")
+    return signed, texts.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -375,19 +387,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``class_id`` is the smallest ``doc_id`` among the documents that the document reaches over
     links of the threshold and more, itself included; ``kept`` marks the document of that id.
     """
-    named = docs.select("doc_id", _text_id("text"), "text")
-    signed = via_table(named.select("doc_id", "text_id", _bands("text").alias("keys")), "near-signatures")
-    # a distinct text is a node; its number is half as long as its hash
-    texts = via_table(
-        signed.where(F.col("keys").isNotNull()).groupBy("text_id").agg(F.min("doc_id").alias("first_id"))
-        .withColumn("node", F.monotonically_increasing_id()), "near-texts")
-
-    def first_rows(rows: DataFrame, of: DataFrame) -> DataFrame:
-        return rows.join(of, "text_id").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-
-    grouped = _components_of(named, signed, texts, first_rows, threshold)
-    smallest = grouped.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    classes = grouped.join(smallest, "component").select("text_id", "class_id")
+    stored = via_table(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place")), "near-documents")
+    signed, grouped = _classes(stored, threshold)
+    smallest = grouped.groupBy("component").agg(F.min("first").alias("least"))
+    classes = grouped.join(smallest, "component").select(
+        F.col("first.text_id").alias("text_id"), F.col("least.doc_id").alias("class_id"))
     return (
         signed.select("doc_id", "text_id").join(classes, "text_id", "left")
         .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -403,13 +407,8 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     stored = via_table(
         docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place")), "near-documents")
-    named = stored.select("place", F.col("row.doc_id").alias("doc_id"), _text_id("row.text"), F.col("row.text").alias("text"))
-    signed = via_table(named.select("place", "doc_id", "text_id", _bands("text").alias("keys")), "near-signatures")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_id", "place")
-    texts = via_table(
-        signed.where(F.col("keys").isNotNull()).groupBy("text_id").agg(F.min(order).alias("first"))
-        .select("first", F.col("first.place").alias("place"), F.monotonically_increasing_id().alias("node")), "near-texts")
-    grouped = _components_of(named, signed, texts, lambda rows, of: rows.join(of, "place"), threshold)
+    signed, grouped = _classes(
+        stored.select("place", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), threshold)
     firsts = grouped.groupBy("component").agg(F.min("first").alias("first")).select("first.place")
     staying = firsts.union(signed.where(F.col("keys").isNull()).select("place"))
     return stored.join(staying, "place", "left_semi").select("row.*")
