@@ -3,8 +3,10 @@
 Between tables and files a payload is a run of rows ``(record, chunk_no, data)`` of bounded size.
 The writer sees the chunks of a record one after the other: it opens a gzip member, writes the
 header, passes the chunks through and carries a running SHA-256, which must agree with the digest
-in the header when the last chunk has passed. The reader does the same the other way round with a
-fixed buffer. Neither ever holds a whole record.
+in the header when the last chunk has passed. The reader makes chunk rows again, each with the
+digest of the record up to there, through a fixed buffer; what is known of a record (its bytes, its
+digest, whether it is intact) is put together from its chunk rows. Neither ever holds a whole
+record.
 
 Records with equal payloads of at least ``LEAST_SHARED`` bytes are stored once: the one with the
 smallest ``page_id`` is the response, the others are revisits that refer to it. This is decided on
@@ -42,9 +44,9 @@ LEVEL = 5                   # of gzip
 DATE = "1970-01-01T00:00:00Z"
 
 MANIFEST = "path string, page_id long, record_type string, offset long, stored long"
-RECORD = ("path string, record long, page_id long, url string, record_type string, refers_to long, "
-          "payload_bytes long, payload_digest string, intact boolean")
-CHUNKS = "path string, record long, page_id long, chunk_no long, data binary, digest_so_far string"
+CHUNKS = ("path string, record long, page_id string, url string, record_type string, refers_to string, told_bytes long, "
+          "told_digest string, chunk_no long, chunk_bytes long, data binary, digest_so_far string")
+ROWS = 1024                 # chunk rows handed on together, and at most about a chunk of bytes
 
 
 def _store(uri: str):
@@ -269,54 +271,44 @@ def _page(urn: str | None) -> int | None:
     return int(name) if name.lstrip("-").isdigit() else None
 
 
-def _read_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [x.split()[0] for x in RECORD.split(", ")]
-    for batch in batches:
-        for path in batch["path"]:
-            rows = []
-            for number, (fields, pieces) in enumerate(records(path)):
-                digest, size = hashlib.sha256(), 0
-                for piece in pieces:
-                    digest.update(piece)
-                    size += len(piece)
-                kind = fields["warc-type"]
-                if kind not in ("response", "revisit"):
-                    continue
-                told = fields["warc-payload-digest"].partition(":")[2]
-                whole = kind == "revisit" or (told == digest.hexdigest() and size == int(fields["x-payload-length"]))
-                page, refers = _page(fields["warc-record-id"]), _page(fields.get("warc-refers-to"))
-                rows.append((path, number, None if page is None else str(page), fields["warc-target-uri"], kind,
-                             None if refers is None else str(refers), int(fields["x-payload-length"]),
-                             told if kind == "revisit" else digest.hexdigest(), whole))
-                if len(rows) == 4096:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+def _chunked(pieces: Iterator[bytes], chunk: int) -> Iterator[bytes]:
+    """The same bytes in pieces of ``chunk``; an empty payload is one empty piece."""
+    held, count = bytearray(), 0
+    for piece in pieces:
+        held += piece
+        while len(held) >= chunk:
+            yield bytes(held[:chunk])
+            del held[:chunk]
+            count += 1
+    if held or not count:
+        yield bytes(held)
+
 
+def _read_chunks(chunk: int, with_data: bool):
+    columns = [x.split()[0] for x in CHUNKS.split(", ") if with_data or not x.startswith("data ")]
 
-def _read_chunks(chunk: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
+                rows, size = [], 0
                 for number, (fields, pieces) in enumerate(records(path)):
-                    if fields["warc-type"] != "response":
-                        for _ in pieces:
-                            pass
-                        continue
-                    page = _page(fields["warc-record-id"])
-                    held, count, digest, ended = b"", 0, hashlib.sha256(), False
-                    while not ended:
-                        piece = next(pieces, None)
-                        ended = piece is None
-                        held += piece or b""
-                        while len(held) >= chunk or (ended and (held or not count)):
-                            data, held = held[:chunk], held[chunk:]
-                            digest.update(data)
-                            yield pd.DataFrame([(path, number, None if page is None else str(page), count, data,
-                                                 digest.hexdigest())],
-                                               columns=[x.split()[0] for x in CHUNKS.split(", ")])
-                            count += 1
+                    kind = fields["warc-type"]
+                    digest = hashlib.sha256()
+                    for count, data in enumerate(_chunked(pieces, chunk)):
+                        if kind not in ("response", "revisit"):
+                            continue
+                        digest.update(data)
+                        ids = [_page(fields["warc-record-id"]), _page(fields.get("warc-refers-to"))]
+                        page, refers = (None if x is None else str(x) for x in ids)
+                        row = (path, number, page, fields["warc-target-uri"], kind, refers, int(fields["x-payload-length"]),
+                               fields["warc-payload-digest"].partition(":")[2], count, len(data), data, digest.hexdigest())
+                        rows.append(row if with_data else (*row[:-2], row[-1]))
+                        size += len(data) if with_data else 0
+                        if len(rows) >= ROWS or size >= chunk:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows, size = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
     return run
 
 
@@ -325,19 +317,42 @@ def _archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return paths.repartition(max(1, paths.count()), "path")
 
 
-def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """One row per record of the archives named in the manifest; payloads are only digested."""
-    text = RECORD.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string")
-    read = _archives(spark, manifest).mapInPandas(_read_records, text)
-    return read.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
+def read_chunks(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK, with_data: bool = True) -> DataFrame:
+    """The records of the archives named in the manifest as chunk rows.
 
+    A row has what the header tells, the number and bytes of the chunk, ``data`` (unless it is not
+    asked for) and ``digest_so_far``, the digest of the payload up to the end of the chunk.
+    """
+    kinds = ", ".join(x for x in CHUNKS.split(", ") if with_data or not x.startswith("data "))
+    read = _archives(spark, manifest).mapInPandas(_read_chunks(chunk, with_data), kinds)
+    return read.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
-def read_chunks(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The payloads of the responses as chunk rows, each with the digest of the record so far."""
-    read = _archives(spark, manifest).mapInPandas(_read_chunks(chunk), CHUNKS.replace("page_id long", "page_id string"))
-    return read.withColumn("page_id", F.col("page_id").cast("long"))
 
+def record_table(chunks: DataFrame) -> DataFrame:
+    """One row per record, put together from its chunk rows.
 
-def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes the pages to archives in the shared folder and reads the records back."""
-    return read_records(spark, write_archives(pages, scratch_path(spark, "warc")))
+    ``path, record, page_id, url, record_type, refers_to, payload_bytes, payload_digest, intact``: of a
+    response the bytes of its chunks and the digest after the last of them, and whether both are
+    what the header tells; of a revisit, which has no payload, what the header tells.
+    """
+    last = chunks.groupBy("path", "record").agg(
+        *[F.max(c).alias(c) for c in ("page_id", "url", "record_type", "refers_to", "told_bytes", "told_digest")],
+        F.sum("chunk_bytes").alias("bytes"), F.max_by("digest_so_far", "chunk_no").alias("digest"))
+    revisit = F.col("record_type") == "revisit"
+    same = (F.col("bytes") == F.col("told_bytes")) & (F.col("digest") == F.col("told_digest"))
+    return last.select(
+        "path", "record", "page_id", "url", "record_type", "refers_to",
+        F.when(revisit, F.col("told_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("told_digest")).otherwise(F.col("digest")).alias("payload_digest"),
+        (revisit | same).alias("intact"))
+
+
+def read_records(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One row per record of the archives named in the manifest; payloads are only digested, chunk by chunk."""
+    return record_table(read_chunks(spark, manifest, chunk, with_data=False))
+
+
+def round_trip(spark: SparkSession, pages: DataFrame, chunk: int = CHUNK, roll_at: int = ROLL_AT) -> DataFrame:
+    """Writes the pages to archives in the shared folder and reads the records back, both as chunk rows."""
+    manifest = write_archives(pages, scratch_path(spark, "warc"), chunk=chunk, roll_at=roll_at)
+    return read_records(spark, manifest, chunk)
