@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 FIT_DOCS = 64               # documents a language
 FIT_PIECE = 1024            # characters of a piece of labelled text
 FIT_PIECES = 24             # pieces a language
+SHARES = 64                 # a language is ranked in so many parts first
 LANE = 1024                 # characters of a parsed stretch
 LANES = 2048                # stretches parsed side by side
 SHARPNESS = 2.0             # of the score, per bit a character
@@ -72,9 +73,13 @@ def sample(labelled: DataFrame, docs: int = FIT_DOCS, piece: int = FIT_PIECE, pi
     """``lang, pieces``: the bounded sample that a language's automaton is built from."""
     known = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(
         F.col("text").rlike(r"\p{L}"))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (known.select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(place))
-           .where(F.col("place") <= docs).select("lang", "doc_id"))
+    # the first of each share of a language, then the first of those: no task ranks a whole language
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    ids = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).alias("share")).distinct()
+    for keys in (["lang", "share"], ["lang"]):
+        place = Window.partitionBy(*keys).orderBy(*order)
+        ids = ids.withColumn("place", F.row_number().over(place)).where(F.col("place") <= docs)
+    ids = ids.select("lang", "doc_id")
     # at most `docs` ids a language
     texts = known.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(
         F.min("text").alias("text"))
