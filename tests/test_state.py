@@ -29,6 +29,14 @@ def test_chunks_do_not_matter(matches):
     same(history.history(timeline), history.history(timeline, chunk=120), ["match_id", "side"])
 
 
+def test_history_reads_its_timeline_once_for_each_kind_of_total(matches):
+    rows = history.history(history.appearances(matches))
+    assert rows._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 6
+    narrow = history.history(history.appearances(matches), wanted=history.HEAD_TO_HEAD)
+    assert narrow._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 3
+    same(narrow, rows.select(*narrow.columns), ["match_id", "side"])
+
+
 def test_ratings_go_on_from_a_state(few):
     middle = few.agg(F.percentile_approx("match_date", 0.5)).first()[0]
     rows = ratings.store_rows(few)
