@@ -25,20 +25,17 @@ def _additive(x: Column, y: Column) -> Column:
 
 
 def _power(x: Column, y: Column, steps: int = 60) -> Column:
-    """Exponent k in [1, 6] with x^k + y^k = 1, halving the bracket."""
-    start = F.struct(F.lit(1.0).alias("low"), F.lit(6.0).alias("high"))
-
-    def halve(bracket: Column, _: Column) -> Column:
-        middle = (bracket["low"] + bracket["high"]) * 0.5
-        above = F.pow(x, middle) + F.pow(y, middle) > 1.0
-        return F.struct(
-            F.when(above, middle).otherwise(bracket["low"]).alias("low"),
-            F.when(above, bracket["high"]).otherwise(middle).alias("high"))
-
-    k = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), start, halve,
-        lambda s: (s["low"] + s["high"]) * 0.5)
-    return clip(F.pow(x, k), EDGE, 1 - EDGE)
+    """Exponent k in [1, 6] with x^k + y^k = 1, halving the bracket.
+
+    Only the lower end is carried, as the width follows from the step: each power is taken once.
+    """
+    def halve(low: Column, half: Column) -> Column:
+        return low + F.when(F.pow(x, low + half) + F.pow(y, low + half) > 1.0, half).otherwise(0.0)
+
+    halves = F.array(*[F.lit(5.0 / 2**step) for step in range(1, steps + 1)])
+    k = F.aggregate(halves, F.lit(1.0), halve)
+    value = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.pow(x, k)))
+    return F.when(x.isNotNull() & y.isNotNull(), value)
 
 
 def _shin(x: Column, y: Column) -> Column:

@@ -3,6 +3,9 @@
 import datetime
 import random
 
+from pyspark.sql import functions as F
+
+from pairwise.functions import market
 from pairwise.sources import odds
 
 DAY = datetime.date(2020, 1, 1)
@@ -41,3 +44,16 @@ def test_both_names_are_resolved(spark):
         "price_id string, tour string, winner_name string, loser_name string, winner_rank double, loser_rank double")
     rows = {r.price_id: (r.winner_id, r.loser_id) for r in odds.with_player_ids(prices, directory).collect()}
     assert rows == {"a": (1, 2), "b": (3, None), "c": (None, 1)}
+
+
+def test_power_margin_is_searched_once(spark):
+    prices = [(1.5, 2.6), (1.01, 1.02), (2.0, 2.0), (9.0, 1.05), (3.0, 3.0)]
+    df = spark.createDataFrame(prices, "a double, b double")
+    df = df.select("a", "b", market.implied_probability(F.col("a"), F.col("b"), "power").alias("p"))
+    assert df._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+    for a, b, p in df.collect():
+        low, high = 1.0, 6.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if a**-middle + b**-middle > 1 else (low, middle)
+        assert abs(p - min(max(a ** -((low + high) / 2), 1e-6), 1 - 1e-6)) < 1e-9
