@@ -179,3 +179,45 @@ def test_groups_partition_the_antisymmetric_columns():
     listed = [c for group in features.GROUPS.values() for c in group]
     assert len(listed) == len(set(listed)) == 52
     assert [len(g) for g in features.GROUPS.values()] == [7, 7, 3, 7, 13, 4, 2, 4, 4, 1]
+
+
+def test_sweeps_carry_numbers_in_place_of_names(few):
+    told = ratings._sides(ratings._linked(ratings.store_rows(few)), None)
+    assert "string" not in {kind for _, kind in told.dtypes}
+    # a store's player has one number, whatever the side, and no two share it
+    linked = ratings._linked(ratings.store_rows(few))
+    sides = linked.select(*ratings.POOL, F.inline(F.array(*[
+        F.struct(F.col(c).alias("player"), F.col(f"{c}_node").alias("node")) for c in "ab"]))).distinct().collect()
+    assert len(sides) == len({r["node"] for r in sides}) == len({tuple(r)[:4] for r in sides})
+
+
+def test_reading_out_does_not_depend_on_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(3)
+    lengths = [1, 9, 30, 2] * 7
+    player, size = np.repeat(np.arange(len(lengths)), lengths), sum(lengths)
+    rows = pa.RecordBatch.from_pydict({
+        "turn": np.ones(size, "int32"), "player": player, "contest": np.arange(size),
+        "day": np.concatenate([np.cumsum(draw.integers(0, 200, n)) for n in lengths]).astype("int32"),
+        "is_a": draw.random(size) < 0.5, "updates": draw.random(size) < 0.7, "stamps": draw.random(size) < 0.5,
+        "actual": draw.random(size), "weight": draw.random(size), "other_rating": draw.normal(1500, 200, size)})
+    expected, states, one = [], {}, ratings._Follower()
+    for r in rows.to_pylist():
+        if one.key != r["player"]:
+            one.turn_to(r["player"])
+        expected.append((r["contest"], one.rating, one.played, one.peak))
+        if r["updates"]:
+            one.play(r["day"], one.after_idling(r["day"]), r["other_rating"], r["actual"], r["weight"], 1.0)
+        elif r["stamps"]:
+            one.last = r["day"]
+        if one.last is not None:
+            states[r["player"]] = (one.rating, one.played, one.peak, one.last)
+    for cut in (4, 33, size):
+        out = [r for b in ratings._read_out(rows.slice(at, cut) for at in range(0, size, cut)) for r in b.to_pylist()]
+        read = [(r["contest"], r["rating"], r["played"], r["peak"]) for r in out if r["contest"] is not None]
+        final = {r["player"]: (r["rating"], r["played"], r["peak"], r["last_day"]) for r in out if r["contest"] is None}
+        assert final.keys() == states.keys()
+        for found, wanted in [*zip(sorted(read), expected), *((final[k], states[k]) for k in states)]:
+            assert found == pytest.approx(wanted, abs=1e-9)
