@@ -221,3 +221,33 @@ def test_reading_out_does_not_depend_on_batches():
         assert final.keys() == states.keys()
         for found, wanted in [*zip(sorted(read), expected), *((final[k], states[k]) for k in states)]:
             assert found == pytest.approx(wanted, abs=1e-9)
+
+
+def test_residuals_of_the_tasks_are_those_of_the_cells(matches):
+    year = matches.filter("year(match_date) = 1995")
+    start, last = skill.calendar(year)
+    cells = skill.cells(skill.observations(year), start)
+    same(skill.residuals(year), skill.worst_residuals(cells, skill.fit_rolling(year), last), ["tour", "cut", "kind"])
+
+
+def test_skill_fits_leave_a_task_refit_by_refit(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    draw, size = np.random.default_rng(2), 300
+    batch = pa.RecordBatch.from_pydict({
+        "bucket": draw.integers(0, 4, size), "tail": np.zeros(size, bool), "server": draw.integers(0, 9, size),
+        "returner": draw.integers(9, 19, size), "surface": draw.choice(["Hard", "Clay"], size), "w": 1 + draw.random(size),
+        "wy": draw.random(size), "svpt": np.full(size, 50.0), "spw": np.full(size, 30.0)})
+    key = (pa.scalar("atp"), pa.scalar(0))
+
+    def solved() -> list:
+        fit = skill._block_fitter([2, 3, 4], skill._fit_rows)
+        return list(fit(key, iter([batch.slice(at, 70) for at in range(0, size, 70)])))
+
+    whole = solved()
+    assert [set(b.column("cut").to_pylist()) for b in whole] == [{2}, {3}, {4}]
+    monkeypatch.setattr(skill, "STEP", 64)
+    for a, b in zip(whole, solved(), strict=True):
+        assert a.select(["kind", "player_id", "surface"]) == b.select(["kind", "player_id", "surface"])
+        assert np.allclose(a.column("serve").to_pandas(), b.column("serve").to_pandas(), equal_nan=True, atol=1e-9)
