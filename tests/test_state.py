@@ -251,3 +251,74 @@ def test_skill_fits_leave_a_task_refit_by_refit(monkeypatch):
     for a, b in zip(whole, solved(), strict=True):
         assert a.select(["kind", "player_id", "surface"]) == b.select(["kind", "player_id", "surface"])
         assert np.allclose(a.column("serve").to_pandas(), b.column("serve").to_pandas(), equal_nan=True, atol=1e-9)
+
+
+class Held:
+    """What a group's state looks like to the function that counts."""
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def plain_counts(batches):
+    """One row after another: counters before each match, rows older than the player's state counted and dropped."""
+    state, out = {}, []
+    for rows in batches:
+        late = {}
+        for r in sorted(rows, key=lambda r: (r["day"], r["tourney_id"], r["match_num"])):
+            n, wins, up, down, last, missed = state.get(r["player_id"], (0, 0, 0, 0, -10**6, 0))
+            if r["day"] < last and r["player_id"] not in late:
+                late[r["player_id"]] = sum(x["day"] < last for x in rows if x["player_id"] == r["player_id"])
+                state[r["player_id"]] = (n, wins, up, down, last, missed + late[r["player_id"]])
+            if r["day"] < last:
+                continue
+            out.append((r["player_id"], r["match_id"], n, wins, up, down, missed))
+            if r["live"]:
+                n, wins, up, down = n + 1, wins + r["won"], (up + 1) * r["won"], (down + 1) * (1 - r["won"])
+            state[r["player_id"]] = (n, wins, up, down, r["day"], missed)
+    return sorted(out, key=str)
+
+
+def test_a_block_of_players_counts_like_one_by_one():
+    import numpy as np
+    import pandas as pd
+
+    draw, held, found, batches = np.random.default_rng(4), Held(), [], []
+    for batch in range(4):
+        size = 90
+        rows = pd.DataFrame({
+            "tour": "atp", "match_id": [f"{batch}/{i}" for i in range(size)], "day": 100 * batch + draw.integers(-40, 100, size),
+            "tourney_id": draw.choice(["a", "b"], size), "match_num": draw.permutation(size),
+            "live": (draw.random(size) < 0.8).astype(int), "side": "w", "player_id": draw.choice([64, 70, 80 + batch, 127], size),
+            "won": draw.integers(0, 2, size)})
+        batches.append(rows.to_dict("records"))
+        for part in live._count(("atp", 1), iter([rows[:50], rows[50:]]), held):
+            found += list(part[["player_id", "match_id", "career_matches", "career_wins", "win_streak", "loss_streak",
+                                "late_rows"]].itertuples(index=False, name=None))
+    wanted = plain_counts(batches)
+    assert sorted([tuple(map(int, (r[0], *r[2:]))) for r in found]) == sorted((r[0], *r[2:]) for r in wanted)
+    assert {r[1]: tuple(map(int, r[2:])) for r in found} == {r[1]: r[2:] for r in wanted}
+    assert max(r[-1] for r in wanted) > 0
+
+
+def test_stream_keeps_rows_without_a_player(spark):
+    import datetime
+
+    def batch(day, number, loser):
+        return spark.createDataFrame(
+            [("atp", f"m{number}", datetime.date(2020, 1, day), "e", number, 2**60 + 1, loser, False)],
+            "tour string, match_id string, match_date date, tourney_id string, match_num long, winner_id long, "
+            "loser_id long, walkover boolean")
+
+    root = scratch_path(spark, "no-player")
+    for day, loser in ((1, None), (2, 2**60 + 2), (3, None)):
+        like = batch(day, day, loser)
+        like.coalesce(1).write.mode("append").parquet(f"{root}/matches")
+    stream = live.career_stream(live.open_matches(spark, f"{root}/matches", like, 1))
+    rows = {(r.match_id, r.side): (r.player_id, r.career_matches, r.career_wins, r.win_streak, r.loss_streak, r.late_rows)
+            for r in live.run_to_table(stream, f"{root}/out", f"{root}/checkpoint").collect()}
+    first, second = 2**60 + 1, 2**60 + 2
+    assert rows == {
+        ("m1", "w"): (first, 0, 0, 0, 0, 0), ("m2", "w"): (first, 1, 1, 1, 0, 0), ("m3", "w"): (first, 2, 2, 2, 0, 0),
+        ("m1", "l"): (None, 0, 0, 0, 0, 0), ("m2", "l"): (second, 0, 0, 0, 0, 0), ("m3", "l"): (None, 1, 0, 0, 1, 0)}
