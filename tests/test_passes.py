@@ -33,3 +33,20 @@ def test_partitions_of_contests_follow_their_lines(spark, folder, monkeypatch):
     monkeypatch.setattr(contests, "LINES_A_TASK", 300)
     sizes = [n for n in contests.contests(spark, folder).rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()]
     assert len(sizes) == -(-lines // 300) and max(sizes) < 300
+
+
+def test_directory_sums_up_a_player_in_few_places(spark, folder):
+    """States of a player are wider than rows: they are built where at most a few hold the player, not in every partition."""
+    from pairwise.operators import directory
+
+    drawn = contests.contests(spark, folder).repartition(40)
+    table = directory.build(drawn)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(hash(tourney_id" in plan and plan.index("Aggregate") < plan.index("RepartitionByExpression")
+    sides = [(r.tour, r[f"{side}_id"], r.match_date) for r in drawn.collect() for side in ("winner", "loser")]
+    found = {(r.tour, r.player_id): (r.matches, r.last_played) for r in table.collect()}
+    wanted = {}
+    for tour, player, day in sides:
+        n, last = wanted.get((tour, player), (0, day))
+        wanted[tour, player] = (n + 1, max(last, day))
+    assert found == wanted
