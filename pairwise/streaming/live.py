@@ -114,14 +114,12 @@ def rating_step(spark: SparkSession, path: str):
     def step(batch: DataFrame, epoch: int) -> None:
         before = f"{path}/state-{epoch - 1}"
         state = load_table(spark, before) if table_exists(spark, before) else None
-        rows = ratings.store_rows(batch)
-        if rows.isEmpty():
+        if batch.isEmpty():
             if state is not None:
                 save_table(state, f"{path}/state-{epoch}")
             return
-        rated = ratings.rate_rows(rows, state)
-        save_table(rated.filter("match_id IS NOT NULL"), f"{path}/rated/epoch={epoch}")
-        final = rated.filter("match_id IS NULL")
+        save_table(ratings.kept(ratings.rate_matches(batch, state)), f"{path}/rated/epoch={epoch}")
+        final = load_table(spark, f"{path}/rated/epoch={epoch}").filter("match_id IS NULL")
         if state is not None:
             key = ratings.POOL + ["a"]
             final = final.unionByName(state.join(final, key, "left_anti"))
