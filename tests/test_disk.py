@@ -4,7 +4,8 @@ from glob import glob
 
 from pyspark.sql import functions as F
 
-from pairwise.operators import skill
+from pairwise import session
+from pairwise.operators import history, skill
 from pairwise.session import FREED, via_table
 from tests.test_state import same
 
@@ -27,3 +28,17 @@ def test_fits_that_are_read_serve_every_match(matches):
     same(skill.rolling_features(matches, read), skill.rolling_features(matches, whole), ["match_id"])
     last = F.col("cut") == skill.last_refit(matches)
     same(read.filter(last), whole.filter(last), ["kind", "tour", "player_id", "surface"])
+
+
+def test_staged_history_is_the_same(matches, monkeypatch):
+    timeline = history.appearances(matches)
+    plain, kept = history.history(timeline), []
+    monkeypatch.setattr(history, "remove_path", lambda spark, path: kept.append(path) or session.remove_path(spark, path))
+    staged = history.history(timeline, staged=True)
+    assert len(kept) == 2 and staged._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    same(staged, plain, ["match_id", "side"])
+
+
+def test_meetings_of_a_pair_are_shuffled_once(matches):
+    rows = history.history(history.appearances(matches), wanted=history.HEAD_TO_HEAD)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
