@@ -110,6 +110,7 @@ def rating_step(spark: SparkSession, path: str):
 
     Batch n reads the state of batch n - 1 and writes its own ratings and state, so a
     repeated batch gives the same tables.
+    Ratings are stored as ``ratings.kept`` has them.
     """
     def step(batch: DataFrame, epoch: int) -> None:
         before = f"{path}/state-{epoch - 1}"
